@@ -19,7 +19,9 @@ from logweave.rules.timestamps import (
 _EN = "|".join(MONTHS_EN)
 _ES_EN = "|".join(dict.fromkeys([*MONTHS_ES, *MONTHS_EN]))
 _CLOCK = r"(?P<hour>\d{2}):(?P<minute>\d{2}):(?P<second>\d{2})"
-_NUMERIC_MARK = "N"
+_NUMERIC_MARK = "n"
+_YEAR_MARK = "yyyy"
+_NORMALISED = r"^\d{2}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}\.\d+$"
 
 # Strategies in order; group names say which part of the result they feed.
 _STRATEGIES = [
@@ -40,64 +42,60 @@ _STRATEGIES = [
 ]
 
 
+def _only(text: Column, pattern: str) -> Column:
+    """The text if it has the given form, else null; names ``text`` once, so chains of steps stay small."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lit(0))
+
+
 def _canonical(text: Column, patterns: Sequence[str], default_year: str, ignore_case: bool) -> Column:
-    """``day|month|year|hh:mm:ss|fraction`` of the first pattern found: two regex calls per pattern, one when it fails."""
+    """``day|month|year|hh:mm:ss|fraction`` of the first pattern found, lower case, numbers with spare zeros."""
     result = None
     for pattern in patterns:
         regex = java_regex(rf"(?s)^.*?(?:{pattern}).*$", ignore_case=ignore_case)
         at = {name: f"${index}" for name, index in group_indexes(pattern).items()}
-        day = _NUMERIC_MARK + at["numeric_day"] if "numeric_day" in at else at.get("day", "01")
-        month = at.get("month_name") or at.get("month", CATALOGUE_DEFAULT_MONTH)
+        day = f"{_NUMERIC_MARK}0" + at["numeric_day"] if "numeric_day" in at else "0" + at.get("day", "01")
+        month = at.get("month_name") or "0" + at.get("month", CATALOGUE_DEFAULT_MONTH)
         clock = ":".join(at.get(unit, "00") for unit in ("hour", "minute", "second"))
-        fraction = at.get("fraction") or at.get("milliseconds") or at.get("microseconds", "")
+        fraction = (at.get("fraction") or at.get("milliseconds") or at.get("microseconds", "")) + "000"
         form = "|".join([day, month, at.get("year", default_year), clock, fraction])
         hit = text.rlike(java_regex(pattern, ignore_case=ignore_case))
         value = F.regexp_replace(text, regex, form)
         result = F.when(hit, value) if result is None else result.when(hit, value)
-    return result
-
-
-def _assemble(canonical: Column, months: dict[str, str], unknown_month: str | None, year: Column) -> Column:
-    def part(i: int) -> Column:
-        return F.get(F.split(canonical, r"\|"), F.lit(i))
-
-    pairs = [F.lit(item) for pair in months.items() for item in pair]
-    named = F.element_at(F.create_map(*pairs), F.lower(part(1)))
-    number = F.when(part(1).rlike(r"^\d+$"), F.lpad(part(1), 2, "0")).otherwise(
-        F.coalesce(named, F.lit(unknown_month).cast("string"))
+    return F.lower(result)
+
+
+def _assemble(canonical: Column, months: dict[str, str], year: Column) -> Column:
+    """The normalised form, as a chain of steps that each name the previous one once."""
+    text = F.replace(canonical, F.lit(_YEAR_MARK), year)
+    for name, number in months.items():
+        text = F.replace(text, F.lit(f"|{name}|"), F.lit(f"|{number}|"))
+    # A month name nobody knows.
+    text = F.regexp_replace(text, r"^(n?\d+)\|[^|]*[^\d|][^|]*\|", rf"$1|{CATALOGUE_DEFAULT_MONTH}|")
+    # Numeric dates: the second number is the month unless only the first one can be.
+    text = F.regexp_replace(text, r"^n(0*(?:\d|1[0-2]))\|(0*(?:1[3-9]|[2-9]\d))\|", "n$2|$1|")
+    text = F.regexp_replace(text, r"^n(?!0*(?:[1-9]|[12]\d|3[01])\|0*(?:[1-9]|1[0-2])\|).*$", "")
+    text = F.regexp_replace(
+        text, r"^n?\d*?(\d{2})\|\d*?(\d{2})\|\d*?(\d{2})\|([\d:]+)\|(\d{3})\d*$", "$1/$2/$3 $4.$5"
     )
-    day = F.lpad(F.ltrim(part(0), F.lit(_NUMERIC_MARK)), 2, "0")
-    numeric = F.startswith(canonical, F.lit(_NUMERIC_MARK))
-    swapped = numeric & (day <= "12") & (number > "12")
-    first, second = F.when(swapped, number).otherwise(day), F.when(swapped, day).otherwise(number)
-    valid = ~numeric | (first.between("01", "31") & second.between("01", "12"))
-    yy = F.right(F.coalesce(F.nullif(part(2), F.lit("")), year), F.lit(2))
-    millis = F.rpad(F.substring(part(4), 1, 3), 3, "0")
-    return F.when(valid, F.concat(first, F.lit("/"), second, F.lit("/"), yy, F.lit(" "), part(3), F.lit("."), millis))
+    return _only(text, _NORMALISED)
 
 
 def normalize_timestamp(raw: Column, year: Column | int | None = None) -> Column:
     """Ordered strategies; formats without a year take ``year`` (the running year by default)."""
     this_year = F.year(F.current_timestamp()) if year is None else (F.lit(year) if isinstance(year, int) else year)
-    canonical = _canonical(strip(raw), _STRATEGIES, "", ignore_case=True)
-    return _assemble(canonical, {**MONTHS_EN, **MONTHS_ES}, None, this_year.cast("string"))
+    canonical = _canonical(strip(raw), _STRATEGIES, _YEAR_MARK, ignore_case=True)
+    return _assemble(canonical, {**MONTHS_EN, **MONTHS_ES}, this_year.cast("string"))
 
 
 def generic_timestamp(raw: Column, patterns: Sequence[str] = TIMESTAMP_CATALOGUE) -> Column:
     """The catalogue variant: first pattern found decides, missing year and month take fixed defaults."""
     canonical = _canonical(strip(raw), patterns, CATALOGUE_DEFAULT_YEAR, ignore_case=False)
-    return _assemble(canonical, MONTHS_EN, CATALOGUE_DEFAULT_MONTH, F.lit(CATALOGUE_DEFAULT_YEAR))
-
-
-_NORMALISED = r"^\d{2}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}\.\d+$"
+    return _assemble(canonical, MONTHS_EN, F.lit(CATALOGUE_DEFAULT_YEAR))
 
 
 def _iso_text(timestamp: Column) -> Column:
-    piece = lambda start, length: F.substring(timestamp, start, length)
-    text = F.concat(
-        F.lit("20"), piece(7, 2), F.lit("-"), piece(4, 2), F.lit("-"), piece(1, 2), F.lit("T"), F.substring(timestamp, 10, 99)
-    )
-    return F.when(timestamp.rlike(_NORMALISED), text)
+    text = F.regexp_replace(timestamp, r"^(\d{2})/(\d{2})/(\d{2}) (\d{2}:\d{2}:\d{2}\.\d+)$", "20$3-$2-$1T$4")
+    return _only(text, r"^20\d{2}-\d{2}-\d{2}T.*$")
 
 
 def event_ts(timestamp: Column) -> Column:
@@ -107,11 +105,8 @@ def event_ts(timestamp: Column) -> Column:
 
 def event_date(timestamp: Column) -> Column:
     """Day key of a normalised timestamp; null means undated."""
-    dated = timestamp.rlike(r"^\d{2}/\d{2}/\d{2} [^ ]*$")
-    text = F.concat(
-        F.lit("20"), F.substring(timestamp, 7, 2), F.lit("-"), F.substring(timestamp, 4, 2), F.lit("-"), F.substring(timestamp, 1, 2)
-    )
-    return F.when(dated, text).try_cast("date")
+    text = F.regexp_replace(timestamp, r"^(\d{2})/(\d{2})/(\d{2}) [^ ]*$", "20$3-$2-$1")
+    return _only(text, r"^20\d{2}-\d{2}-\d{2}$").try_cast("date")
 
 
 def iso_timestamp(timestamp: Column, run_ts: Column) -> Column:

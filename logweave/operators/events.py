@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from logweave.functions.regex import extract, group_indexes, java_regex, strip
+from logweave.functions.regex import group_indexes, java_regex, strip
 from logweave.functions.text import (
     condense_trace_json,
     filter_message_lines,
@@ -21,7 +21,8 @@ from logweave.schema import CORE_GROUPS
 
 BLOCK_ROWS = 1 << 17
 NEAR_START = 20
-_MARK = "\x01"
+# Stands between the fields of a matched header.
+_FIELD = "\x1e\x1f\x1e"
 
 
 def number_events(
@@ -138,45 +139,66 @@ class Parsed:
 
 
 def _header_fields(df: DataFrame, origin: Origin, text: str) -> DataFrame:
-    """Columns of the first header rule that matches at the start of ``text``."""
+    """Columns of the first header rule that matches at the start of ``text``; ``__rest`` is what follows the header.
+
+    One replacement per rule writes all its groups next to each other, so a line is matched once, not once per group.
+    """
     rules = [(name, java_regex(f"^(?:{pattern})"), group_indexes(pattern)) for name, pattern in origin.headers]
-    pattern = None
-    for name, regex, _ in rules:
-        hit = F.col(text).rlike(regex)
-        pattern = F.when(hit, name) if pattern is None else pattern.when(hit, name)
-    df = df.withColumn("pattern", pattern)
-
-    def choose(group: str, extra: bool) -> Column:
-        value = F.lit(None).cast("string")
-        for name, regex, at in reversed(rules):
-            aside = (name, group) in origin.extra_only
-            if group in at and aside == extra:
-                value = F.when(F.col("pattern") == name, extract(F.col(text), regex, at[group])).otherwise(value)
-        return value
-
-    core = {group: choose(group, False) for group in CORE_GROUPS}
-    names = dict.fromkeys(
-        group
-        for name, _, at in rules
-        for group in at
-        if group not in CORE_GROUPS or (name, group) in origin.extra_only
+    extras = list(
+        dict.fromkeys(
+            group
+            for name, _, at in rules
+            for group in at
+            if group not in CORE_GROUPS or (name, group) in origin.extra_only
+        )
     )
-    extras = [F.struct(F.lit(g).alias("key"), choose(g, g in CORE_GROUPS).alias("value")) for g in names]
+    slots = [(group, False) for group in CORE_GROUPS] + [(group, True) for group in extras]
+
+    def form(name: str, at: dict[str, int]) -> str:
+        groups = [
+            f"${at[group]}" if group in at and ((name, group) in origin.extra_only or group not in CORE_GROUPS) == extra else ""
+            for group, extra in slots
+        ]
+        return _FIELD.join([name, *groups, ""])
+
+    written = None
+    for name, regex, at in rules:
+        value = F.regexp_replace(text, regex, form(name, at))
+        if len(rules) == 1:
+            written = value
+        else:
+            hit = F.col(text).rlike(regex)
+            written = F.when(hit, value) if written is None else written.when(hit, value)
+    parts = df.withColumn("__parts", F.split(written, _FIELD))
+
+    def part(i: int) -> Column:
+        return F.nullif(F.get("__parts", F.lit(i)), F.lit(""))
+
+    core = {group: part(i) for i, group in enumerate(CORE_GROUPS, start=1)}
+    entries = [
+        F.struct(F.lit(group).alias("key"), part(i).alias("value"))
+        for i, group in enumerate(extras, start=1 + len(CORE_GROUPS))
+    ]
     fields = (
-        F.map_from_entries(F.filter(F.array(*extras), lambda e: e["value"].isNotNull()))
-        if extras
+        F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
+        if entries
         else F.create_map().cast("map<string,string>")
     )
-    rest = F.regexp_replace(F.col(text), "|".join(f"(?:{regex})" for _, regex, _ in rules), "")
-    # Taken together so that ``text`` is still the input column of each of them.
-    return df.withColumns({**core, "fields": fields, "__rest": rest})
+    rest = F.get("__parts", F.lit(1 + len(slots)))
+    return parts.withColumns({"pattern": part(0), **core, "fields": fields, "__rest": rest}).drop("__parts")
+
+
+def _present(df: DataFrame, column: str, value: Column) -> DataFrame:
+    """Set a column and keep the rows that have something in it.
+
+    As a generator, not a filter: a filter would be moved below the column's expression and evaluate it twice.
+    """
+    return df.withColumn(column, F.explode(F.filter(F.array(value), lambda v: v != "")))
 
 
 def _finish(df: DataFrame, origin: Origin, key: str) -> DataFrame:
-    cleaned = filter_message_lines(strip_leading_separators(F.col("message")), origin.ignore)
-    records = df.withColumn("message", strip(cleaned))
-    if origin.ignore:
-        records = records.filter(F.coalesce("message", F.lit("")) != "")
+    cleaned = strip(filter_message_lines(strip_leading_separators(F.col("message")), origin.ignore))
+    records = _present(df, "message", cleaned) if origin.ignore else df.withColumn("message", cleaned)
     return records.select(
         key, "line_no", F.lit(origin.name).alias("log_type"), "pattern", *CORE_GROUPS, "fields"
     )
@@ -188,32 +210,38 @@ def _unmatched(df: DataFrame, origin: Origin, key: str, text: str) -> DataFrame:
     )
 
 
+def _header_regex(origin: Origin, start: str = "") -> str:
+    return java_regex("|".join(f"{start}(?:{pattern})" for _, pattern in origin.headers))
+
+
+def _with_headers(lines: DataFrame, regex: str) -> DataFrame:
+    """One row per header found in a line, none for a line without any."""
+    found = F.regexp_extract_all("value", F.lit(regex), F.lit(0))
+    return lines.select(*[c for c in lines.columns if c != "value"], F.explode(found).alias("__header"))
+
+
 def parse_single_line(lines: DataFrame, origin: Origin, key: str = "file_path") -> Parsed:
     """One line, one record: ignored lines go first, then the first header rule that matches decides."""
     kept = lines.filter((strip(F.col("value")) != "") & keep_line(F.col("value"), origin.ignore))
-    parsed = _header_fields(kept, origin, "value")
-    records = parsed.filter(F.col("pattern").isNotNull()).select(
+    regex = _header_regex(origin, "^")
+    records = _header_fields(_with_headers(kept, regex), origin, "__header").select(
         key, "line_no", F.lit(origin.name).alias("log_type"), "pattern", *CORE_GROUPS, "fields"
     )
-    return Parsed(records, _unmatched(parsed.filter(F.col("pattern").isNull()), origin, key, "value"))
-
-
-def _header_regex(origin: Origin) -> str:
-    return java_regex("|".join(f"(?:{pattern})" for _, pattern in origin.headers))
+    return Parsed(records, _unmatched(kept.filter(~F.col("value").rlike(regex)), origin, key, "value"))
 
 
 def _parse_header_only(lines: DataFrame, origin: Origin, key: str) -> Parsed:
     """Messages end with their header line, so every line stands alone and nothing is shuffled."""
-    found = lines.withColumn("__header", extract(F.col("value"), _header_regex(origin), 0))
-    parsed = _header_fields(found.filter(F.col("__header").isNotNull()), origin, "__header")
+    regex = _header_regex(origin)
+    parsed = _header_fields(_with_headers(lines, regex), origin, "__header")
     return Parsed(
-        _finish(parsed, origin, key), _unmatched(found.filter(F.col("__header").isNull()), origin, key, "value")
+        _finish(parsed, origin, key), _unmatched(lines.filter(~F.col("value").rlike(regex)), origin, key, "value")
     )
 
 
 def segments_of(lines: DataFrame, origin: Origin) -> DataFrame:
     """Cut lines where a header starts inside them: ``(…, seg_no, segment, is_header)``."""
-    pieces = F.split(F.regexp_replace("value", f"({_header_regex(origin)})", _MARK + "$1"), _MARK)
+    pieces = F.split(F.regexp_replace("value", f"({_header_regex(origin)})", _FIELD + "$1"), _FIELD)
     cut = lines.select(*[c for c in lines.columns if c != "value"], F.posexplode(pieces).alias("seg_no", "segment"))
     # A header at the very beginning leaves an empty piece in front; a blank line is an empty piece of its own.
     leading = (F.col("seg_no") == 0) & (F.col("segment") == "")
