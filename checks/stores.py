@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from checks import inputs as I
+from checks.parsing import _NAMES, _TYPE, _prs_1
 from logweave.operators import classify, metrics, search, serve, storage
 from logweave.session import scratch_path
 from logweave.sources import files as file_source
@@ -317,9 +320,6 @@ def _snk_7(spark, sf):
     "(partition by \"timestamp\", message order by is_new desc, line_no desc) as rn from coarse) select _id, file, line_no as line from d where rn = 1",
 )
 def _snk_7_upsert(spark, sf):
-    def docs(rows):
-        return search.prepare_documents(rows, F.lit("run")).select("_id", "file").withColumn("__n", F.monotonically_increasing_id()).drop("__n")
-
     stored, new = _halves(spark, sf)
     with_id = [
         rows.select(search.document_id(rows).alias("_id"), "file", F.col("line_no").alias("line"), F.col("line_no").alias("seq"))
@@ -456,7 +456,7 @@ def _agg_6(spark, sf):
     return metrics.coverage_report(structured, parsed.records.select("message").filter("message is not null").distinct())
 
 
-_CATALOGUE_DUCK = [p.replace("?P<", "?<") for p in metrics.TIMESTAMP_CATALOGUE]
+_CATALOGUE_DUCK = [re.sub(r"\(\?P<\w+>", "(", p) for p in metrics.TIMESTAMP_CATALOGUE]
 
 
 @check(
@@ -473,7 +473,7 @@ def _agg_9(spark, sf):
     return metrics.timestamp_format_coverage(I.log_lines(spark, sf)).withColumn("coverage", F.round("coverage", 6))
 
 
-_STAMP = metrics.TIMESTAMP_CATALOGUE[3].replace("?P<", "?<")
+_STAMP = _CATALOGUE_DUCK[3]
 _BEHIND = f"substr(value, length(regexp_extract(value, '{_STAMP}')) + 1, 60)"
 
 
@@ -496,11 +496,11 @@ def _agg_11(spark, sf):
     return metrics.group_size_stats(I.vectors(spark, sf))
 
 
-@check("agg_12_origin_file_counts", "with n as (select {t} as origin from (select {n} as name from orders)) select origin, count(*) as files from n group by origin".format(
-    t=__import__("checks.parsing", fromlist=["_TYPE"])._TYPE, n=__import__("checks.parsing", fromlist=["_NAMES"])._NAMES))
+@check(
+    "agg_12_origin_file_counts",
+    f"with n as (select {_TYPE} as origin from (select {_NAMES} as name from orders)) select origin, count(*) as files from n group by origin",
+)
 def _agg_12(spark, sf):
-    from checks.parsing import _prs_1
-
     return metrics.origin_file_counts(_prs_1(spark, sf).withColumnRenamed("log_type", "origin"))
 
 

@@ -1,2 +1,538 @@
+"""Queries for template mining, grouping, rules and classification."""
+
+from __future__ import annotations
+
+
+
+from pyspark.sql import functions as F
+
+from checks import inputs as I
+from checks.parsing import _nested
+from logweave.operators import classify, grouping, metrics, mining, patterns, serve, storage
+from logweave.rules.masks import CUSTOM_MASKS, DEFAULT_PROFILE, PLACEHOLDER_PATTERNS, QUICK_SWEEP
+from logweave.rules.origins import BY_NAME
+from logweave.session import scratch_path
+from logweave.sources import tables
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def check(name: str, sql: str | None = None):
+    def register(query):
+        QUERIES[name] = query
+        if sql is not None:
+            ORACLE[name] = sql
+        return query
+
+    return register
+
+
+def _messages(spark, sf):
+    """``(origin, seq, message)`` of all records, one origin per file."""
+    return I.records(spark, sf).filter("message is not null").select(
+        F.replace("file", F.lit(".log"), F.lit("")).alias("origin"), F.col("line_no").alias("seq"), "message"
+    )
+
+
+# Masks that can match these ASCII messages, without the ones RE2 cannot run.
+_SAFE = [(p, r) for p, r in CUSTOM_MASKS if r in ("<ALPHANUM>", "<IP>", "<UUID>", "<NUM>", "<HEX>", "<PATH>", "<LONG_LIST>")]
+_MASKED = _nested(_SAFE, "message")
+_TOKENS = (
+    "array_to_string(list_filter(regexp_split_to_array(translate("
+    + _MASKED
+    + ", '=:,()[]{}<>', '           '), '\\s+'), lambda t: t <> ''), ' ')"
+)
+_MESSAGES_CTE = (
+    I.RECORDS_CTE
+    + f", messages as (select replace(file, '.log', '') as origin, line_no as seq, message, {_TOKENS} as text from records where message is not null)"
+)
+# With threshold 1 a cluster is one distinct token list, which SQL can count.
+_EXACT_CTE = (
+    _MESSAGES_CTE
+    + ", groups as (select origin, text as template, count(*) as size, min(seq) as created from messages group by origin, text), "
+    "clusters as (select *, row_number() over (partition by origin order by created) - 1 as cluster_id from groups)"
+)
+
+
+def _exact(spark, sf):
+    tokens = mining.prepare_first_match(_messages(spark, sf), config=F.lit("exact"))
+    return mining.mine(tokens, {"exact": (4, 1.0, 100)})
+
+
+@check("min_1_first_match_exact", f"with {_EXACT_CTE} select origin, cluster_id, template, size from clusters")
+def _min_1_exact(spark, sf):
+    return _exact(spark, sf).clusters.select("origin", "cluster_id", "template", "size")
+
+
+@check(
+    "min_1_first_match_exact_assignments",
+    f"with {_EXACT_CTE} select m.origin, m.seq, c.cluster_id, m.text as template_at_assignment from messages m join clusters c on m.origin = c.origin and m.text = c.template",
+)
+def _min_1_assigned(spark, sf):
+    return _exact(spark, sf).assignments.select("origin", "seq", "cluster_id", "template_at_assignment")
+
+
+@check("min_1_mine_first_match")
+def _min_1(spark, sf):
+    return mining.mine_templates_first_match(_messages(spark, sf)).clusters.select("origin", "cluster_id", "template", "size")
+
+
+@check(
+    "min_1_every_message_once",
+    f"with {_MESSAGES_CTE} select origin, count(*) as assigned, count(*) as in_clusters from messages where text <> '' group by origin",
+)
+def _min_1_once(spark, sf):
+    mined = mining.mine_templates_first_match(_messages(spark, sf))
+    assigned = mined.assignments.groupBy("origin").agg(F.count(F.lit(1)).alias("assigned"))
+    sizes = mined.clusters.groupBy("origin").agg(F.sum("size").alias("in_clusters"))
+    return assigned.join(sizes, "origin")
+
+
+@check("min_2_mine_best_match")
+def _min_2(spark, sf):
+    return mining.mine_templates_best_match(_messages(spark, sf)).clusters.select("origin", "cluster_id", "template", "size")
+
+
+@check("min_2_change_types", f"with {_MESSAGES_CTE} select origin, count(*) as messages from messages group by origin")
+def _min_2_changes(spark, sf):
+    return mining.mine_templates_best_match(_messages(spark, sf)).assignments.groupBy("origin").agg(F.count(F.lit(1)).alias("messages"))
+
+
+@check("min_3_mine_raw_lines")
+def _min_3(spark, sf):
+    raw = I.log_lines(spark, sf).select(F.replace("file", F.lit(".log"), F.lit("")).alias("origin"), F.col("line_no").alias("seq"), F.col("value").alias("message"))
+    prepared = mining.prepare_best_match(raw, I.APP.ignore, raw=True)
+    return mining.mine(prepared, best=True).clusters.select("origin", "cluster_id", "template", "size")
+
+
+_PARTS = (
+    "list_transform(string_split(template, ' '), lambda t: case t when 'NUM' then '\\d+' when 'ALPHANUM' then '[A-Za-z0-9_]+' "
+    "when 'IP' then '\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}' else regexp_replace(t, '([\\\\.^$|?*+()\\[\\]{}&~#\\-])', '\\\\\\1', 'g') end)"
+)
+
+
+@check("min_4_cluster_regex", f"with {_EXACT_CTE} select origin, template, array_to_string({_PARTS}, '\\s+') as regex from clusters")
+def _min_4(spark, sf):
+    return _exact(spark, sf).clusters.select("origin", "template", mining.cluster_regex(F.col("template")).alias("regex"))
+
+
+@check("min_5_sweep_configs")
+def _min_5(spark, sf):
+    tokens = mining.prepare_first_match(_messages(spark, sf))
+    return metrics.metrics_by_config(mining.sweep_configs(tokens, QUICK_SWEEP).clusters)
+
+
+@check("min_6_resume_mining", f"with {_EXACT_CTE} select origin, cluster_id, template, size from clusters")
+def _min_6(spark, sf):
+    tokens = mining.prepare_first_match(_messages(spark, sf), config=F.lit("exact")).withColumn("late", F.col("seq") >= 500)
+    configs = {"exact": (4, 1.0, 100)}
+    first = mining.mine(tokens.filter("not late").drop("late"), configs)
+    return mining.mine(tokens.filter("late").drop("late"), configs, model=first.clusters).clusters.select(
+        "origin", "cluster_id", "template", "size"
+    )
+
+
+_KIND = "case o_orderkey % 4 when 0 then 'bssv' when 1 then 'listener' when 2 then 'nowhere' else 'jas' end"
+
+
+@check(
+    "min_7_drain_profile",
+    f"with o as (select o_orderkey, {_KIND} as origin from orders) select o_orderkey, origin, case origin "
+    + " ".join(f"when '{n}' then '{BY_NAME[n].profile}'" for n in ("bssv", "listener", "jas"))
+    + f" else '{DEFAULT_PROFILE}' end as profile from o",
+)
+def _min_7(spark, sf):
+    origins = I.table(spark, sf, "orders").selectExpr("o_orderkey", f"{_KIND} as origin")
+    return origins.select("o_orderkey", "origin", mining.profile_of(F.col("origin")).alias("profile"))
+
+
+@check("min_8_profile_new_origin")
+def _min_8(spark, sf):
+    from logweave.plans.template_cycle import profile_new_origin
+    from logweave.sources.files import sample_lines
+
+    # The sample size is the operator's own setting.
+    sample = sample_lines(I.log_lines(spark, sf), 500, seed=1).select(F.col("line_no").alias("seq"), "value")
+    profile = profile_new_origin(sample, "new")
+    return profile.top.withColumn("line_pattern", F.lit(profile.line_pattern))
+
+
+# --- cluster metrics -----------------------------------------------------------------------------------------------
+
+
+@check(
+    "agg_4_cluster_stats",
+    f"with {_EXACT_CTE}, r as (select m.origin, c.cluster_id, m.seq, m.message, row_number() over (partition by m.origin, c.cluster_id order by m.seq) as n "
+    "from messages m join clusters c on m.origin = c.origin and m.text = c.template), "
+    "e as (select origin, cluster_id, string_agg(message, '|' order by seq) as examples from r where n <= 5 group by all) "
+    "select c.origin, c.cluster_id, template, size, round(size * 100.0 / sum(size) over (partition by c.origin), 2) as percentage, examples "
+    "from clusters c join e on c.origin = e.origin and c.cluster_id = e.cluster_id",
+)
+def _agg_4(spark, sf):
+    mined = _exact(spark, sf)
+    stats = metrics.cluster_stats(mined.assignments, _messages(spark, sf), mined.clusters)
+    return stats.withColumn("examples", F.array_join("examples", "|"))
+
+
+def _quality_sql(source: str, by: str) -> str:
+    return (
+        f"t as (select {by}, size, length(template) - length(regexp_replace(template, '\\b(NUM|IP|ALPHANUM|HEX|UUID|PATH)\\b', '', 'g')) as unused, "
+        f"len(regexp_extract_all(template, '<\\*>|\\b(?:ALPHANUM|NUM|IP|HEX|UUID|PATH|LIBCODE|JDECODE|CONTEXT_ID)\\b')) as wild, "
+        f"row_number() over (partition by {by} order by size) as up, row_number() over (partition by {by} order by size desc) as down, "
+        f"sum(size) over (partition by {by}) as total from {source}) "
+        f"select {by}, count(*) as num_clusters, cast(sum(size) as bigint) as total_logs, round(-sum(size / total * log2(size / total)), 3) as entropy, "
+        "round(coalesce(sum(size) filter (where down <= 10), 0) / sum(size), 3) as top_10_coverage, round(coalesce(sum(size) filter (where down <= 20), 0) / sum(size), 3) as top_20_coverage, "
+        "round(sum(size) / count(*), 2) as avg_cluster_size, round(sum(wild) / count(*), 2) as avg_wildcards_per_template, "
+        f"round(2 * sum(up * size) / (count(*) * sum(size)) - (count(*) + 1) / count(*), 3) as gini_coefficient from t group by {by}"
+    )
+
+
+@check("agg_5_cluster_quality", f"with {_EXACT_CTE}, {_quality_sql('clusters', 'origin')}")
+def _agg_5(spark, sf):
+    return metrics.cluster_quality(_exact(spark, sf).clusters)
+
+
+@check(
+    "agg_15_metrics_by_config",
+    f"with {_EXACT_CTE}, pair as (select origin, 'exact' as config, template, size from clusters union all "
+    "select origin, 'merged', min(template), cast(sum(size) as bigint) from clusters group by origin, length(template)), "
+    f"{_quality_sql('pair', 'origin, config')}",
+)
+def _agg_15(spark, sf):
+    exact = _exact(spark, sf).clusters.select("origin", "config", "template", "size")
+    merged = exact.groupBy("origin", F.length("template").alias("n")).agg(F.min("template").alias("template"), F.sum("size").alias("size"))
+    return metrics.metrics_by_config(exact.unionByName(merged.select("origin", F.lit("merged").alias("config"), "template", "size")))
+
+
+# --- templates as rows: one per distinct masked message -----------------------------------------------------------
+
+_TEMPLATE_SQL = (
+    I.RECORDS_CTE
+    + f", masked as (select {_MASKED} as template from records where message is not null), "
+    "t as (select template, count(*) as size from masked group by template), "
+    "templates as (select *, row_number() over (order by size desc, template) as cluster_id from t)"
+)
+
+
+def _templates(spark, sf):
+    from pyspark.sql import Window as W
+
+    from logweave.functions.masking import apply_masks
+
+    masked = _messages(spark, sf).select(apply_masks(F.col("message"), _SAFE).alias("template"))
+    sizes = masked.groupBy("template").agg(F.count(F.lit(1)).alias("size"))
+    # Numbers of distinct templates, not of messages.
+    return sizes.withColumn("cluster_id", F.row_number().over(W.orderBy(F.desc("size"), "template")).cast("bigint")).withColumn(
+        "origin", F.lit("app")
+    )
+
+
+@check("top_1_top_clusters", f"with {_TEMPLATE_SQL}, n as (select sum(size) as total from templates) select cast(cluster_id as bigint) as rank, cluster_id, size, round(size * 100.0 / total, 2) as percentage, template from templates, n where cluster_id <= 10")
+def _top_1(spark, sf):
+    return serve.top_clusters(_templates(spark, sf), 10)
+
+
+@check("top_3_cluster_detail", f"with {_TEMPLATE_SQL} select template, size from templates where cluster_id = 2")
+def _top_3(spark, sf):
+    return serve.cluster_detail(_templates(spark, sf), 2).select("template", "size")
+
+
+@check(
+    "prs_14_search_templates",
+    f"with {_TEMPLATE_SQL} select template, size from templates where contains(lower(template), 'host') order by cluster_id limit 20",
+)
+def _prs_14(spark, sf):
+    return serve.search_templates(_templates(spark, sf), "HOST", 20).select("template", "size")
+
+
+_FIRST = "min(template) over (partition by substr(template, 1, 4)) as representative_template"
+
+
+@check("top_5_groups_by_members", f"with {_TEMPLATE_SQL} select substr(template, 1, 4) as name, count(*) as num_members, min(cluster_id) as group_id from templates group by 1")
+def _top_5(spark, sf):
+    groups = _templates(spark, sf).groupBy(F.substring("template", 1, 4).alias("name")).agg(
+        F.count(F.lit(1)).alias("num_members"), F.min("cluster_id").alias("group_id")
+    )
+    return serve.groups_by_members(groups)
+
+
+@check("src_7_read_templates", f"with {_TEMPLATE_SQL} select cast(cluster_id as varchar) as cluster_id, template, size from templates union all select concat('m', cluster_id), template, size from templates")
+def _src_7(spark, sf):
+    """A template file is one JSON document; both of its layouts."""
+    path = scratch_path(spark, "check-templates")
+    clusters = _templates(spark, sf).select(F.col("cluster_id").cast("string"), "template", "size")
+    entry = F.struct("cluster_id", "template", "size")
+    clusters.agg(F.collect_list(entry).alias("clusters")).write.json(f"{path}/list")
+    named = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("m"), "cluster_id"), F.struct("template", "size"))))
+    clusters.agg(named.alias("clusters")).write.json(f"{path}/map")
+    both = tables.read_templates(spark, f"{path}/list").unionByName(tables.read_templates(spark, f"{path}/map", "map"))
+    return both.select("cluster_id", "template", "size")
+
+
+@check("snk_9_write_clusters", f"with {_TEMPLATE_SQL}, n as (select sum(size) as total from templates) select cluster_id, size, round(size * 100.0 / total, 2) as percentage, template from templates, n")
+def _snk_9(spark, sf):
+    path = scratch_path(spark, "check-clusters")
+    clusters = _templates(spark, sf)
+    total = clusters.agg(F.sum("size")).first()[0] or 1
+    storage.write_clusters(clusters.withColumn("percentage", F.round(F.col("size") / total * 100, 2)), path)
+    schema = "cluster_id bigint, size bigint, percentage double, template string"
+    return spark.read.schema(schema).option("header", "true").option("escape", '"').csv(f"{path}/csv")
+
+
+_ESCAPED = r"regexp_replace(regexp_replace(template, '([\\.^$|?*+()\[\]{}&~#\-])', '\\\1', 'g'), '(\s)', '\\\1', 'g')"
+_PATTERN = _ESCAPED
+for _name in sorted(PLACEHOLDER_PATTERNS, key=len, reverse=True):
+    _body = PLACEHOLDER_PATTERNS[_name].replace(r"\Z", r"\z").replace("'", "''")
+    _PATTERN = "replace({}, '{}', '(?:{})')".format(_PATTERN, _name.replace("*", r"\*"), _body)
+_PATTERN_SQL = f"concat('(?s)^', {_PATTERN}, '$')"
+
+
+@check("tpl_7_template_to_pattern", f"with {_TEMPLATE_SQL} select template, {_PATTERN_SQL} as pattern from templates")
+def _tpl_7(spark, sf):
+    return _templates(spark, sf).select("template", patterns.template_to_pattern(F.col("template")).alias("pattern"))
+
+
+# --- classification ------------------------------------------------------------------------------------------------
+
+# A rule table as a reviewer leaves it: the third rule is not reviewed.
+_RULES = [
+    (1, r"^(?s)ORA\-\d+ request failed for user \d+$", "database", "high"),
+    (2, r"^PROTOCOL=tcp.*PORT=(?:\d{5})\)", "connection", "low"),
+    (3, r"^START block", None, None),
+    (4, r"^(?:START|User: U1)", "session", "info"),
+    (5, r"^PROTOCOL=tcp", "connection", "info"),
+]
+
+
+def _rules(spark):
+    rows = [("app", g, p, p, e, s) for g, p, e, s in _RULES]
+    schema = "origin string, group_id bigint, representative_template string, pattern string, event_type string, severity string"
+    return spark.createDataFrame(rows, schema)
+
+
+_REVIEWED = [(g, p.replace("^(?s)", "^"), e, s) for g, p, e, s in _RULES if e]
+
+
+def _choose(index: int) -> str:
+    cases = " ".join(f"when regexp_matches(coalesce(message, ''), '{r[1]}') then {r[index]!r}" for r in _REVIEWED)
+    return f"case {cases} end"
+
+
+@check(
+    "joi_2_classify_by_template",
+    f"with {I.RECORDS_CTE} select file, line_no, {_choose(2)} as event_type, {_choose(3)} as severity, {_choose(0)} as template_group_id from records",
+)
+def _joi_2(spark, sf):
+    found = classify.classify_by_template(I.records(spark, sf), _rules(spark))
+    return found.select("file", "line_no", "event_type", "severity", "template_group_id")
+
+
+@check("joi_2_unclassified", f"with {I.RECORDS_CTE} select file, line_no, message from records where {_choose(0)} is null")
+def _joi_2_missed(spark, sf):
+    found = classify.classify_by_template(I.records(spark, sf), _rules(spark))
+    return classify.unclassified(found).select("file", "line_no", "message")
+
+
+_GROUPS = f"{_TEMPLATE_SQL}, groups as (select cluster_id as group_id, template as representative_template, size from templates), stored as (select group_id, representative_template from groups where group_id % 2 = 0)"
+
+
+def _groups(spark, sf):
+    return _templates(spark, sf).select(F.col("cluster_id").alias("group_id"), F.col("template").alias("representative_template"), "size")
+
+
+@check("joi_3_new_groups_by_key", f"with {_GROUPS} select group_id, representative_template from groups where representative_template not in (select representative_template from stored)")
+def _joi_3(spark, sf):
+    groups = _groups(spark, sf)
+    return classify.new_groups_by_key(groups, groups.filter("group_id % 2 = 0")).select("group_id", "representative_template")
+
+
+_STORED = [(1, r"^ORA\-<NUM>.*$"), (2, r"^START block \d$"), (3, r"^User: .*$")]
+
+
+@check(
+    "joi_4_uncovered_groups",
+    f"with {_GROUPS} select group_id, representative_template from groups where not ("
+    + " or ".join(f"regexp_full_match(representative_template, '{p}')" for _, p in _STORED)
+    + ")",
+)
+def _joi_4(spark, sf):
+    stored = spark.createDataFrame(_STORED, "group_id bigint, pattern string")
+    return classify.uncovered_groups(_groups(spark, sf), stored).select("group_id", "representative_template")
+
+
+@check(
+    "joi_5_classify_by_cluster_regex",
+    f"with {_TEMPLATE_SQL}, p as (select cluster_id, template, {_PATTERN_SQL} as pattern from templates), "
+    "m as (select file, line_no, message from records where message is not null), "
+    "d as (select distinct message from m), h as (select message, min(cluster_id) as cluster_id from d join p on regexp_full_match(message, pattern) "
+    "and split_part(message, ' ', 1) <> '' group by message) select m.file, m.line_no, h.cluster_id from m left join h on m.message = h.message",
+)
+def _joi_5(spark, sf):
+    records = I.records(spark, sf).filter("message is not null").select("file", "line_no", "message")
+    ids = records.withColumn("id", F.concat_ws("#", "file", "line_no"))
+    found = classify.classify_by_cluster(ids, _templates(spark, sf), "id")
+    return ids.join(found, "id").select("file", "line_no", "cluster_id")
+
+
+@check("joi_6_new_clusters_only", f"with {_TEMPLATE_SQL} select cluster_id, template from templates where cluster_id % 3 <> 0")
+def _joi_6(spark, sf):
+    clusters = _templates(spark, sf)
+    return classify.new_clusters_only(clusters, clusters.filter("cluster_id % 3 = 0")).select("cluster_id", "template")
+
+
+@check("snk_10_write_rules", f"with {_GROUPS} select representative_template, case when group_id % 2 = 0 then -1 else size end as size from groups")
+def _snk_10(spark, sf):
+    groups = _groups(spark, sf).select("representative_template", "size", "group_id")
+    stored = groups.filter("group_id % 2 = 0").withColumn("size", F.lit(-1).cast("bigint"))
+    return classify.merge_rules(groups, stored).select("representative_template", "size")
+
+
+QUERIES["set_2_stored_wins"] = QUERIES["snk_10_write_rules"]
+ORACLE["set_2_stored_wins"] = ORACLE["snk_10_write_rules"]
+
+
+def _member_groups(spark, sf):
+    """Groups of templates that begin alike; every second member has no template of its own."""
+    own = F.when(F.col("cluster_id") % 2 == 0, F.col("template"))
+    member = F.struct(F.col("cluster_id").cast("string").alias("cluster_id"), own.alias("template"), "size")
+    return (
+        _templates(spark, sf)
+        .groupBy("origin", F.ascii(F.substring("template", 1, 1)).cast("bigint").alias("group_id"))
+        .agg(F.array_sort(F.collect_list(member)).alias("member_cluster_ids"), F.min("template").alias("representative_template"))
+    )
+
+
+@check("joi_7_attach_member_templates", f"with {_TEMPLATE_SQL} select ascii(template) as group_id, cast(cluster_id as varchar) as cluster_id, case when cluster_id % 5 = 1 then min(template) over (partition by ascii(template)) else template end as template from templates")
+def _joi_7(spark, sf):
+    # Some clusters are not stored any more, so their members fall back to the representative.
+    stored = _templates(spark, sf).filter("cluster_id % 5 <> 1")
+    groups = _member_groups(spark, sf)
+    forgotten = F.transform(
+        "member_cluster_ids",
+        lambda m: F.struct(
+            m["cluster_id"].alias("cluster_id"),
+            F.when(m["cluster_id"].cast("bigint") % 5 != 1, m["template"]).alias("template"),
+            m["size"].alias("size"),
+        ),
+    )
+    attached = patterns.attach_member_templates(groups.withColumn("member_cluster_ids", forgotten), stored)
+    return attached.select("group_id", "cluster_id", "template")
+
+
+@check("tpl_8_synthesize_group_pattern")
+def _tpl_8(spark, sf):
+    members = patterns.attach_member_templates(_member_groups(spark, sf), _templates(spark, sf))
+    return patterns.synthesize_group_patterns(members).select("group_id", "pattern")
+
+
+@check(
+    "tpl_8_patterns_match_members",
+    f"with {_TEMPLATE_SQL} select ascii(template) as group_id, count(*) as members, count(*) as matched from templates group by 1",
+)
+def _tpl_8_members(spark, sf):
+    """Placeholders replaced by samples, every member must match its group's pattern."""
+    members = patterns.attach_member_templates(_member_groups(spark, sf), _templates(spark, sf))
+    rules = patterns.synthesize_group_patterns(members)
+    sample = F.col("template")
+    for name, value in (("<NUM>", "42"), ("<ALPHANUM>", "p7"), ("<IP>", "10.0.0.1"), ("<PATH>", "/a/b"), ("<*>", "x")):
+        sample = F.replace(sample, F.lit(name), F.lit(value))
+    return (
+        members.withColumn("sample", sample)
+        .join(rules, ["origin", "group_id"])
+        .groupBy("group_id")
+        .agg(F.count(F.lit(1)).alias("members"), F.count_if(F.expr("sample rlike pattern")).alias("matched"))
+    )
+
+
+@check("tpl_9_merged_template")
+def _tpl_9(spark, sf):
+    members = patterns.attach_member_templates(_member_groups(spark, sf), _templates(spark, sf))
+    return patterns.synthesize_group_patterns(members).select("group_id", "merged_template")
+
+
+@check("tpl_10_validate_rules", f"with {_TEMPLATE_SQL} select cluster_id as group_id, template as representative_template, true as compiles from templates")
+def _tpl_10(spark, sf):
+    rules = _templates(spark, sf).select(
+        "origin", F.col("cluster_id").alias("group_id"), F.col("template").alias("representative_template"),
+        patterns.template_to_pattern(F.col("template")).alias("pattern"),
+    )
+    return patterns.validate_rules(rules).select("group_id", "representative_template", "compiles")
+
+
+@check(
+    "tpl_11_review_rules",
+    f"with {_GROUPS} select group_id, representative_template, 'e' as event_type, concat('s', group_id % 7) as severity from groups where group_id % 3 = 0",
+)
+def _tpl_11(spark, sf):
+    groups = _groups(spark, sf).withColumns({"event_type": F.lit(None).cast("string"), "severity": F.lit(None).cast("string")})
+    reviews = _groups(spark, sf).filter("group_id % 3 = 0 or group_id % 5 = 0").select(
+        "representative_template", F.lit("e").alias("event_type"),
+        F.when(F.col("group_id") % 3 == 0, F.concat(F.lit("s"), F.col("group_id") % 7)).alias("severity"),
+    )
+    return patterns.reviewed(patterns.review_rules(groups, reviews)).select("group_id", "representative_template", "event_type", "severity")
+
+
+# --- vectors -------------------------------------------------------------------------------------------------------
+
+_UNIT = I.VECTORS_CTE + ", unit as (select id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as u from vectors)"
+_CLOSE = 0.35
+
+
+def _unit(spark, sf):
+    return grouping.unit_vectors(I.vectors(spark, sf))
+
+
+@check(
+    "tpl_2_cosine_pairs",
+    f"with {_UNIT} select a.id as a, b.id as b, round(list_dot_product(a.u, b.u), 5) as similarity from unit a join unit b on a.id < b.id where list_dot_product(a.u, b.u) >= {_CLOSE}",
+)
+def _tpl_2(spark, sf):
+    vectors = _unit(spark, sf).select("origin", F.col("id").alias("node"), F.col("embedding").alias("vec"))
+    return grouping.cosine_pairs(vectors, _CLOSE).select("a", "b", F.round("similarity", 5).alias("similarity"))
+
+
+@check("tpl_1_embed_templates")
+def _tpl_1(spark, sf):
+    return grouping.embed_templates(_templates(spark, sf).select(F.col("cluster_id").alias("id"), "template"))
+
+
+@check("tpl_3_group_templates")
+def _tpl_3(spark, sf):
+    return grouping.group_templates(I.vectors(spark, sf), 0.6)
+
+
+_CENTRES = (
+    _UNIT
+    + ", flat as (select label, i, avg(u[i]) as c from unit, lateral (select unnest(range(1, len(u) + 1)) as i) x group by label, i), "
+    "centre as (select label, list(c order by i) as c from flat group by label), "
+    "d as (select u.label, u.id, sqrt(list_sum(list_transform(list_zip(u.u, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) as distance "
+    "from unit u join centre c on u.label = c.label)"
+)
+
+
+@check("tpl_4_representative", f"with {_CENTRES} select label, arg_min(id, distance) as representative, round(min(distance), 5) as distance from d group by label")
+def _tpl_4(spark, sf):
+    return grouping.representative(_unit(spark, sf), "label").select("label", "representative", F.round("distance", 5).alias("distance"))
+
+
+@check(
+    "tpl_5_silhouette",
+    f"with {_UNIT}, s as (select a.id, a.label as own, b.label as other, sum(1 - list_dot_product(a.u, b.u)) as t, count(*) as n from unit a join unit b on a.id <> b.id group by all), "
+    "m as (select id, avg(t / n) filter (where own = other) as a, min(t / n) filter (where own <> other) as b from s group by id) "
+    "select round(avg(case when a is null then 0 else (b - a) / greatest(a, b) end), 5) as silhouette from m",
+)
+def _tpl_5(spark, sf):
+    value = grouping.silhouette(_unit(spark, sf), "label")
+    return spark.range(1).select(F.round(F.lit(value).cast("double"), 5).alias("silhouette"))
+
+
+@check("tpl_6_threshold_sweep")
+def _tpl_6(spark, sf):
+    return grouping.threshold_sweep(I.vectors(spark, sf))
+
+
+@check("top_4_best_config", "select label as threshold, cast(avg(vec_id) as double) as silhouette from embeddings group by label order by 2 desc limit 1")
+def _top_4(spark, sf):
+    results = I.vectors(spark, sf).groupBy(F.col("label").alias("threshold")).agg(F.avg("id").alias("silhouette"))
+    return serve.best_config(results)

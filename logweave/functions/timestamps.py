@@ -111,5 +111,7 @@ def event_date(timestamp: Column) -> Column:
 
 def iso_timestamp(timestamp: Column, run_ts: Column) -> Column:
     """ISO text for search documents; text that is no timestamp takes the run's own time."""
-    iso = F.when(event_ts(timestamp).isNotNull(), F.rpad(_iso_text(timestamp), 26, "0"))
-    return F.coalesce(F.regexp_replace(iso, r"\.0{6}$", ""), run_ts)
+    # Text of a zone-less instant: the fraction comes without trailing zeros, or not at all.
+    text = F.replace(event_ts(timestamp).cast("string"), F.lit(" "), F.lit("T"))
+    padded = F.regexp_replace(F.regexp_replace(text, r"\.(\d+)$", ".$1000000"), r"(\.\d{6})\d*$", "$1")
+    return F.coalesce(padded, run_ts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -232,14 +233,11 @@ def timestamp_format_coverage(sample: DataFrame, catalogue: Sequence[str] = TIME
 
 def level_word(line: Column, timestamp: str) -> Column:
     """First level word, in list order, close behind the timestamp."""
-    regex = java_regex(timestamp)
-    end = F.regexp_instr(line, F.lit(regex)) + F.length(F.regexp_extract(line, regex, 0))
-    behind = F.when(line.rlike(regex), F.substr(line, end, F.lit(LEVEL_WINDOW)))
-    result = None
-    for word in LEVEL_WORDS:
-        hit = behind.rlike(rf"\b{word}\b")
-        result = F.when(hit, word) if result is None else result.when(hit, word)
-    return result
+    behind_group = re.compile(timestamp).groups + 1
+    regex = java_regex(rf"(?s)(?:{timestamp})(.{{0,{LEVEL_WINDOW}}})")
+    behind = F.regexp_extract(line, regex, behind_group)
+    found = F.regexp_extract_all(behind, F.lit(r"\b(?:" + "|".join(LEVEL_WORDS) + r")\b"), F.lit(0))
+    return F.get(F.array_intersect(F.array(*[F.lit(w) for w in LEVEL_WORDS]), found), F.lit(0))
 
 
 def level_word_coverage(sample: DataFrame, timestamp: str) -> DataFrame:

@@ -209,7 +209,7 @@ def last_execution(history: DataFrame) -> DataFrame:
 
 def missing_origins(requested: DataFrame, available: DataFrame) -> DataFrame:
     """Requested origins the data does not have."""
-    return requested.select("log_type").exceptAll(available.select("log_type").distinct()).distinct()
+    return requested.select("log_type").subtract(available.select("log_type"))
 
 
 def write_clusters(clusters: DataFrame, folder: str) -> None:
