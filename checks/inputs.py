@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logweave.functions.timestamps import event_date, event_ts, normalize_timestamp
 from logweave.operators.events import parse_lines
 from logweave.rules.origins import AIS, Extractor, Origin
+from logweave.session import spread
 
 _MESSAGE = """case event_type
   when 'error'  then concat('ORA-', lpad(cast(event_id % 100000 as {string}), 5, '0'), ' request failed for user ', cast(user_id as {string}))
@@ -34,15 +35,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose rows are about to go through costly expressions."""
+    return spread(table(spark, sf, name))
+
+
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
     """``(file, line_no, value)``, one header line per event; some have no header, some an empty level."""
     query = _spark_sql(_LOG_LINES, message=_spark_sql(_MESSAGE), events="{events}")
-    return spark.sql(query, events=table(spark, sf, "events"))
+    built = spark.sql(query, events=spread_table(spark, sf, "events"))
+    # Through a generator the text is put together once, however many expressions look at it, as if it had been read.
+    return built.select("file", "line_no", F.explode(F.array("value")).alias("value"))
 
 
 def log_multiline(spark: SparkSession, sf: str) -> DataFrame:
     """``(file, line_no, value)``: a document is a file."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
+    docs = spread_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
     return docs.select("file", F.posexplode(F.split("text", "\n", -1)).alias("pos", "value")).select(
         "file", (F.col("pos") + 1).cast("bigint").alias("line_no"), "value"
     )
@@ -75,9 +83,9 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
 
 def mask_input(spark: SparkSession, sf: str) -> DataFrame:
     """``(kind, id, message)``: whole texts of documents, pages and conversations."""
-    docs = table(spark, sf, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("message"))
-    pages = table(spark, sf, "pages").select(F.lit("p"), "page_id", "html")
-    talks = table(spark, sf, "conversations").select(F.lit("c"), F.col("conv_id") * 1000 + F.col("turn"), "text")
+    docs = spread_table(spark, sf, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("message"))
+    pages = spread_table(spark, sf, "pages").select(F.lit("p"), "page_id", "html")
+    talks = spread_table(spark, sf, "conversations").select(F.lit("c"), F.col("conv_id") * 1000 + F.col("turn"), "text")
     return docs.union(pages).union(talks)
 
 

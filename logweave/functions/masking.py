@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logweave.functions.regex import java_regex, strip
+from logweave.functions.regex import java_regex
 from logweave.rules.masks import CUSTOM_DELIMITERS, CUSTOM_MASKS, DOMAIN_MASKS, MESSAGE_DELIMITERS
 from logweave.rules.timestamps import TIMESTAMP_CATALOGUE
 
@@ -40,8 +40,7 @@ def mask_domain(text: Column, include_timestamp: bool = False, timestamps: Seque
 
 def tokenize(text: Column, delimiters: str = CUSTOM_DELIMITERS) -> Column:
     """Delimiters count as spaces; tokens are what stands between white space."""
-    spaced = strip(F.translate(text, delimiters, " " * len(delimiters)))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, r"(?U)\s+"))
+    return F.array_remove(F.split(F.translate(text, delimiters, " " * len(delimiters)), r"(?U)\s+"), "")
 
 
 def tokenize_message(text: Column) -> Column:

@@ -54,10 +54,11 @@ def profile_of(origin: Column) -> Column:
 
 
 def _as_tokens(df: DataFrame, tokens: Column, config: Column) -> DataFrame:
-    with_tokens = df.select(config.alias("config"), "origin", "seq", tokens.alias("tokens"))
-    return with_tokens.select(
+    """Token rows of messages that have any. A generator, so that the masks run once and not again for a filter."""
+    filled = F.explode(F.filter(F.array(tokens), lambda t: F.size(t) > 0)).alias("tokens")
+    return df.select(config.alias("config"), "origin", "seq", filled).select(
         "config", "origin", F.size("tokens").alias("n_tokens"), "seq", F.array_join("tokens", " ").alias("text")
-    ).filter("n_tokens > 0")
+    )
 
 
 def prepare_first_match(

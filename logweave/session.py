@@ -53,6 +53,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly expressions over an input of few splits; larger inputs stay where they are read."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def sized_broadcast(df: DataFrame, label: str, max_rows: int = 500_000) -> DataFrame:
     """Materialise a side table and broadcast it only when its counted rows are few; else leave it to a shuffle join."""
     table = materialize(df, label)
