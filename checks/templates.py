@@ -209,33 +209,32 @@ def _agg_15(spark, sf):
 
 _TEMPLATE_SQL = (
     I.RECORDS_CTE
-    + f", masked as (select {_MASKED} as template from records where message is not null), "
-    "t as (select template, count(*) as size from masked group by template), "
-    "templates as (select *, row_number() over (order by size desc, template) as cluster_id from t)"
+    + f", masked as (select {_MASKED} as template, line_no from records where message is not null), "
+    "templates as (select template, count(*) as size, min(line_no) as cluster_id from masked group by template)"
 )
 
 
 def _templates(spark, sf):
-    from pyspark.sql import Window as W
-
+    """Distinct masked messages, each named after its first line."""
     from logweave.functions.masking import apply_masks
 
-    masked = _messages(spark, sf).select(apply_masks(F.col("message"), _SAFE).alias("template"))
-    sizes = masked.groupBy("template").agg(F.count(F.lit(1)).alias("size"))
-    # Numbers of distinct templates, not of messages.
-    return sizes.withColumn("cluster_id", F.row_number().over(W.orderBy(F.desc("size"), "template")).cast("bigint")).withColumn(
-        "origin", F.lit("app")
-    )
+    masked = _messages(spark, sf).select(apply_masks(F.col("message"), _SAFE).alias("template"), "seq")
+    sizes = masked.groupBy("template").agg(F.count(F.lit(1)).alias("size"), F.min("seq").alias("cluster_id"))
+    return sizes.withColumn("origin", F.lit("app"))
 
 
-@check("top_1_top_clusters", f"with {_TEMPLATE_SQL}, n as (select sum(size) as total from templates) select cast(cluster_id as bigint) as rank, cluster_id, size, round(size * 100.0 / total, 2) as percentage, template from templates, n where cluster_id <= 10")
+@check(
+    "top_1_top_clusters",
+    f"with {_TEMPLATE_SQL}, r as (select *, row_number() over (order by size desc, cluster_id) as rank, sum(size) over () as total from templates) "
+    "select rank, cluster_id, size, round(size * 100.0 / total, 2) as percentage, template from r where rank <= 10",
+)
 def _top_1(spark, sf):
     return serve.top_clusters(_templates(spark, sf), 10)
 
 
-@check("top_3_cluster_detail", f"with {_TEMPLATE_SQL} select template, size from templates where cluster_id = 2")
+@check("top_3_cluster_detail", f"with {_TEMPLATE_SQL} select template, size from templates where cluster_id = 0")
 def _top_3(spark, sf):
-    return serve.cluster_detail(_templates(spark, sf), 2).select("template", "size")
+    return serve.cluster_detail(_templates(spark, sf), 0).select("template", "size")
 
 
 @check(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from logweave.functions.regex import java_regex
+from logweave.operators.storage import one_row
 from logweave.rules.levels import LEVEL_WORDS
 from logweave.rules.timestamps import TIMESTAMP_CATALOGUE
 
@@ -174,19 +175,10 @@ def coverage_report(structured: DataFrame, templates: DataFrame, event_id: str =
         F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("matched_lines"),
         F.coalesce(F.max(F.when(known, F.col("n"))), F.lit(0)).alias("largest_cluster_size"),
     )
-    count = templates.agg(F.count(F.lit(1)).alias("num_templates"))
-    return (
-        lines.withColumn("__one", F.lit(1))
-        .join(count.withColumn("__one", F.lit(1)), "__one")
-        .select(
-            "total_lines",
-            "matched_lines",
-            F.when(F.col("total_lines") > 0, F.round(F.col("matched_lines") / F.col("total_lines") * 100, 2))
-            .otherwise(0.0)
-            .alias("coverage_pct"),
-            "num_templates",
-            "largest_cluster_size",
-        )
+    total = F.col("total_lines")
+    share = F.when(total > 0, F.round(F.col("matched_lines") / total * 100, 2)).otherwise(0.0)
+    return one_row(lines, templates.agg(F.count(F.lit(1)).alias("num_templates"))).select(
+        "total_lines", "matched_lines", share.alias("coverage_pct"), "num_templates", "largest_cluster_size"
     )
 
 

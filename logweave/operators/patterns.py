@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.rules.masks import PLACEHOLDER_PATTERNS
+from logweave.session import materialize
 
 SIMILAR = 0.5
 MAX_ALTERNATIVES = 6
@@ -143,7 +144,10 @@ def synthesize_group_patterns(members: DataFrame) -> DataFrame:
     Similarity to the longest member is computed per member, in parallel. Groups of similar members are merged token by
     token (a fold over distinct templates in member order); the others become an alternation of whole patterns.
     """
-    distinct = members.groupBy("origin", "group_id", "template").agg(F.min("ord").alias("ord"))
+    # Read three times below; what led to the members is not computed again.
+    distinct = materialize(
+        members.groupBy("origin", "group_id", "template").agg(F.min("ord").alias("ord")), "pattern-members"
+    )
     longest = distinct.groupBy("origin", "group_id").agg(
         F.max_by("template", F.struct(F.length("template").alias("n"), (-F.col("ord")).alias("o"))).alias("reference")
     )
@@ -152,7 +156,7 @@ def synthesize_group_patterns(members: DataFrame) -> DataFrame:
         "similar", (F.col("template") == F.col("reference")) | (similarity("template", "reference") >= SIMILAR)
     )
     verdict = judged.groupBy("origin", "group_id").agg(F.bool_and("similar").alias("mergeable"))
-    marked = distinct.join(verdict, ["origin", "group_id"])
+    marked = materialize(distinct.join(verdict, ["origin", "group_id"]), "pattern-verdicts")
     merged = (
         marked.filter("mergeable")
         .repartition("origin", "group_id")

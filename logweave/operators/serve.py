@@ -48,14 +48,12 @@ def page_totals(records: DataFrame, page_size: int = 50) -> DataFrame:
 
 def top_clusters(clusters: DataFrame, n: int = 10) -> DataFrame:
     """Largest clusters with rank and share."""
-    total = clusters.agg(F.sum("size").alias("__total"))
+    total = clusters.agg(F.sum("size")).scalar()
     top = clusters.orderBy(F.desc("size"), "cluster_id").limit(n)
-    ranked = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("size"), "cluster_id")))
-    # One row of totals next to at most n rows.
-    return (
-        ranked.withColumn("__one", F.lit(1))
-        .join(total.withColumn("__one", F.lit(1)), "__one")
-        .select("rank", "cluster_id", "size", F.round(F.col("size") / F.col("__total") * 100, 2).alias("percentage"), "template")
+    # The window sees n rows.
+    rank = F.row_number().over(W.orderBy(F.desc("size"), "cluster_id"))
+    return top.select(
+        rank.alias("rank"), "cluster_id", "size", F.round(F.col("size") / total * 100, 2).alias("percentage"), "template"
     )
 
 

@@ -173,6 +173,14 @@ def update_registry(registry: DataFrame, runs: DataFrame) -> DataFrame:
     return old.join(new, "rel_path", "full_outer").select("rel_path", *pick)
 
 
+def one_row(*rows: DataFrame) -> DataFrame:
+    """Columns of several one-row aggregates in one row, by a union instead of a join."""
+    both = rows[0]
+    for row in rows[1:]:
+        both = both.unionByName(row, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
 def execution_summary(files: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """One row for a run. ``files``: ``rel_path, process, error``; ``stats``: timestamp normalisation totals.
 
@@ -192,8 +200,7 @@ def execution_summary(files: DataFrame, stats: DataFrame | None = None) -> DataF
         F.sum("failed").alias("failed_to_normalize"),
         F.sum("no_timestamp").alias("no_timestamp"),
     )
-    # Two one-row aggregates side by side.
-    return summary.withColumn("__one", F.lit(1)).join(totals.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return one_row(summary, totals)
 
 
 def failed_files(files: DataFrame) -> DataFrame:
