@@ -71,32 +71,37 @@ def unclassified(records: DataFrame) -> DataFrame:
     return records.filter(F.col("template_group_id").isNull())
 
 
-def classify_by_cluster(messages: DataFrame, clusters: DataFrame, key: str = "id", text: str = "message") -> DataFrame:
-    """``(key, cluster_id)``: first cluster whose template accounts for the whole message, null without any.
+def first_rule(df: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
+    """``(key, rule_id)``: the lowest ``rule_id`` whose ``regex`` is found in the text, null without any.
 
-    Mined clusters can be many. A template that begins with a literal word can only match messages that begin with it,
-    so those are found by an equi join on the first word; the few that begin with a placeholder are tried as literals.
+    For tables of many rules. A rule with a ``word`` can only match texts whose first word is that one, so those meet by
+    an equi join; the few without are tried as literals.
     """
     word = F.split(F.col(text), r"\s")[0]
-    rules = clusters.select(
-        "cluster_id",
-        F.split("template", r"\s")[0].alias("__word"),
-        F.concat(F.lit(r"\A"), template_to_pattern(F.col("template"), anchor=False), F.lit(r"\z")).alias("regex"),
-    )
-    literal = rules.filter(~F.col("__word").contains("<"))
+    worded = rules.filter("word is not null")
     found = (
-        messages.select(key, text, word.alias("__word"))
-        .join(literal, "__word")
+        df.select(*dict.fromkeys([key, text]), word.alias("word"))
+        .join(worded, "word")
         .filter(F.expr(f"`{text}` rlike regex"))
         .groupBy(key)
-        .agg(F.min("cluster_id").alias("__literal"))
+        .agg(F.min("rule_id").alias("__worded"))
     )
     open_ended = [
-        (row["cluster_id"], row["regex"])
-        for row in rules.filter(F.col("__word").contains("<")).orderBy("cluster_id").toLocalIterator()
+        (row["rule_id"], row["regex"]) for row in rules.filter("word is null").orderBy("rule_id").toLocalIterator()
     ]
-    tried = first_match(messages.select(key, text), text, open_ended, "__open", "bigint")
-    return tried.join(found, key, "left").select(key, F.least("__literal", "__open").alias("cluster_id"))
+    tried = first_match(df.select(*dict.fromkeys([key, text])), text, open_ended, "__open", "bigint")
+    return tried.join(found, key, "left").select(key, F.least("__worded", "__open").alias("rule_id"))
+
+
+def classify_by_cluster(messages: DataFrame, clusters: DataFrame, key: str = "id", text: str = "message") -> DataFrame:
+    """``(key, cluster_id)``: first cluster whose template accounts for the whole message, null without any."""
+    word = F.split("template", r"\s")[0]
+    rules = clusters.select(
+        F.col("cluster_id").alias("rule_id"),
+        F.when(~word.contains("<"), word).alias("word"),
+        F.concat(F.lit(r"\A"), template_to_pattern(F.col("template"), anchor=False), F.lit(r"\z")).alias("regex"),
+    )
+    return first_rule(messages, key, text, rules).withColumnRenamed("rule_id", "cluster_id")
 
 
 def new_groups_by_key(groups: DataFrame, stored: DataFrame) -> DataFrame:
@@ -106,11 +111,15 @@ def new_groups_by_key(groups: DataFrame, stored: DataFrame) -> DataFrame:
 
 def covering_rule(groups: DataFrame, stored: DataFrame, text: str = "representative_template") -> DataFrame:
     """Add ``covered_by``: the first stored group whose pattern accounts for the whole representative template."""
-    rules = [
-        (row["group_id"], rf"\A(?:{row['pattern']})\z")
-        for row in stored.filter("pattern is not null").select("group_id", "pattern").orderBy("group_id").toLocalIterator()
-    ]
-    return first_match(groups, text, rules, "covered_by", "bigint")
+    # A pattern that begins with a plain word and white space, and has no alternative beginning.
+    first = F.regexp_extract("pattern", r"^(?:\(\?s\))?\^?([A-Za-z0-9_]+)\\(?: |s\+)(?![?*{])[^|]*$", 1)
+    rules = stored.filter("pattern is not null").select(
+        F.col("group_id").alias("rule_id"),
+        F.when(first != "", first).alias("word"),
+        F.concat(F.lit(r"\A(?:"), F.col("pattern"), F.lit(r")\z")).alias("regex"),
+    )
+    found = first_rule(groups.select(text).distinct(), text, text, rules)
+    return groups.join(found.withColumnRenamed("rule_id", "covered_by"), text, "left")
 
 
 def uncovered_groups(groups: DataFrame, stored: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from logweave.functions.text import (
 )
 from logweave.rules.origins import Origin
 from logweave.schema import CORE_GROUPS
+from logweave.session import sized_broadcast
 
 BLOCK_ROWS = 1 << 17
 NEAR_START = 20
@@ -126,7 +127,7 @@ def message_ranges(lines: DataFrame, is_start: Column, key: str = "file_path", b
 
 def hold_last_event(events: DataFrame, key: str = "file_path") -> DataFrame:
     """Mark each file's last event, which may still grow."""
-    last = events.groupBy(key).agg(F.max("event_no").alias("__last"))
+    last = sized_broadcast(events.groupBy(key).agg(F.max("event_no").alias("__last")), "last-events")
     return events.join(last, key).withColumn("held", F.col("event_no") == F.col("__last")).drop("__last")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from logweave.functions.regex import java_regex
 from logweave.operators.storage import one_row
+from logweave.session import sized_broadcast
 from logweave.rules.levels import LEVEL_WORDS
 from logweave.rules.timestamps import TIMESTAMP_CATALOGUE
 
@@ -98,7 +99,8 @@ def cluster_stats(assignments: DataFrame, messages: DataFrame, clusters: DataFra
         .select(*key, "seq")
     )
     examples = (
-        first.join(messages.select("origin", "seq", "message"), ["origin", "seq"])
+        messages.select("origin", "seq", "message")
+        .join(sized_broadcast(first, "cluster-examples"), ["origin", "seq"])
         .groupBy(*key)
         .agg(F.array_sort(F.collect_list(F.struct("seq", "message"))).alias("__e"))
         .select(*key, F.transform("__e", lambda e: e["message"]).alias("examples"))

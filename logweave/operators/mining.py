@@ -30,7 +30,7 @@ from logweave.functions.text import condense_trace_json, filter_message_lines, s
 from logweave.functions.regex import strip
 from logweave.rules.masks import DEFAULT_PROFILE, DRAIN_PROFILES, QUICK_SWEEP
 from logweave.rules.origins import BY_NAME
-from logweave.session import materialize
+from logweave.session import materialize, sized_broadcast
 
 CHUNK_ROWS = 1 << 18
 WILDCARD = "<*>"
@@ -378,7 +378,8 @@ def _finish(assigned: DataFrame, model: DataFrame | None, first_id: int) -> Mine
         clusters.withColumn("cluster_id", F.row_number().over(ranked).cast("bigint") - 1 + first_id), "mining-clusters"
     )
     ids = clusters.select("config", "origin", F.col("created_seq").alias("cluster_seq"), "cluster_id")
-    assignments = assigned.join(ids, ["config", "origin", "cluster_seq"]).select(
+    # One cluster may hold a large share of the messages; the clusters themselves are usually few.
+    assignments = assigned.join(sized_broadcast(ids, "mining-ids"), ["config", "origin", "cluster_seq"]).select(
         "config", "origin", "seq", "cluster_id", F.col("template").alias("template_at_assignment"), "change_type"
     )
     return Mined(assignments, clusters)

@@ -15,6 +15,8 @@ from logweave.session import materialize
 
 SIMILAR = 0.5
 MAX_ALTERNATIVES = 6
+# Whole patterns per rule; a group of more unlike members gets several rules that mean the same.
+PIECES_PER_RULE = 1000
 _SPECIAL = r"([\\.^$|?*+()\[\]{}&~#\-])"
 _BY_LENGTH = sorted(PLACEHOLDER_PATTERNS, key=len, reverse=True)
 
@@ -142,7 +144,8 @@ def synthesize_group_patterns(members: DataFrame) -> DataFrame:
     """``(origin, group_id, pattern, merged_template)`` from ``attach_member_templates`` rows.
 
     Similarity to the longest member is computed per member, in parallel. Groups of similar members are merged token by
-    token (a fold over distinct templates in member order); the others become an alternation of whole patterns.
+    token (a fold over distinct templates in member order); the others become an alternation of whole patterns, spread
+    over several rows where a group has very many.
     """
     # Read three times below; what led to the members is not computed again.
     distinct = materialize(
@@ -168,10 +171,13 @@ def synthesize_group_patterns(members: DataFrame) -> DataFrame:
         "piece", F.regexp_replace(template_to_pattern(F.col("template"), anchor=False), r"^\(\?s\)", "")
     )
     whole = whole.withColumn("piece", F.regexp_replace("piece", r"(?:\\\s)+", r"\\s+"))
+    pieces = whole.groupBy("origin", "group_id", "piece").agg(
+        F.min("ord").alias("ord"), F.min_by("template", "ord").alias("template")
+    )
+    parts = pieces.groupBy("origin", "group_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(PIECES_PER_RULE)).alias("n_parts"))
     alternation = (
-        whole.groupBy("origin", "group_id", "piece")
-        .agg(F.min("ord").alias("ord"), F.min_by("template", "ord").alias("template"))
-        .groupBy("origin", "group_id")
+        pieces.join(parts, ["origin", "group_id"])
+        .groupBy("origin", "group_id", F.pmod(F.xxhash64("piece"), F.col("n_parts")).alias("part"))
         .agg(F.array_sort(F.collect_list(F.struct("ord", "piece", "template"))).alias("p"))
         .select(
             "origin",
@@ -185,12 +191,11 @@ def synthesize_group_patterns(members: DataFrame) -> DataFrame:
     return merged.unionByName(alternation)
 
 
-def build_rules(groups: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Template groups with their patterns: the rule table."""
-    patterns = synthesize_group_patterns(attach_member_templates(groups, clusters))
-    return groups.join(patterns, ["origin", "group_id"]).select(
+def build_rules(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """The rule table: groups with the patterns of their members ``(origin, group_id, ord, cluster_id, template)``."""
+    return groups.join(synthesize_group_patterns(members), ["origin", "group_id"]).select(
         "origin", "group_id", "representative_cluster_id", "representative_template", "merged_template", "pattern",
-        "event_type", "severity", "member_cluster_ids",
+        "event_type", "severity",
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.session import scratch_path
+from logweave.session import scratch_path, sized_broadcast
 
 PARTITIONS = ("log_type", "event_date")
 
@@ -44,7 +44,7 @@ def merge_daily(new: DataFrame, stored: DataFrame | None, order: Sequence[str] =
 
 def affected(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Stored records of the days and origins the new ones fall into."""
-    days = new.select(*[F.col(c).alias(f"__{c}") for c in PARTITIONS]).distinct()
+    days = sized_broadcast(new.select(*[F.col(c).alias(f"__{c}") for c in PARTITIONS]).distinct(), "affected-days")
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in PARTITIONS]
     return stored.join(days, same[0] & same[1], "left_semi")
 
@@ -81,6 +81,7 @@ def daily_envelope(records: DataFrame, order: Sequence[str] = ("file_path", "lin
     position = F.struct(*order)
     firsts = records.groupBy(*keys).agg(F.min(position).alias("__first"))
     day = firsts.select(F.col("log_type").alias("__type"), F.col("event_date").alias("__day"), "__first")
+    day = sized_broadcast(day, "envelope-days")
     same_day = (F.col("log_type") == F.col("__type")) & F.col("event_date").eqNullSafe(F.col("__day"))
     rows = records.join(day, same_day)
     body = rows.select(

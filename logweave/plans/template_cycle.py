@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.operators.grouping import embed_templates, group_templates, template_groups
+from logweave.operators.grouping import embed_templates, group_members, group_templates, template_groups
 from logweave.operators.metrics import level_word_coverage, timestamp_format_coverage
 from logweave.operators.mining import mine_templates_best_match, mine_templates_first_match
 from logweave.operators.patterns import build_rules
@@ -22,27 +22,29 @@ from logweave.session import materialize
 class Templates:
     clusters: DataFrame
     groups: DataFrame
+    members: DataFrame
     rules: DataFrame
 
 
-def group_clusters(clusters: DataFrame, distance_threshold: float = 0.6) -> DataFrame:
-    """Template groups of ``(origin, cluster_id, template, size)``, origin by origin; few origins, many templates."""
-    result = None
+def group_clusters(clusters: DataFrame, distance_threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """Groups and members of ``(origin, cluster_id, template, size)``, origin by origin; few origins, many templates."""
+    groups, members = None, None
     for row in clusters.select("origin").distinct().orderBy("origin").toLocalIterator():
         own = clusters.filter(F.col("origin") == row["origin"])
         vectors = embed_templates(own.select(F.col("cluster_id").alias("id"), "template"))
         vectors = materialize(vectors.withColumn("origin", F.lit(row["origin"])), "template-vectors")
-        grouped = group_templates(vectors, distance_threshold)
-        table = template_groups(own, grouped, vectors)
-        result = table if result is None else result.unionByName(table)
-    return materialize(result, "template-groups")
+        grouped = materialize(group_templates(vectors, distance_threshold), "template-labels")
+        table, rows = template_groups(own, grouped, vectors), group_members(own, grouped)
+        groups = table if groups is None else groups.unionByName(table)
+        members = rows if members is None else members.unionByName(rows)
+    return materialize(groups, "template-groups"), materialize(members, "template-members")
 
 
 def generate_templates(messages: DataFrame, best: bool = True, distance_threshold: float = 0.6, **rules) -> Templates:
     """``(origin, seq, message)`` to clusters, groups and rules that wait for a review."""
     mined = (mine_templates_best_match if best else mine_templates_first_match)(messages, **rules)
-    groups = group_clusters(mined.clusters, distance_threshold)
-    return Templates(mined.clusters, groups, build_rules(groups, mined.clusters.select("origin", "cluster_id", "template")))
+    groups, members = group_clusters(mined.clusters, distance_threshold)
+    return Templates(mined.clusters, groups, members, materialize(build_rules(groups, members), "template-rules"))
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.session import materialize
 from logweave.sources.files import relative_to
 
 SUFFIXES = (".tbz2", ".tar.bz2", ".tar.gz", ".tgz")
@@ -66,7 +67,8 @@ def read_archived_logs(spark: SparkSession, root: str, existing: DataFrame | Non
         .load(root)
         .select("path", relative_to(root, F.col("path")).alias("rel_path"))
     )
-    lines = archives.repartition("path").mapInPandas(_unpack, _SCHEMA)
+    # Unpacked once into the shared folder: a compressed stream is not read again for every use.
+    lines = materialize(archives.repartition("path").mapInPandas(_unpack, _SCHEMA), "archive-lines")
     owners = lines.groupBy("rel_path").agg(F.min("archive").alias("archive"))
     lines = lines.join(owners, ["archive", "rel_path"], "left_semi")
     if existing is not None:

@@ -12,7 +12,7 @@ from logweave.operators.events import parse_lines
 from logweave.operators.storage import exists, write_daily
 from logweave.functions.regex import java_regex
 from logweave.rules.origins import Origin
-from logweave.session import materialize
+from logweave.session import materialize, sized_broadcast
 
 _LINES = "file_path string, line_no bigint, value string"
 
@@ -26,7 +26,7 @@ def split_open_events(lines: DataFrame, origin: Origin) -> tuple[DataFrame, Data
         return lines, lines.limit(0)
     header = java_regex("|".join(f"(?:{p})" for _, p in origin.headers))
     last = lines.filter(F.col("value").rlike(header)).groupBy("file_path").agg(F.max("line_no").alias("__last"))
-    marked = lines.join(last, "file_path", "left").withColumn("__open", F.coalesce(F.col("line_no") >= F.col("__last"), F.lit(False)))
+    marked = lines.join(sized_broadcast(last, "open-events"), "file_path", "left").withColumn("__open", F.coalesce(F.col("line_no") >= F.col("__last"), F.lit(False)))
     return marked.filter(~F.col("__open")).select(lines.columns), marked.filter("__open").select(lines.columns)
 
 
