@@ -31,10 +31,11 @@ def check(name: str, sql: str | None = None):
 # --- sources -------------------------------------------------------------------------------------------------------
 
 
-def _text_files(spark, sf) -> str:
-    """Log lines as text files below one folder per ``file``; each line begins with its number."""
+def _text_files(spark, sf, numbered: bool = True) -> str:
+    """Log lines as text files below one folder per ``file``; each line may begin with its number."""
     path = scratch_path(spark, "check-logs")
-    lines = I.log_lines(spark, sf).select("file", "line_no", F.concat_ws(" ", "line_no", "value").alias("value"))
+    value = F.concat_ws(" ", "line_no", "value") if numbered else F.col("value")
+    lines = I.log_lines(spark, sf).select("file", "line_no", value.alias("value"))
     ordered = lines.repartitionByRange("file", "line_no").sortWithinPartitions("file", "line_no")
     ordered.select("file", "value").write.partitionBy("file").text(path)
     return path
@@ -546,3 +547,43 @@ def _set_3(spark, sf):
 def _joi_8(spark, sf):
     results = I.table(spark, sf, "orders").select(F.concat(F.lit("app_"), F.col("o_orderkey") % 2, F.lit(".log")).alias("file"))
     return classify.records_of_run(_by_file(spark, sf), results, "file").select("file", "line_no", "message")
+
+
+# --- streaming -----------------------------------------------------------------------------------------------------
+
+
+@check("str_1_stream_log_tail", f"with {I.LINES_CTE} select file, value from log_lines")
+def _str_1(spark, sf):
+    """Files followed by a stream until nothing is left, twice: the second run finds nothing new."""
+    from logweave.streaming.tail import stream_log_tail
+
+    logs, target = _text_files(spark, sf, numbered=False), scratch_path(spark, "check-tail")
+    for _ in range(2):
+        query = (
+            stream_log_tail(spark, logs.removeprefix("file:"), ".txt", range_bytes=1 << 16)
+            .writeStream.format("parquet")
+            .option("path", f"{target}/out")
+            .option("checkpointLocation", f"{target}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    lines = spark.read.parquet(f"{target}/out")
+    return lines.select(F.regexp_extract("file_path", _FOLDER, 1).alias("file"), "value")
+
+
+@check(
+    "str_4_stream_dedup_daily",
+    f"with {I.RECORDS_CTE}, d as (select distinct event_date, \"timestamp\", message from records) "
+    "select strftime(event_date, '%Y-%m-%d') as event_date, count(*) as records from d group by event_date",
+)
+def _str_4(spark, sf):
+    """Files followed, parsed, enriched and merged into the day store."""
+    from logweave.streaming.incremental import start_incremental
+    from logweave.streaming.tail import stream_log_tail
+
+    logs, target = _text_files(spark, sf, numbered=False), scratch_path(spark, "check-stream")
+    stream = stream_log_tail(spark, logs.removeprefix("file:"), ".txt")
+    start_incremental(stream, I.APP, f"{target}/store", f"{target}/state", f"{target}/checkpoint", 2024).awaitTermination()
+    stored = spark.read.parquet(f"{target}/store")
+    return stored.groupBy(F.col("event_date").cast("string").alias("event_date")).agg(F.count(F.lit(1)).alias("records"))
