@@ -4,23 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from logweave.session import scratch_path, sized_broadcast
 
 PARTITIONS = ("log_type", "event_date")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists, on whatever file system it names."""
-    from pyspark.errors import AnalysisException
-
+def read_if_there(spark: SparkSession, path: str, fmt: str, schema: StructType | str | None = None) -> DataFrame | None:
+    """A table on whatever file system the path names, or none when nothing was written yet."""
+    reader = spark.read.format(fmt) if schema is None else spark.read.format(fmt).schema(schema)
     try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    except AnalysisException:
-        return False
-    return True
+        return reader.load(path)
+    except AnalysisException as error:
+        # A store that only ever got empty batches has a folder but no file.
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -56,7 +59,10 @@ def write_daily(new: DataFrame, path: str, fmt: str = "parquet", order: Sequence
     partition behind, and repeating the call gives the same store.
     """
     spark = new.sparkSession
-    stored = spark.read.schema(new.schema).format(fmt).load(path) if exists(spark, path) else None
+    # Parquet knows its columns, which may be more than the new ones; text formats are read as the new records are.
+    stored = read_if_there(spark, path, fmt, None if fmt == "parquet" else new.schema)
+    if stored is not None:
+        stored = stored.withColumns({c: F.col(c).cast(new.schema[c].dataType) for c in PARTITIONS})
     merged = merge_daily(new, affected(stored, new) if stored is not None else None, order)
     staged = scratch_path(spark, "daily")
     merged.write.parquet(staged)

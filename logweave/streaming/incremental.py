@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logweave.operators.enrich import enrich_records
 from logweave.operators.events import parse_lines
-from logweave.operators.storage import exists, write_daily
+from logweave.operators.storage import read_if_there, write_daily
 from logweave.functions.regex import java_regex
 from logweave.rules.origins import Origin
 from logweave.session import materialize, sized_broadcast
@@ -31,8 +31,7 @@ def split_open_events(lines: DataFrame, origin: Origin) -> tuple[DataFrame, Data
 
 
 def _held(spark: SparkSession, state: str, batch_id: int) -> DataFrame | None:
-    path = f"{state}/open/batch={batch_id}"
-    return spark.read.schema(_LINES).parquet(path) if exists(spark, path) else None
+    return read_if_there(spark, f"{state}/open/batch={batch_id}", "parquet", _LINES)
 
 
 def to_records(lines: DataFrame, origin: Origin, year: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -24,6 +24,14 @@ def test_daily_merge_keeps_stored_rows(spark, tmp_path):
     assert [(r["file_path"], r["line_no"]) for r in rows] == [("old", 1), ("old", 2), ("old", 3), ("new", 4)]
 
 
+def test_stored_columns_survive_a_narrower_write(spark, tmp_path):
+    path = str(tmp_path / "store")
+    storage.write_daily(frame(spark, (DAY, "x", "m", "old", 1)).withColumn("event_type", F.lit("e")), path)
+    storage.write_daily(frame(spark, (DAY, "x", "m", "new", 1), (DAY, "y", "m", "new", 2)), path)
+    rows = spark.read.parquet(path).orderBy("line_no").collect()
+    assert [(r["file_path"], r["event_type"]) for r in rows] == [("old", "e"), ("new", None)]
+
+
 def test_envelope_is_one_document_per_day(spark, tmp_path):
     path = tmp_path / "json"
     rows = frame(spark, *[(DAY, str(i), f"m{i}", "f", i) for i in range(50)], (None, None, "u", "f", 1))
