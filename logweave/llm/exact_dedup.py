@@ -91,10 +91,15 @@ def exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ma
         "digest",
     )
     shared = flagged.where("maybe").select("row", "doc_id", "digest")
-    groups = shared.groupBy("digest").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size")
+    # A hot digest is one row per task on its way here and many in ``shared``. Written first, so that the join deals both
+    # sides by itself and can split a hot partition of ``shared`` at run time.
+    groups = materialize(
+        shared.groupBy("digest").agg(
+            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"),
+            F.count(F.lit(1)).alias("group_size"),
+        ),
+        "copy-groups",
     )
-    # A hot digest is one row here and many in ``shared``; the sort-merge join splits its partition at run time.
     joined = shared.join(groups.hint("merge"), "digest").select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
