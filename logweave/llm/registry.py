@@ -24,4 +24,5 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 from logweave.llm import (  # noqa: E402, F401
     queries_dedup,
+    queries_tokens,
 )
