@@ -25,5 +25,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 from logweave.llm import (  # noqa: E402, F401
     queries_corpus,
     queries_dedup,
+    queries_models,
     queries_tokens,
 )
