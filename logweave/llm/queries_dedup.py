@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweave.llm import exact_dedup
+from logweave.llm import exact_dedup, simhash
 from logweave.llm.registry import query, table
 
 
@@ -19,3 +19,9 @@ from logweave.llm.registry import query, table
 )
 def _op5(spark, sf):
     return exact_dedup.exact_copies(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op4_simhash")
+def _op4(spark, sf):
+    found = simhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "fingerprint", "component_id")
