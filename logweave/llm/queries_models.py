@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logweave.llm import quality, toxicity
+from logweave.llm import language, quality, toxicity
 from logweave.llm.registry import query, table
 from logweave.llm.text import fold
 
@@ -27,3 +27,11 @@ def _op1(spark, sf):
 @query("op2_toxicity")
 def _op2(spark, sf):
     return _scored(toxicity, spark, sf, "toxic", 3, 1)
+
+
+@query("op6_language")
+def _op6(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 4, 2)
+    found = language.predict(docs, language.train(docs, held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
