@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from logweave.llm import exact_dedup, simhash
+from pyspark.sql import functions as F
+
+from logweave.llm import exact_dedup, simhash, suffix_dedup
 from logweave.llm.registry import query, table
 
 
@@ -25,3 +27,9 @@ def _op5(spark, sf):
 def _op4(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", "fingerprint", "component_id")
+
+
+@query("op7_suffix_dedup")
+def _op7(spark, sf):
+    found = suffix_dedup.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
