@@ -34,6 +34,8 @@ OPEN_SPACE = re.compile(r" (?:\s|\Z)")
 NONE = np.int64(1) << 40
 # Pre-tokens of at most so many bytes share trees; longer ones have their own.
 SHARED_LEAVES = 64
+# Bytes of text encoded at once; large, so that many new pre-tokens merge in step.
+PIECE = 1 << 21
 # Pre-tokens, and chunks between spaces, held in memory per Python worker.
 MEMORY = 600_000
 
@@ -316,7 +318,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
         values = pa.array(np.frombuffer(b"".join(made), "<u4").astype(np.int32))
         return record(key=batch.column(0), ids=pa.ListArray.from_arrays(pa.array(ends), values))
 
-    return map_arrow(docs.selectExpr(f"`{key}` as key", f"`{text}` as text"), run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return map_arrow(docs.selectExpr(f"`{key}` as key", f"`{text}` as text"), run, f"key {kind}, ids array<int>", PIECE).withColumnRenamed("key", key)
 
 
 def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -347,4 +349,4 @@ def round_trip_digests(docs: DataFrame, path: str, text: str = "text", key: str
         )
 
     schema = f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return map_arrow(docs.selectExpr(f"`{key}` as key", f"`{text}` as text"), run, schema).withColumnRenamed("key", key)
+    return map_arrow(docs.selectExpr(f"`{key}` as key", f"`{text}` as text"), run, schema, PIECE).withColumnRenamed("key", key)

@@ -153,7 +153,9 @@ def search(index: DataFrame, windows: DataFrame, slop: int = 0, block_rows: int
         shared = spark.sparkContext.broadcast(Block(rows))
 
         def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
-            made = [made for shard in batch.to_pylist() for made in _search_shard(shard, shared.value, slop)]
+            made = []
+            for row in range(batch.num_rows):
+                made += _search_shard(batch.slice(row, 1).to_pylist()[0], shared.value, slop)
             return pa.RecordBatch.from_pylist(made, fields) if made else None
 
         if rows:

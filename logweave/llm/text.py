@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LOWER = np.frombuffer(LOWER, np.uint8)
@@ -27,12 +27,17 @@ def fold(column: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(rest == remainder, F.lit(False))
 
 
-def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``function`` on every Arrow batch, cut into pieces of bounded text size where it has a text column."""
+def map_arrow(
+    df: DataFrame,
+    function: Callable[[pa.RecordBatch], pa.RecordBatch | None],
+    schema: str,
+    limit: int = PIECE_BYTES,
+) -> DataFrame:
+    """``function`` on every Arrow batch, cut into pieces of ``limit`` text bytes where it has a text column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=limit):
                 made = function(piece)
                 if made is not None and made.num_rows:
                     yield made
