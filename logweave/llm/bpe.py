@@ -307,16 +307,19 @@ def _strings(column: pa.Array) -> list[str]:
     return [t.decode("utf-8", "replace") for t in texts(column)]
 
 
+def _id_lists(encoded: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *[len(m) // 4 for m in encoded]]).astype(np.int32)
+    values = np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
 def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, ids``: the ids of every whole text, as an array."""
     shared = docs.sparkSession.sparkContext.broadcast(load_tokenizer(path))
     kind = dict(docs.dtypes)[key]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = shared.value.encode(_strings(batch.column(1)))
-        ends = np.cumsum([0, *[len(m) // 4 for m in made]]).astype(np.int32)
-        values = pa.array(np.frombuffer(b"".join(made), "<u4").astype(np.int32))
-        return record(key=batch.column(0), ids=pa.ListArray.from_arrays(pa.array(ends), values))
+        return record(key=batch.column(0), ids=_id_lists(shared.value.encode(_strings(batch.column(1)))))
 
     return map_arrow(docs.selectExpr(f"`{key}` as key", f"`{text}` as text"), run, f"key {kind}, ids array<int>", PIECE).withColumnRenamed("key", key)
 
@@ -333,20 +336,24 @@ def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id") -> Data
     return map_arrow(encoded.selectExpr(f"`{key}` as key", "ids"), run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
-def round_trip_digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Encode and decode every whole text: ``key, n_tokens, ids_sha256, decoded_sha256``, without shipping the ids."""
+def round_trip_digests(
+    docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", keep_ids: bool = False
+) -> DataFrame:
+    """Encode and decode every whole text: ``key, n_tokens, ids_sha256, decoded_sha256`` and, if wanted, ``ids``."""
     shared = docs.sparkSession.sparkContext.broadcast(load_tokenizer(path))
     kind = dict(docs.dtypes)[key]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = shared.value
         made = coder.encode(_strings(batch.column(1)))
-        return record(
-            key=batch.column(0),
-            n_tokens=pa.array([len(m) // 4 for m in made], pa.int64()),
-            ids_sha256=[hashlib.sha256(m).hexdigest() for m in made],
-            decoded_sha256=[hashlib.sha256(coder.decode(m).encode()).hexdigest() for m in made],
-        )
-
-    schema = f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return map_arrow(docs.selectExpr(f"`{key}` as key", f"`{text}` as text"), run, schema, PIECE).withColumnRenamed("key", key)
+        columns = {
+            "key": batch.column(0),
+            "n_tokens": pa.array([len(m) // 4 for m in made], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in made], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(coder.decode(m).encode()).hexdigest() for m in made], pa.string()),
+        }
+        return record(**columns, **({"ids": _id_lists(made)} if keep_ids else {}))
+
+    schema = f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    source = docs.selectExpr(f"`{key}` as key", f"`{text}` as text")
+    return map_arrow(source, run, schema, PIECE).withColumnRenamed("key", key)

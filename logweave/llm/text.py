@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PIECE_BYTES = 1 << 19
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -30,14 +31,15 @@ def fold(column: str, modulus: int, remainder: int) -> Column:
 def map_arrow(
     df: DataFrame,
     function: Callable[[pa.RecordBatch], pa.RecordBatch | None],
-    schema: str,
+    schema: str | StructType,
     limit: int = PIECE_BYTES,
+    column: str = "text",
 ) -> DataFrame:
-    """``function`` on every Arrow batch, cut into pieces of ``limit`` text bytes where it has a text column."""
+    """``function`` on every Arrow batch, cut into pieces of ``limit`` bytes of ``column`` where it has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, limit=limit):
+            for piece in pieces(batch, column, limit):
                 made = function(piece)
                 if made is not None and made.num_rows:
                     yield made

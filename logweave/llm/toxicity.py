@@ -162,3 +162,14 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", key: str = "doc
 
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return map_arrow(source, run, f"key {dict(docs.dtypes)[key]}, score double").withColumnRenamed("key", key)
+
+
+def drop_toxic(docs: DataFrame, machine: Machine, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, unchanged; each batch is filtered where it is read."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        owner, bucket = term_buckets(batch.column(batch.schema.names.index(text)))
+        return batch.filter(pa.array(shared.value.score(owner, bucket, batch.num_rows) < threshold))
+
+    return map_arrow(docs, run, docs.schema, column=text)
