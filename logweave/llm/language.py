@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.text import map_arrow, record, texts
+from logweave.session import materialize
 
 # Bytes of labelled text per language and of all languages together; bytes of a slice of one document.
 SAMPLE_BYTES, TOTAL_BYTES, SLICE = 32_768, 262_144, 2_000
@@ -169,10 +170,12 @@ def train(docs: DataFrame, held_out: Column, text: str = "text", lang: str = "la
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out)
     usable = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("hash"))
     length = F.least(F.length("text"), F.lit(SLICE))
-    totals = usable.groupBy("lang").agg(F.sum(length).alias("total"))
+    totals = materialize(usable.groupBy("lang").agg(F.sum(length).alias("total")), "languages")
     languages = max(1, totals.count())
     each = max(1, min(SAMPLE_BYTES, TOTAL_BYTES // languages))
     shares = totals.select("lang", (F.least(F.lit(1.0), 4.0 * each / F.col("total")) * _BUCKETS).alias("share"))
+    # One short row per language; more languages than sample bytes would be joined by a shuffle.
+    shares = shares.hint("broadcast") if languages <= TOTAL_BYTES else shares
     taken = usable.join(shares, "lang").where(F.pmod("hash", F.lit(_BUCKETS)) < F.col("share"))
     start = 1 + F.pmod("hash", F.greatest(F.lit(1), F.length("text") - SLICE))
     rows = taken.select("lang", "hash", F.substring("text", start, F.lit(SLICE)).alias("text")).distinct().collect()
