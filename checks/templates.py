@@ -419,7 +419,28 @@ def _joi_7(spark, sf):
     return attached.select("group_id", "cluster_id", "template")
 
 
-@check("tpl_8_synthesize_group_pattern")
+_TOKEN_PATTERN = _PATTERN.replace("(template,", "(token,")
+# Groups by first character; per number of tokens and place the tokens found there, then shapes, then groups.
+_GROUP_PATTERNS = (
+    _TEMPLATE_SQL
+    + ", m as (select distinct ascii(template) as group_id, template, string_split_regex(template, '\\s+') as w from templates), "
+    "placed as (select group_id, template, len(w) as n, unnest(w) as token, unnest(range(len(w))) as pos from m), "
+    f"tokens as (select token, {_TOKEN_PATTERN} as f from (select distinct token from placed)), "
+    "found as (select distinct group_id, n, pos, token, f from placed join tokens using (token)), "
+    "slots as (select group_id, n, pos, count(*) as c, case when count(*) = 1 then min(f) else concat('(?:', string_agg(f, '|' order by token), ')') end as slot, "
+    "case when count(*) = 1 then min(token) else '<*>' end as readable from found group by all), "
+    "shapes as (select group_id, n, count(*) filter (c = 1) >= n * 0.5 as mergeable, string_agg(slot, '\\s+' order by pos) as body, "
+    "string_agg(readable, ' ' order by pos) as readable from slots group by group_id, n), "
+    "whole as (select group_id, n, template, string_agg(f, '\\s+' order by pos) as body from placed join tokens using (token) group by group_id, n, template), "
+    "listed as (select group_id, n, string_agg(body, '|' order by template) as body, string_agg(template, ' | ' order by template) as readable from whole group by group_id, n), "
+    "every as (select group_id, n, body, readable from shapes where mergeable union all "
+    "select l.* from listed l join shapes s on l.group_id = s.group_id and l.n = s.n where not mergeable), "
+    "rules as (select group_id, concat('(?s)^(?:', string_agg(body, '|' order by n), ')$') as pattern, "
+    "string_agg(readable, ' | ' order by n) as merged_template from every group by group_id)"
+)
+
+
+@check("tpl_8_synthesize_group_pattern", f"with {_GROUP_PATTERNS} select group_id, pattern from rules")
 def _tpl_8(spark, sf):
     members = patterns.attach_member_templates(_member_groups(spark, sf), _templates(spark, sf))
     return patterns.synthesize_group_patterns(members).select("group_id", "pattern")
@@ -444,19 +465,26 @@ def _tpl_8_members(spark, sf):
     )
 
 
-@check("tpl_9_merged_template")
+@check("tpl_9_merged_template", f"with {_GROUP_PATTERNS} select group_id, merged_template from rules")
 def _tpl_9(spark, sf):
     members = patterns.attach_member_templates(_member_groups(spark, sf), _templates(spark, sf))
     return patterns.synthesize_group_patterns(members).select("group_id", "merged_template")
 
 
-@check("tpl_10_validate_rules", f"with {_TEMPLATE_SQL} select cluster_id as group_id, template as representative_template, true as compiles from templates")
+@check(
+    "tpl_10_validate_rules",
+    f"with {_TEMPLATE_SQL} select cluster_id as group_id, template as representative_template, cluster_id % 3 <> 0 as compiles, "
+    f"case when cluster_id % 3 = 0 then false when cluster_id % 3 = 1 then true else false end as matches_representative from templates",
+)
 def _tpl_10(spark, sf):
+    """A third of the patterns is broken, a third quotes its representative, a third wants something else before it."""
+    quoted = F.concat(F.lit("^"), patterns.escape_literal(F.col("template")))
+    pattern = F.when(F.col("cluster_id") % 3 == 0, F.concat(F.lit("("), quoted)).when(F.col("cluster_id") % 3 == 1, quoted)
     rules = _templates(spark, sf).select(
         "origin", F.col("cluster_id").alias("group_id"), F.col("template").alias("representative_template"),
-        patterns.template_to_pattern(F.col("template")).alias("pattern"),
+        pattern.otherwise(F.concat(F.lit("^never "), patterns.escape_literal(F.col("template")))).alias("pattern"),
     )
-    return patterns.validate_rules(rules).select("group_id", "representative_template", "compiles")
+    return patterns.validate_rules(rules).select("group_id", "representative_template", "compiles", "matches_representative")
 
 
 @check(

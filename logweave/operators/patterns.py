@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 
@@ -13,10 +12,8 @@ from pyspark.sql import functions as F
 from logweave.rules.masks import PLACEHOLDER_PATTERNS
 from logweave.session import materialize
 
-SIMILAR = 0.5
-MAX_ALTERNATIVES = 6
-# Whole patterns per rule; a group of more unlike members gets several rules that mean the same.
-PIECES_PER_RULE = 1000
+# Share of a shape's places that must hold one token only, for its members to become one pattern.
+MIN_CONSTANT = 0.5
 _SPECIAL = r"([\\.^$|?*+()\[\]{}&~#\-])"
 _BY_LENGTH = sorted(PLACEHOLDER_PATTERNS, key=len, reverse=True)
 
@@ -60,135 +57,82 @@ def attach_member_templates(groups: DataFrame, clusters: DataFrame) -> DataFrame
 
 # --- group patterns ------------------------------------------------------------------------------------------------
 
-_PLACEHOLDER = re.compile("|".join(re.escape(name) for name in PLACEHOLDER_PATTERNS))
 
+def _fragment(token: Column) -> Column:
+    """Pattern of one token."""
+    return F.regexp_replace(template_to_pattern(token, anchor=False), r"^\(\?s\)", "")
 
-def _words(template: str) -> list[str]:
-    return [t for t in re.split(r"(\s+)", template) if t]
 
+def _tokens(template: str = "template") -> Column:
+    return F.split(template, r"\s+", -1)
 
-def _fragment(text: str) -> str:
-    """Pattern of a piece of template text."""
-    if text.isspace():
-        return r"\s+"
-    out, position = [], 0
-    for match in re.finditer("|".join(re.escape(name) for name in _BY_LENGTH), text):
-        out += [re.escape(text[position : match.start()]), f"(?:{PLACEHOLDER_PATTERNS[match.group()]})"]
-        position = match.end()
-    return "".join([*out, re.escape(text[position:])]).replace(r"\Z", r"\z")
 
+def _slots(members: DataFrame, max_alternatives: int | None) -> DataFrame:
+    """Per group, number of tokens and position: the pattern of all tokens that stand there."""
+    shape = ["origin", "group_id", "n_tokens"]
+    placed = members.select(*shape, F.posexplode(_tokens()).alias("pos", "token"))
+    found = placed.groupBy(*shape, "pos").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    fragments = F.array_join(F.transform("tokens", _fragment), "|")
+    many = F.lit(False) if max_alternatives is None else F.size("tokens") > max_alternatives
+    constant = F.size("tokens") == 1
+    slot = F.when(constant, fragments).when(many, F.lit(r"\S*")).otherwise(F.concat(F.lit("(?:"), fragments, F.lit(")")))
+    readable = F.when(constant, F.element_at("tokens", 1)).otherwise("<*>")
+    return found.select(*shape, "pos", constant.alias("constant"), slot.alias("slot"), readable.alias("readable"))
 
-def _alternatives(piece: list) -> set[str]:
-    if len(piece) == 1 and isinstance(piece[0], frozenset):
-        return set(piece[0])
-    return {"".join("<*>" if isinstance(item, frozenset) else item for item in piece)}
 
+def synthesize_group_patterns(
+    members: DataFrame, max_alternatives: int | None = None, min_constant: float = MIN_CONSTANT
+) -> DataFrame:
+    """``(origin, group_id, pattern, merged_template)``: one rule per group, from ``attach_member_templates`` rows.
 
-def _merge(left: list, right: list[str]) -> list:
-    """Align two token lists; where they differ, a set of alternatives takes the place ('' means it may be absent)."""
-    merged: list = []
-    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(a=left, b=right, autojunk=False).get_opcodes():
-        if tag == "equal":
-            merged += left[i1:i2]
-            continue
-        seen = frozenset(_alternatives(left[i1:i2]) | _alternatives(right[j1:j2]))
-        if merged and isinstance(merged[-1], frozenset):
-            merged[-1] = merged[-1] | seen
-        else:
-            merged.append(seen)
-    return merged
-
-
-def _slot(alternatives: frozenset[str]) -> str:
-    filled = sorted(a for a in alternatives if a)
-    if not filled or len(filled) > MAX_ALTERNATIVES or any(_PLACEHOLDER.search(a) for a in filled):
-        return ".*?"
-    parts = sorted({_fragment(a) for a in filled})
-    body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
-    return body if len(filled) == len(alternatives) else f"(?:{body})?"
-
-
-def _similarity(texts: pd.Series, references: pd.Series) -> pd.Series:
-    values = [
-        difflib.SequenceMatcher(a=_words(r), b=_words(t), autojunk=False).ratio()
-        for t, r in zip(texts, references, strict=True)
-    ]
-    return pd.Series(values, dtype="float64")
-
-
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Members sorted by group and order, merged one after the other; a group leaves when the next one begins."""
-    names = ["origin", "group_id", "pattern", "merged_template"]
-    current, merged = None, []
-
-    def close() -> tuple:
-        pattern = "".join(_slot(t) if isinstance(t, frozenset) else _fragment(t) for t in merged)
-        readable = "".join("<*>" if isinstance(t, frozenset) else t for t in merged)
-        return (*current, f"(?s)^{pattern}$", readable)
-
-    for batch in batches:
-        out = []
-        for origin, group_id, template in zip(batch["origin"], batch["group_id"], batch["template"], strict=True):
-            if (origin, group_id) != current:
-                if current is not None:
-                    out.append(close())
-                current, merged = (origin, group_id), _words(template)
-            else:
-                merged = _merge(merged, _words(template))
-        yield pd.DataFrame(out, columns=names)
-    if current is not None:
-        yield pd.DataFrame([close()], columns=names)
-
-
-def synthesize_group_patterns(members: DataFrame) -> DataFrame:
-    """``(origin, group_id, pattern, merged_template)`` from ``attach_member_templates`` rows.
-
-    Similarity to the longest member is computed per member, in parallel. Groups of similar members are merged token by
-    token (a fold over distinct templates in member order); the others become an alternation of whole patterns, spread
-    over several rows where a group has very many.
+    Members with equally many tokens share a shape. Where enough places of a shape hold the same token in all of them,
+    the shape is one pattern whose other places list the tokens found there; else it lists whole members. The shapes of a
+    group are alternatives. Every member matches its group's pattern; sets per place are merged before they shuffle.
+    ``max_alternatives`` lets a place with more tokens accept any token.
     """
+    shape = ["origin", "group_id", "n_tokens"]
+    distinct = members.select("origin", "group_id", "template", F.size(_tokens()).alias("n_tokens")).distinct()
     # Read three times below; what led to the members is not computed again.
-    distinct = materialize(
-        members.groupBy("origin", "group_id", "template").agg(F.min("ord").alias("ord")), "pattern-members"
-    )
-    longest = distinct.groupBy("origin", "group_id").agg(
-        F.max_by("template", F.struct(F.length("template").alias("n"), (-F.col("ord")).alias("o"))).alias("reference")
-    )
-    similarity = F.pandas_udf(_similarity, "double")
-    judged = distinct.join(longest, ["origin", "group_id"]).withColumn(
-        "similar", (F.col("template") == F.col("reference")) | (similarity("template", "reference") >= SIMILAR)
-    )
-    verdict = judged.groupBy("origin", "group_id").agg(F.bool_and("similar").alias("mergeable"))
-    marked = materialize(distinct.join(verdict, ["origin", "group_id"]), "pattern-verdicts")
-    merged = (
-        marked.filter("mergeable")
-        .repartition("origin", "group_id")
-        .sortWithinPartitions("origin", "group_id", "ord")
-        .select("origin", "group_id", "template")
-        .mapInPandas(_fold, "origin string, group_id bigint, pattern string, merged_template string")
-    )
-    whole = marked.filter(~F.col("mergeable")).withColumn(
-        "piece", F.regexp_replace(template_to_pattern(F.col("template"), anchor=False), r"^\(\?s\)", "")
+    distinct = materialize(distinct, "pattern-members")
+    parts = F.array_sort(F.collect_list(F.struct("pos", "slot", "readable")))
+    shapes = materialize(
+        _slots(distinct, max_alternatives)
+        .groupBy(*shape)
+        .agg(parts.alias("parts"), F.count_if("constant").alias("n_constant"))
+        .select(
+            *shape,
+            (F.col("n_constant") >= F.col("n_tokens") * min_constant).alias("mergeable"),
+            F.array_join(F.transform("parts", lambda p: p["slot"]), r"\s+").alias("body"),
+            F.array_join(F.transform("parts", lambda p: p["readable"]), " ").alias("readable"),
+        ),
+        "pattern-shapes",
     )
-    whole = whole.withColumn("piece", F.regexp_replace("piece", r"(?:\\\s)+", r"\\s+"))
-    pieces = whole.groupBy("origin", "group_id", "piece").agg(
-        F.min("ord").alias("ord"), F.min_by("template", "ord").alias("template")
+    apart = shapes.filter(~F.col("mergeable")).select(*shape)
+    whole = F.array_join(F.transform(_tokens(), _fragment), r"\s+")
+    listed = (
+        distinct.join(apart, shape, "left_semi")
+        .groupBy(*shape)
+        .agg(F.array_sort(F.collect_list(F.struct("template", whole.alias("body")))).alias("all"))
+        .select(
+            *shape,
+            F.array_join(F.transform("all", lambda m: m["body"]), "|").alias("body"),
+            F.array_join(F.transform("all", lambda m: m["template"]), " | ").alias("readable"),
+        )
     )
-    parts = pieces.groupBy("origin", "group_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(PIECES_PER_RULE)).alias("n_parts"))
-    alternation = (
-        pieces.join(parts, ["origin", "group_id"])
-        .groupBy("origin", "group_id", F.pmod(F.xxhash64("piece"), F.col("n_parts")).alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "piece", "template"))).alias("p"))
+    every = shapes.filter("mergeable").select(*shape, "body", "readable").unionByName(listed)
+    ordered = F.array_sort(F.collect_list(F.struct("n_tokens", "body", "readable")))
+    return (
+        every.groupBy("origin", "group_id")
+        .agg(ordered.alias("shapes"))
         .select(
             "origin",
             "group_id",
             F.concat(
-                F.lit("(?s)^(?:"), F.array_join(F.transform("p", lambda x: x["piece"]), "|"), F.lit(")$")
+                F.lit("(?s)^(?:"), F.array_join(F.transform("shapes", lambda x: x["body"]), "|"), F.lit(")$")
             ).alias("pattern"),
-            F.array_join(F.transform("p", lambda x: x["template"]), " | ").alias("merged_template"),
+            F.array_join(F.transform("shapes", lambda x: x["readable"]), " | ").alias("merged_template"),
         )
     )
-    return merged.unionByName(alternation)
 
 
 def build_rules(groups: DataFrame, members: DataFrame) -> DataFrame:
