@@ -67,20 +67,14 @@ _HEADERS = {
 
 @check(
     "prs_2_detect_type_by_content",
-    f"with {I.LINES_CTE}, numbered as (select file, value, row_number() over (partition by file order by line_no) as n, "
-    "coalesce(sum(strlen(value) + 1) over (partition by file order by line_no rows between unbounded preceding and 1 preceding), 0) as start "
-    "from log_lines), head as (select file, value from numbered where n <= 100 and start < 50000), "
-    "ranked as (select file, min(case "
+    f"with {I.LINES_CTE}, ranked as (select file, min(case "
     + " ".join(f"when regexp_matches(value, '{_HEADERS[o.name]}') then {i}" for i, o in enumerate(_SAFE))
-    + " end) as r from head group by file) select file, coalesce(case r "
+    + " end) as r from log_lines group by file) select file, coalesce(case r "
     + " ".join(f"when {i} then '{o.name}'" for i, o in enumerate(_SAFE))
     + " end, 'unknown') as log_type from ranked",
 )
 def _prs_2(spark, sf):
-    # Numbers from 1 within each file, as a reader gives them.
-    numbered = events.number_events(I.log_lines(spark, sf), F.lit(True), key="file")
-    lines = numbered.select("file", F.col("event_no").alias("line_no"), "value")
-    return detect.detect_by_content(lines, _SAFE, key="file")
+    return detect.detect_by_content(I.log_lines(spark, sf), _SAFE, key="file")
 
 
 @check("prs_4_drop_ignored_lines", f"with {I.KEPT_CTE} select file, line_no, value from kept")

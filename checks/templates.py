@@ -94,9 +94,25 @@ def _min_2(spark, sf):
     return mining.mine_templates_best_match(_messages(spark, sf)).clusters.select("origin", "cluster_id", "template", "size")
 
 
-@check("min_2_change_types", f"with {_MESSAGES_CTE} select origin, count(*) as messages from messages group by origin")
+@check(
+    "min_2_change_types",
+    f"with {_MESSAGES_CTE} select origin, seq, case when row_number() over (partition by origin, text order by seq) = 1 "
+    "then 'cluster_created' else 'none' end as change_type from messages where text <> ''",
+)
 def _min_2_changes(spark, sf):
-    return mining.mine_templates_best_match(_messages(spark, sf)).assignments.groupBy("origin").agg(F.count(F.lit(1)).alias("messages"))
+    """At threshold 1 each distinct text makes its cluster when it first arrives and changes nothing later."""
+    tokens = mining.prepare_first_match(_messages(spark, sf), config=F.lit("exact"))
+    return mining.mine(tokens, {"exact": (4, 1.0, 100)}, best=True).assignments.select("origin", "seq", "change_type")
+
+
+@check(
+    "min_3_arrival_numbers",
+    f"with {I.LINES_CTE} select file, line_no, row_number() over (order by file, line_no) as seq from log_lines",
+)
+def _min_3_numbers(spark, sf):
+    """One origin with all files."""
+    lines = I.log_lines(spark, sf).withColumn("origin", F.lit("app"))
+    return mining.number_arrivals(lines, file="file").select("file", "line_no", "seq")
 
 
 @check("min_3_mine_raw_lines")
@@ -171,7 +187,7 @@ def _min_8(spark, sf):
 )
 def _agg_4(spark, sf):
     mined = _exact(spark, sf)
-    stats = metrics.cluster_stats(mined.assignments, _messages(spark, sf), mined.clusters)
+    stats = metrics.cluster_stats(mined.assignments, _messages(spark, sf), mined.clusters, n_examples=5)
     return stats.withColumn("examples", F.array_join("examples", "|"))
 
 
@@ -519,9 +535,33 @@ def _tpl_2(spark, sf):
     return grouping.cosine_pairs(vectors, _CLOSE).select("a", "b", F.round("similarity", 5).alias("similarity"))
 
 
-@check("tpl_1_embed_templates")
+# TF-IDF in SQL: words, numbers, marks and neighbouring pairs; a hash gives each term its place and sign.
+_NORMAL = "trim(regexp_replace(regexp_replace(template, '<[A-Z_*]+>', 'X', 'g'), '\\s+', ' ', 'g'))"
+_TFIDF = (
+    _TEMPLATE_SQL
+    + f", words as (select cluster_id as id, regexp_extract_all(lower({_NORMAL}), '[A-Za-z_]+|\\d+|[^\\sA-Za-z0-9]') as w from templates), "
+    "terms as (select id, unnest(w) as term from words union all "
+    "select id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as term from words), "
+    "tf as (select id, term, count(*) as tf from terms group by all), df as (select term, count(*) as df from tf group by term), "
+    "n as (select count(*) as n from templates), "
+    "weights as (select id, term, tf * (ln((1 + n) / (1 + df)) + 1) as weight from tf join df using (term), n), "
+    "hashed as (select id, weight, cast('0x' || substr(md5(term), 1, 15) as bigint) as h from weights), "
+    "folded as (select id, (h // 2) % 256 as place, sum(case when h % 2 = 1 then weight else -weight end) as w from hashed group by all), "
+    "norms as (select id, sqrt(sum(w * w)) as norm from folded group by id)"
+)
+
+
+@check("tpl_1_tfidf", f"with {_TFIDF} select id, term, round(weight, 6) as weight from weights")
+def _tpl_1_weights(spark, sf):
+    found = grouping.tfidf(_templates(spark, sf).select(F.col("cluster_id").alias("id"), "template"))
+    return found.select("id", "term", F.round("weight", 6).alias("weight"))
+
+
+@check("tpl_1_embed_templates", f"with {_TFIDF} select id, place, round(w / norm, 5) as value from folded join norms using (id) where round(w / norm, 5) <> 0")
 def _tpl_1(spark, sf):
-    return grouping.embed_templates(_templates(spark, sf).select(F.col("cluster_id").alias("id"), "template"))
+    found = grouping.embed_templates(_templates(spark, sf).select(F.col("cluster_id").alias("id"), "template"))
+    places = found.select("id", F.posexplode("embedding").alias("place", "value"))
+    return places.select("id", F.col("place").cast("bigint").alias("place"), F.round("value", 5).alias("value")).where("value <> 0")
 
 
 @check("tpl_3_group_templates")

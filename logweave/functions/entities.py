@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from logweave.functions.regex import java_regex, strip
 from logweave.rules.origins import Extractor
 
-WINDOW = 400
 _WORD = r"A-Za-z0-9_\-/.@"
 
 
@@ -19,11 +18,12 @@ def _literal(text: str) -> str:
     return r"\Q" + text + r"\E"
 
 
-def _windows(text: Column, anchor: str, pattern: str) -> Column:
-    """Text behind every occurrence of the anchor; the look-ahead lets windows overlap."""
+def _windows(text: Column, anchor: str, pattern: str, window: int | None) -> Column:
+    """Text behind every occurrence of the anchor, to its end or ``window`` characters; the look-ahead lets them overlap."""
+    reach = "*" if window is None else f"{{0,{window}}}"
     if anchor.lower() in pattern.lower():
-        return F.regexp_extract_all(text, F.lit(f"(?is)(?=({_literal(anchor)}.{{0,{WINDOW}}}))"), F.lit(1))
-    behind = F.regexp_extract_all(text, F.lit(f"(?is)(?={_literal(anchor)}(.{{0,{WINDOW}}}))"), F.lit(1))
+        return F.regexp_extract_all(text, F.lit(f"(?is)(?=({_literal(anchor)}.{reach}))"), F.lit(1))
+    behind = F.regexp_extract_all(text, F.lit(f"(?is)(?={_literal(anchor)}(.{reach}))"), F.lit(1))
     return F.transform(behind, lambda w: F.regexp_replace(w, f"^[^{_WORD}]+(?=[{_WORD}])", ""))
 
 
@@ -57,10 +57,16 @@ def _valid_ports(values: Column) -> Column:
 
 
 def extract_entities(
-    df: DataFrame, extractors: Sequence[Extractor], text: str = "message", output: str = "extracted"
+    df: DataFrame,
+    extractors: Sequence[Extractor],
+    text: str = "message",
+    output: str = "extracted",
+    window: int | None = None,
 ) -> DataFrame:
     """Add ``output``, a map from extractor name to its distinct values in order of appearance.
 
+    ``window`` bounds how far behind an anchor a value may stand; by default anywhere behind it.
+
     Expressions are tried one level per select, so that what earlier ones found is computed once and only referred to.
     """
     if not extractors:
@@ -79,7 +85,7 @@ def extract_entities(
             before = F.col(column) if level else empty
             if e.anchor:
                 guard = F.lower(source).contains(e.anchor.lower())
-                windows = F.when(guard, _first_in_windows(_windows(source, e.anchor, pattern), pattern)).otherwise(empty)
+                windows = F.when(guard, _first_in_windows(_windows(source, e.anchor, pattern, window), pattern)).otherwise(empty)
                 near[column] = F.concat(before, windows) if level else windows
             else:
                 near[column] = before

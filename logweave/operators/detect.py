@@ -12,8 +12,6 @@ from logweave.functions.regex import any_of, java_regex
 from logweave.rules.origins import ORIGINS, Origin
 
 UNKNOWN = "unknown"
-SAMPLE_LINES = 100
-SAMPLE_BYTES = 50_000
 
 
 def type_by_name(file_name: Column, origins: Sequence[Origin] = ORIGINS) -> Column:
@@ -30,19 +28,29 @@ def content_order(origins: Sequence[Origin] = ORIGINS) -> list[Origin]:
     return sorted(origins, key=lambda o: any(h in (r"^(?P<message>.+)$", ".*") for _, h in o.headers))
 
 
-def detect_by_content(lines: DataFrame, origins: Sequence[Origin] = ORIGINS, key: str = "file_path") -> DataFrame:
-    """``(key, log_type)`` from the first 100 lines within the first 50 000 bytes of each file."""
+def detect_by_content(
+    lines: DataFrame,
+    origins: Sequence[Origin] = ORIGINS,
+    key: str = "file_path",
+    max_lines: int | None = None,
+    max_bytes: int | None = None,
+) -> DataFrame:
+    """``(key, log_type)``: the first format, in detection order, with a header anywhere in a file.
+
+    All lines are tested unless the caller bounds how many of a file's first lines or bytes are looked at. Each task
+    sends one row per file.
+    """
     ordered = content_order(origins)
-    running = W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    head = (
-        lines.filter(F.col("line_no") <= SAMPLE_LINES)
-        .withColumn("__start", F.coalesce(F.sum(F.octet_length("value") + 1).over(running), F.lit(0)))
-        .filter(F.col("__start") < SAMPLE_BYTES)
-    )
-    room = (F.lit(SAMPLE_BYTES) - F.col("__start")).cast("int")
-    text = F.when(F.octet_length("value") <= room, F.col("value")).otherwise(
-        F.decode(F.substring(F.encode("value", "utf-8"), F.lit(1), room), "utf-8")
-    )
+    head, text = lines, F.col("value")
+    if max_lines is not None:
+        head = head.filter(F.col("line_no") <= max_lines)
+    if max_bytes is not None:
+        running = W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+        start = F.coalesce(F.sum(F.octet_length("value") + 1).over(running), F.lit(0))
+        head = head.withColumn("__start", start).filter(F.col("__start") < max_bytes)
+        room = (F.lit(max_bytes) - F.col("__start")).cast("int")
+        cut = F.decode(F.substring(F.encode("value", "utf-8"), F.lit(1), room), "utf-8")
+        text = F.when(F.octet_length("value") <= room, F.col("value")).otherwise(cut)
     rank = None
     for position, origin in enumerate(ordered):
         hit = text.rlike("|".join(f"(?:{java_regex(h)})" for _, h in origin.headers))

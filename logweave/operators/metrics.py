@@ -19,7 +19,6 @@ from logweave.rules.timestamps import TIMESTAMP_CATALOGUE
 WILDCARDS = r"<\*>|(?<!\S)\*(?!\S)|\b(?:ALPHANUM|NUM|IP|HEX|UUID|PATH|LIBCODE|JDECODE|CONTEXT_ID)\b"
 MIN_TIMESTAMP_COVERAGE = 0.66
 MIN_LEVEL_COVERAGE = 0.3
-LEVEL_WINDOW = 60
 
 
 def phase_metrics(timings: DataFrame) -> DataFrame:
@@ -86,7 +85,7 @@ def unmatched_rate(lines: DataFrame, matched: Column) -> DataFrame:
     )
 
 
-def cluster_stats(assignments: DataFrame, messages: DataFrame, clusters: DataFrame, n_examples: int = 5) -> DataFrame:
+def cluster_stats(assignments: DataFrame, messages: DataFrame, clusters: DataFrame, n_examples: int) -> DataFrame:
     """Size, share and the first examples of each cluster.
 
     Spark limits the ranked rows per cluster before the shuffle, so a large cluster sends few of them.
@@ -200,15 +199,12 @@ def origin_summary(files: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
-def counts_by_log_type(documents: DataFrame, limit: int = 100) -> DataFrame:
-    """Documents per origin with their share, largest first."""
+def counts_by_log_type(documents: DataFrame, limit: int | None = None) -> DataFrame:
+    """Documents per origin with their share, largest first; ``limit`` asks for the largest only."""
     counts = documents.groupBy("log_type").agg(F.count(F.lit(1)).alias("count"))
     total = F.sum("count").over(W.partitionBy())
-    return (
-        counts.withColumn("percentage", F.round(F.col("count") / total * 100, 2))
-        .orderBy(F.desc("count"), "log_type")
-        .limit(limit)
-    )
+    shares = counts.withColumn("percentage", F.round(F.col("count") / total * 100, 2)).orderBy(F.desc("count"), "log_type")
+    return shares if limit is None else shares.limit(limit)
 
 
 def timestamp_format_coverage(sample: DataFrame, catalogue: Sequence[str] = TIMESTAMP_CATALOGUE) -> DataFrame:
@@ -225,19 +221,20 @@ def timestamp_format_coverage(sample: DataFrame, catalogue: Sequence[str] = TIME
     return rows.withColumn("best", first & (F.col("coverage") >= MIN_TIMESTAMP_COVERAGE)).select("ord", "hits", "coverage", "best")
 
 
-def level_word(line: Column, timestamp: str) -> Column:
-    """First level word, in list order, close behind the timestamp."""
+def level_word(line: Column, timestamp: str, window: int | None = None) -> Column:
+    """First level word, in list order, behind the timestamp: anywhere, or within ``window`` characters."""
+    reach = "*" if window is None else f"{{0,{window}}}"
     behind_group = re.compile(timestamp).groups + 1
-    regex = java_regex(rf"(?s)(?:{timestamp})(.{{0,{LEVEL_WINDOW}}})")
+    regex = java_regex(rf"(?s)(?:{timestamp})(.{reach})")
     behind = F.regexp_extract(line, regex, behind_group)
     found = F.regexp_extract_all(behind, F.lit(r"\b(?:" + "|".join(LEVEL_WORDS) + r")\b"), F.lit(0))
     return F.get(F.array_intersect(F.array(*[F.lit(w) for w in LEVEL_WORDS]), found), F.lit(0))
 
 
-def level_word_coverage(sample: DataFrame, timestamp: str) -> DataFrame:
+def level_word_coverage(sample: DataFrame, timestamp: str, window: int | None = None) -> DataFrame:
     """Lines per level word."""
     return (
-        sample.withColumn("word", level_word(F.col("value"), timestamp))
+        sample.withColumn("word", level_word(F.col("value"), timestamp, window))
         .filter("word is not null")
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("lines"))

@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 from logweave.functions.masking import mask_custom, mask_domain, tokenize, tokenize_message
 from logweave.functions.text import condense_trace_json, filter_message_lines, strip_leading_separators
 from logweave.functions.regex import strip
+from logweave.operators.events import number_events
 from logweave.rules.masks import DEFAULT_PROFILE, DRAIN_PROFILES, QUICK_SWEEP
 from logweave.rules.origins import BY_NAME
 from logweave.session import materialize, sized_broadcast
@@ -385,13 +386,37 @@ def _finish(assigned: DataFrame, model: DataFrame | None, first_id: int) -> Mine
     return Mined(assignments, clusters)
 
 
+def number_arrivals(records: DataFrame, file: str = "file_path", line: str = "line_no", origin: str = "origin") -> DataFrame:
+    """``records`` with ``seq``: dense numbers from 1 per origin, files in name order, lines in order within a file.
+
+    Numbers come from sums over blocks of lines and over files, so no window holds a file or an origin.
+    """
+    key = F.struct(origin, file).alias("__file")
+    numbered = number_events(records.withColumn("__file", key), F.lit(True), key="__file", order=(line,))
+    numbered = numbered.drop("in_event", "is_start")
+    files = materialize(numbered.groupBy("__file").agg(F.count(F.lit(1)).alias("__n")), "arrival-files")
+    earlier = W.partitionBy(f"__file.{origin}").orderBy(f"__file.{file}").rowsBetween(W.unboundedPreceding, -1)
+    offsets = files.select("__file", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    joined = numbered.join(sized_broadcast(offsets, "arrival-offsets"), "__file")
+    return joined.withColumn("seq", F.col("__before") + F.col("event_no")).drop("__file", "__before", "event_no")
+
+
+def _unique_arrivals(messages: DataFrame) -> None:
+    """A cluster is named by the message that made it, so equal numbers would merge clusters."""
+    twice = messages.groupBy("origin", "seq").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"seq must be unique per origin ({twice[0]['origin']}: {twice[0]['seq']}); see number_arrivals")
+
+
 def mine_templates_first_match(messages: DataFrame, params: Params | None = None, **rules) -> Mined:
     """First cluster of the leaf that is similar enough; profiles per origin unless ``params`` are given."""
+    _unique_arrivals(messages)
     return _mine_with(prepare_first_match(messages, **rules), params, False)
 
 
 def mine_templates_best_match(messages: DataFrame, params: Params | None = None, **rules) -> Mined:
     """Most similar cluster of the leaf."""
+    _unique_arrivals(messages)
     return _mine_with(prepare_best_match(messages, **rules), params, True)
 
 

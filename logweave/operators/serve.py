@@ -25,11 +25,13 @@ def filter_records(records: DataFrame, date: Column | str | None = None, log_typ
     return records
 
 
-def search_templates(clusters: DataFrame, text: str, limit: int, order: str = "cluster_id") -> DataFrame:
-    """Templates that contain a text, with at most five examples each."""
+def search_templates(
+    clusters: DataFrame, text: str, limit: int, order: str = "cluster_id", n_examples: int | None = None
+) -> DataFrame:
+    """Templates that contain a text, with all their stored examples or the first ``n_examples``."""
     hits = clusters.filter(F.contains(F.lower("template"), F.lit(text.lower())))
-    if "examples" in clusters.columns:
-        hits = hits.withColumn("examples", F.slice("examples", 1, 5))
+    if "examples" in clusters.columns and n_examples is not None:
+        hits = hits.withColumn("examples", F.slice("examples", 1, n_examples))
     return hits.orderBy(order).limit(limit)
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from logweave.session import scratch_path, sized_broadcast
+from logweave.session import held_bytes, materialize, scratch_path, sized_broadcast
 
 PARTITIONS = ("log_type", "event_date")
 
@@ -45,15 +46,51 @@ def merge_daily(new: DataFrame, stored: DataFrame | None, order: Sequence[str] =
     return keep_first(marked, [*PARTITIONS, "timestamp", "message"], ["__new", *order]).drop("__new")
 
 
-def affected(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Stored records of the days and origins the new ones fall into."""
-    days = sized_broadcast(new.select(*[F.col(c).alias(f"__{c}") for c in PARTITIONS]).distinct(), "affected-days")
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in PARTITIONS]
-    return stored.join(days, same[0] & same[1], "left_semi")
+MAX_LITERALS = 1_000
+
+
+def affected(stored: DataFrame, new: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """Stored records of the days and origins the new ones fall into.
+
+    The days' bounds and the origins go to the scan as literals, so that only those partitions are listed and read; the
+    exact days follow by a semi join of plain equality. Records without a day or an origin have branches of their own.
+    ``days`` are the distinct partitions of ``new``, if they are at hand.
+    """
+    days = new.select(*PARTITIONS).distinct() if days is None else days
+    days = materialize(days.select(*[F.col(c).alias(f"__{c}") for c in PARTITIONS]), "affected-days")
+    kind, day = F.col("__log_type"), F.col("__event_date")
+    bounds = days.agg(
+        F.min(day).alias("low"), F.max(day).alias("high"), F.count_if(day.isNull()).alias("undated"),
+        F.count_if(kind.isNull()).alias("unnamed"), F.count_distinct(kind).alias("origins"),
+    ).first()
+    origin, date = F.col("log_type"), F.col("event_date")
+    named = F.lit(True)
+    if bounds["origins"] <= MAX_LITERALS:
+        names = [r[0] for r in days.filter(kind.isNotNull()).select(kind).distinct().toLocalIterator()]
+        named = origin.isin(names) if names else F.lit(False)
+    branches = []
+    if bounds["low"] is not None:
+        dated = stored.filter(date.between(F.lit(bounds["low"]), F.lit(bounds["high"])))
+        same = (origin == kind) & (date == day)
+        branches.append(dated.filter(named).join(_small(days.filter(day.isNotNull() & kind.isNotNull())), same, "left_semi"))
+        if bounds["unnamed"]:
+            some = _small(days.filter(day.isNotNull() & kind.isNull()))
+            branches.append(dated.filter(origin.isNull()).join(some, date == day, "left_semi"))
+    if bounds["undated"]:
+        open_days = stored.filter(date.isNull())
+        branches.append(open_days.filter(named).join(_small(days.filter(day.isNull())), origin == kind, "left_semi"))
+        if bounds["unnamed"] and not days.filter(day.isNull() & kind.isNull()).isEmpty():
+            branches.append(open_days.filter(origin.isNull()))
+    return reduce(DataFrame.unionByName, branches) if branches else stored.limit(0)
+
+
+def _small(days: DataFrame) -> DataFrame:
+    return days.hint("broadcast") if held_bytes(days) <= 32 << 20 else days
 
 
 def write_daily(new: DataFrame, path: str, fmt: str = "parquet", order: Sequence[str] = ("file_path", "line_no")) -> None:
-    """Merge records into the store; only the days they touch are rewritten.
+    """Merge records into the store; only the days they touch are read and rewritten. ``new`` is read twice where a store
+    exists, so let it be a stored table.
 
     The merge is staged in the shared folder first, so a lost executor or a failed write never leaves a half-read
     partition behind, and repeating the call gives the same store.

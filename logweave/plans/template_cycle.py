@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logweave.operators.grouping import embed_templates, group_members, group_templates, template_groups
 from logweave.operators.metrics import level_word_coverage, timestamp_format_coverage
-from logweave.operators.mining import mine_templates_best_match, mine_templates_first_match
+from logweave.operators.mining import mine_templates_best_match, mine_templates_first_match, number_arrivals
 from logweave.operators.patterns import build_rules
 from logweave.operators.serve import top_clusters
 from logweave.rules.levels import LEVEL_WORDS
@@ -41,7 +41,12 @@ def group_clusters(clusters: DataFrame, distance_threshold: float = 0.6) -> tupl
 
 
 def generate_templates(messages: DataFrame, best: bool = True, distance_threshold: float = 0.6, **rules) -> Templates:
-    """``(origin, seq, message)`` to clusters, groups and rules that wait for a review."""
+    """``(origin, seq, message)`` to clusters, groups and rules that wait for a review.
+
+    ``seq`` is the order of arrival, unique per origin; without it messages are numbered by ``file_path`` and ``line_no``.
+    """
+    if "seq" not in messages.columns:
+        messages = materialize(number_arrivals(messages), "arrivals")
     mined = (mine_templates_best_match if best else mine_templates_first_match)(messages, **rules)
     groups, members = group_clusters(mined.clusters, distance_threshold)
     return Templates(mined.clusters, groups, members, materialize(build_rules(groups, members), "template-rules"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -28,12 +30,12 @@ def build_session(app_name: str = "logweave", master: str | None = None, **conf:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a private one only where none is configured."""
+    """The shared folder named by the cluster. Only a local session, which is one machine, gets a folder of its own."""
     context = spark.sparkContext
-    root = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
-    if root is None:
-        root = context.getCheckpointDir()
-    if root is None:
+    root = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY) or context.getCheckpointDir()
+    if not root:
+        if not re.match(r"local(\[[^-]*\])?$", context.master):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="logweave-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
@@ -59,7 +61,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
-def sized_broadcast(df: DataFrame, label: str, max_rows: int = 500_000) -> DataFrame:
-    """Materialise a side table and broadcast it only when its counted rows are few; else leave it to a shuffle join."""
+def sized_broadcast(df: DataFrame, label: str, max_bytes: int = 32 << 20) -> DataFrame:
+    """Materialise a side table and broadcast it only when its rows, as Spark holds them, are small; else leave it to a
+    shuffle join. Texts and arrays count with their lengths."""
     table = materialize(df, label)
-    return table.hint("broadcast") if table.count() <= max_rows else table
+    return table.hint("broadcast") if held_bytes(table) <= max_bytes else table
+
+
+def held_bytes(table: DataFrame) -> int:
+    """About the bytes of a table in memory: 16 per row and column, and what texts, binaries and nested values hold."""
+    wide = [f.name for f in table.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    nested = [f.name for f in table.schema.fields if f.dataType.typeName() in ("array", "map", "struct", "variant")]
+    size = F.lit(16 * max(1, len(table.columns)))
+    for name in wide:
+        size = size + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+    for name in nested:
+        size = size + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))), F.lit(0))
+    return table.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0]

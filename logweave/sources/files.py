@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from logweave.session import sized_broadcast
+from logweave.session import materialize, sized_broadcast
 
 
 def relative_to(root: str, path: Column) -> Column:
@@ -41,12 +41,13 @@ def scan_log_files(
 def read_log_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """``(file_path, line_no, value)``, split at newlines only, numbered from 1 within each file.
 
-    A file may be cut into many splits. Rows of one split stay in order inside one task, so a row's number is its
-    distance to the split's first row plus the rows of the file's earlier splits: one small table of splits replaces
-    a shuffle of all lines.
+    A file may be cut into many splits, and where it is cut is decided anew for each scan. So the files are scanned once:
+    the rows are written with the split they came from and their order in it, and numbers come from that copy. A row's
+    number is its distance to the split's first row plus the rows of the file's earlier splits: one small table of splits
+    replaces a shuffle of all lines.
     """
     # The reader knows the byte range of each split; ids grow by one per row within a task.
-    rows = (
+    rows = materialize(
         spark.read.option("lineSep", "\n")
         .option("recursiveFileLookup", "true")
         .text(paths)
@@ -55,7 +56,8 @@ def read_log_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
             F.col("_metadata.file_block_start").alias("split_start"),
             F.monotonically_increasing_id().alias("row_id"),
             "value",
-        )
+        ),
+        "scanned-lines",
     )
     splits = rows.groupBy("file_path", "split_start").agg(
         F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("n_rows")

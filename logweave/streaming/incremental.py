@@ -55,7 +55,7 @@ def batch_writer(origin: Origin, store: str, state: str, year: int | None = None
         lines = materialize(lines if held is None else held.unionByName(lines), "stream-lines")
         closed, still_open = split_open_events(lines, origin)
         records, unmatched = to_records(closed, origin, year)
-        write_daily(records, store)
+        write_daily(materialize(records, "stream-records"), store)
         if queue is not None:
             unmatched.write.mode("overwrite").parquet(f"{queue}/batch={batch_id}")
         still_open.write.mode("overwrite").parquet(f"{state}/open/batch={batch_id}")

@@ -199,7 +199,9 @@ def test_detection(spark, lines):
         found = detect.detect_by_content(lines(body + HEADERS[origin][0])).first()
         assert found["log_type"] in (origin, "e1root", "ais") or origin == found["log_type"]
     late = "\n".join([""] * 100 + [HEADERS["listener"][0]])
-    assert detect.detect_by_content(lines(late)).first()["log_type"] == "unknown"
+    assert detect.detect_by_content(lines(late)).first()["log_type"] == "listener"
+    assert detect.detect_by_content(lines(late), max_lines=100).first()["log_type"] == "unknown"
+    assert detect.detect_by_content(lines(late), max_bytes=50).first()["log_type"] == "unknown"
 
 
 def test_every_rule_compiles_in_both_dialects(spark):

@@ -1,5 +1,6 @@
 import datetime
 import json
+import re
 
 import duckdb
 import pytest
@@ -103,3 +104,23 @@ def test_formats(spark, tmp_path, fmt):
 
     storage.write_daily(frame(spark, (DAY, "x", "m", "f", 1), (DAY, "y", "  ", "f", 2)), str(tmp_path / fmt), fmt)
     assert read_parsed(spark, str(tmp_path / fmt), "t", fmt).count() == 1
+
+
+def test_store_reads_only_affected_partitions(spark, tmp_path):
+    """Day bounds and origins reach the scan as partition filters; undated and unnamed records have their branches."""
+    schema = "log_type string, event_date date, timestamp string, message string, file_path string, line_no bigint"
+    day = lambda d: datetime.date(2024, 1, d)
+    rows = [("a", day(d), f"t{d}", "m", "f", d) for d in range(1, 10)] + [("b", day(3), "t", "m", "f", 1), ("a", None, "t", "m", "f", 2)]
+    spark.createDataFrame(rows, schema).write.partitionBy("log_type", "event_date").parquet(f"{tmp_path}/store")
+    stored = spark.read.parquet(f"{tmp_path}/store")
+    found = lambda new: {
+        (r.log_type, r.event_date) for r in storage.affected(stored, spark.createDataFrame(new, schema)).collect()
+    }
+    new = [("a", day(3), "x", "y", "f", 1), ("a", day(5), "x", "y", "f", 1)]
+    assert found(new) == {("a", day(3)), ("a", day(5))}
+    assert found([("a", None, "x", "y", "f", 1)]) == {("a", None)}
+    assert found([(None, day(3), "x", "y", "f", 1), ("c", day(3), "x", "y", "f", 1)]) == set()
+    assert found([]) == set()
+    plan = storage.affected(stored, spark.createDataFrame(new, schema))._jdf.queryExecution().toString()
+    filters = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    assert any("event_date" in f and "log_type" in f for f in filters)

@@ -207,6 +207,22 @@ def test_silhouette_and_embedding(spark):
     assert matrix[0] @ matrix[1] > matrix[0] @ matrix[2]
 
 
+def test_templates_without_terms_are_one_group(spark):
+    templates = [(0, ""), (1, "   "), (2, "disk full"), (3, "disk is full")]
+    frame = spark.createDataFrame(templates, "id bigint, template string")
+    found = {r["id"]: np.array(r["embedding"]) for r in grouping.embed_templates(frame, 64).collect()}
+    assert np.allclose(found[0], found[1]) and abs(found[0] @ found[2]) < 1e-12 and found[2] @ found[3] > 0.2
+
+
+def test_arrival_numbers_over_files(spark):
+    rows = [("o", f, n, f"job {f}{n}") for f in "ab" for n in range(1, 5)] + [("p", "a", 9, "x")]
+    df = spark.createDataFrame(rows, "origin string, file_path string, line_no bigint, message string").repartition(3)
+    found = {(r["origin"], r["file_path"], r["line_no"]): r["seq"] for r in mining.number_arrivals(df).collect()}
+    assert found == {("o", f, n): 4 * "ab".index(f) + n for f in "ab" for n in range(1, 5)} | {("p", "a", 9): 1}
+    with pytest.raises(ValueError, match="unique"):
+        mining.mine_templates_best_match(df.selectExpr("origin", "line_no as seq", "message"))
+
+
 # --- rules ---------------------------------------------------------------------------------------------------------
 
 
