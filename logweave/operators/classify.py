@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.operators.patterns import reviewed, template_to_pattern
+from logweave.session import materialize
 
 # Rules per CASE expression; longer tables become several expressions, each one only for rows still without a match.
 RULES_PER_STEP = 200
+# More reviewed rules than this are joined instead of becoming literals.
+LITERAL_RULES = 2_000
+# Leading literal words that bring a rule and a text together.
+PREFIX_WORDS = 3
 
 
 def first_match(df: DataFrame, text: str, rules: list[tuple[object, str]], output: str, output_type: str) -> DataFrame:
@@ -32,12 +37,14 @@ def _at_start(pattern: Column) -> Column:
 def classify_by_template(records: DataFrame, rules: DataFrame, order: str = "group_id") -> DataFrame:
     """Event type and severity of the first reviewed rule of the record's origin that matches at the message start.
 
-    Reviewed rules were edited by hand one by one, so the table is small whatever the records are.
+    Reviewed rules were edited by hand one by one, so they are usually few and become literals. A table of more than
+    LITERAL_RULES stays distributed and meets the different messages by their first words.
     """
+    usable = materialize(reviewed(rules).filter("pattern is not null"), "reviewed-rules")
+    if usable.count() > LITERAL_RULES:
+        return _classify_by_many(records, usable, order)
     table = (
-        reviewed(rules)
-        .filter("pattern is not null")
-        .select("origin", order, "group_id", "event_type", "severity", _at_start(F.col("pattern")).alias("regex"))
+        usable.select("origin", order, "group_id", "event_type", "severity", _at_start(F.col("pattern")).alias("regex"))
         .orderBy("origin", order)
         .collect()
     )
@@ -66,6 +73,44 @@ def classify_by_template(records: DataFrame, rules: DataFrame, order: str = "gro
     ).drop("__text", "__rule")
 
 
+def _classify_by_many(records: DataFrame, usable: DataFrame, order: str) -> DataFrame:
+    """The same for a large rule table: origin and leading words are the key, the lowest ``order`` wins."""
+    words = F.concat(F.array("origin"), _pattern_words(F.col("pattern")))
+    fields = F.struct(F.col(order).alias("o"), "group_id", "event_type", "severity")
+    rules = usable.select(
+        fields.alias("rule"), _at_start(F.col("pattern")).alias("regex"), F.array_join(words, " ").alias("prefix")
+    )
+    messages = records.select("log_type", F.coalesce("message", F.lit("")).alias("__text")).distinct()
+    first = F.split("__text", r"\s+", PREFIX_WORDS + 1)
+    counts = F.sequence(F.lit(0), F.least(F.size(first), F.lit(PREFIX_WORDS)))
+    prefixes = F.transform(counts, lambda n: F.array_join(F.concat(F.array("log_type"), F.slice(first, 1, n)), " "))
+    best = (
+        messages.where("log_type is not null")
+        .select("log_type", "__text", F.explode(prefixes).alias("prefix"))
+        .join(rules, "prefix")
+        .filter(F.expr("__text rlike regex"))
+        .groupBy("log_type", "__text")
+        .agg(F.min("rule").alias("__rule"))
+    )
+    kept = records.drop("event_type", "severity").withColumn("__text", F.coalesce("message", F.lit("")))
+    joined = kept.join(materialize(best, "message-rules").hint("merge"), ["log_type", "__text"], "left")
+    return joined.select(
+        *[c for c in kept.columns if c != "__text"],
+        F.col("__rule.event_type").alias("event_type"),
+        F.col("__rule.severity").alias("severity"),
+        F.col("__rule.group_id").cast("bigint").alias("template_group_id"),
+    )
+
+
+def _pattern_words(pattern: Column) -> Column:
+    """Plain words, each with white space behind it, that a pattern without alternatives begins with."""
+    begin = F.regexp_extract(
+        pattern, r"^(?:\(\?s\))?\^?(?:\(\?:)?((?:[A-Za-z0-9_]+\\(?: |s\+)(?![?*{]))+)[^|]*$", 1
+    )
+    words = F.slice(F.split(begin, r"\\(?: |s\+)"), 1, PREFIX_WORDS)
+    return F.filter(words, lambda w: w != "")
+
+
 def unclassified(records: DataFrame) -> DataFrame:
     """Records no rule accounts for, for the learning queue."""
     return records.filter(F.col("template_group_id").isNull())
@@ -74,31 +119,48 @@ def unclassified(records: DataFrame) -> DataFrame:
 def first_rule(df: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
     """``(key, rule_id)``: the lowest ``rule_id`` whose ``regex`` is found in the text, null without any.
 
-    For tables of many rules. A rule with a ``word`` can only match texts whose first word is that one, so those meet by
-    an equi join; the few without are tried as literals.
+    For tables of many rules. A rule with ``words`` can only match texts that begin with these words, so it meets them by
+    an equi join on as many of the first words as the rule knows; a common first word alone brings nobody together. Each
+    different text is tried once. The few rules without words are tried as literals.
     """
-    word = F.split(F.col(text), r"\s")[0]
-    worded = rules.filter("word is not null")
+    texts = df.select(text).distinct()
+    known = rules.filter(F.size("words") > 0).select("rule_id", "regex", F.array_join("words", " ").alias("prefix"))
+    first = F.split(F.col(text), r"\s+", PREFIX_WORDS + 1)
+    # A text with n words is asked for by its first one, two, ... words.
+    counts = F.sequence(F.lit(1), F.least(F.size(first), F.lit(PREFIX_WORDS)))
+    prefixes = F.transform(counts, lambda n: F.array_join(F.slice(first, 1, n), " "))
     found = (
-        df.select(*dict.fromkeys([key, text]), word.alias("word"))
-        .join(worded, "word")
+        texts.select(text, F.explode(prefixes).alias("prefix"))
+        .join(known, "prefix")
         .filter(F.expr(f"`{text}` rlike regex"))
-        .groupBy(key)
+        .groupBy(text)
         .agg(F.min("rule_id").alias("__worded"))
     )
     open_ended = [
-        (row["rule_id"], row["regex"]) for row in rules.filter("word is null").orderBy("rule_id").toLocalIterator()
+        (row["rule_id"], row["regex"]) for row in rules.filter(F.size("words") == 0).orderBy("rule_id").toLocalIterator()
     ]
-    tried = first_match(df.select(*dict.fromkeys([key, text])), text, open_ended, "__open", "bigint")
-    return tried.join(found, key, "left").select(key, F.least("__worded", "__open").alias("rule_id"))
+    tried = first_match(texts, text, open_ended, "__open", "bigint").join(found, text, "left")
+    best = tried.select(text, F.least("__worded", "__open").alias("rule_id"))
+    if key == text:
+        return best
+    # A hot text is one row on the right and many on the left, which the join splits at run time.
+    return df.select(key, text).join(materialize(best, "text-rules").hint("merge"), text).select(key, "rule_id")
+
+
+def _literal_words(template: Column) -> Column:
+    """The words a template begins with, up to PREFIX_WORDS, as far as they hold no placeholder."""
+    words = F.split(template, r"\s+", PREFIX_WORDS + 1)
+    words = F.slice(words, 1, PREFIX_WORDS)
+    # Words before the first one with a placeholder.
+    free = F.transform(words, lambda w, i: F.when(w.contains("<"), i))
+    return F.slice(words, 1, F.coalesce(F.array_min(free), F.size(words)))
 
 
 def classify_by_cluster(messages: DataFrame, clusters: DataFrame, key: str = "id", text: str = "message") -> DataFrame:
     """``(key, cluster_id)``: first cluster whose template accounts for the whole message, null without any."""
-    word = F.split("template", r"\s")[0]
     rules = clusters.select(
         F.col("cluster_id").alias("rule_id"),
-        F.when(~word.contains("<"), word).alias("word"),
+        _literal_words(F.col("template")).alias("words"),
         F.concat(F.lit(r"\A"), template_to_pattern(F.col("template"), anchor=False), F.lit(r"\z")).alias("regex"),
     )
     return first_rule(messages, key, text, rules).withColumnRenamed("rule_id", "cluster_id")
@@ -111,11 +173,9 @@ def new_groups_by_key(groups: DataFrame, stored: DataFrame) -> DataFrame:
 
 def covering_rule(groups: DataFrame, stored: DataFrame, text: str = "representative_template") -> DataFrame:
     """Add ``covered_by``: the first stored group whose pattern accounts for the whole representative template."""
-    # A pattern that begins with a plain word and white space, and has no alternative beginning.
-    first = F.regexp_extract("pattern", r"^(?:\(\?s\))?\^?([A-Za-z0-9_]+)\\(?: |s\+)(?![?*{])[^|]*$", 1)
     rules = stored.filter("pattern is not null").select(
         F.col("group_id").alias("rule_id"),
-        F.when(first != "", first).alias("word"),
+        _pattern_words(F.col("pattern")).alias("words"),
         F.concat(F.lit(r"\A(?:"), F.col("pattern"), F.lit(r")\z")).alias("regex"),
     )
     found = first_rule(groups.select(text).distinct(), text, text, rules)

@@ -287,6 +287,20 @@ def test_many_rules_and_clusters(spark):
     assert [r["template_group_id"] for r in found] == [0, 199, 200, 449, None]
 
 
+def test_many_reviewed_rules_stay_distributed(spark, monkeypatch):
+    """Above the bound the same rules give the same answers by a join, also with one dominant first word."""
+    rules = [("app", i, f"r{i}", rf"(?s)^(?:ERROR\s+word{i}\s+.*)$", f"e{i}", "s") for i in range(40)]
+    rules += [("app", 90, "any", "(?s)^(?:INFO|WARN) ", "other", "low"), ("web", 1, "w", r"^ERROR", "web", "s"), ("app", 95, "late", "^ERROR", "rest", "s")]
+    schema = "origin string, group_id bigint, representative_template string, pattern string, event_type string, severity string"
+    table = spark.createDataFrame(rules, schema)
+    messages = [("app", "ERROR word3 x"), ("app", "ERROR word39  y"), ("app", "WARN a"), ("web", "ERROR word3 x"), ("app", "none"), ("app", None), ("app", "ERROR")]
+    df = spark.createDataFrame(messages, "log_type string, message string")
+    few = sorted(map(str, classify.classify_by_template(df, table).select("log_type", "message", "template_group_id", "event_type", "severity").collect()))
+    monkeypatch.setattr(classify, "LITERAL_RULES", 0)
+    many = sorted(map(str, classify.classify_by_template(df, table).select("log_type", "message", "template_group_id", "event_type", "severity").collect()))
+    assert few == many and "e39" in str(few) and "rest" in str(few)
+
+
 def test_classify_by_cluster(spark):
     clusters = spark.createDataFrame(
         [(0, "job <NUM> done"), (1, "<*> failed"), (2, "job <*>"), (3, "<ALPHANUM> seen")], "cluster_id bigint, template string"
