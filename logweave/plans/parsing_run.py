@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +12,22 @@ from logweave.operators.classify import classify_by_template
 from logweave.operators.detect import UNKNOWN, detect_by_content, type_by_name
 from logweave.operators.enrich import enrich_records, normalization_stats
 from logweave.operators.events import parse_lines
-from logweave.operators.storage import execution_summary, files_to_process, write_daily, write_learning_queue
+from logweave.operators.storage import (
+    execution_summary,
+    files_to_process,
+    read_if_there,
+    source_lineage,
+    update_registry,
+    write_daily,
+    write_learning_queue,
+)
 from logweave.rules.origins import BY_NAME, ORIGINS
 from logweave.schema import REGISTRY
 from logweave.session import materialize
+from logweave.sources.archives import has_archives, read_archived_logs
 from logweave.sources.files import read_log_lines, relative_to, scan_log_files
+from logweave.streaming.incremental import start_incremental
+from logweave.streaming.tail import stream_log_tail
 
 
 @dataclass(frozen=True)
@@ -27,16 +39,41 @@ class Run:
     file_counts: DataFrame
 
 
-def detect_files(spark: SparkSession, root: str, suffix: str = ".log") -> DataFrame:
-    """Listed files with their format: by name, and by content where the name says nothing."""
-    files = scan_log_files(spark, root, suffix)
+def archived_files(lines: DataFrame, root: str) -> DataFrame:
+    """Archive members in the form of a file listing."""
+    return lines.groupBy("rel_path").agg(F.sum(F.octet_length("value") + 1).alias("size_bytes")).select(
+        F.concat(F.lit(f"{root.rstrip('/')}/"), "rel_path").alias("path"),
+        "rel_path",
+        F.col("size_bytes").cast("bigint").alias("size_bytes"),
+        F.lit(None).cast("timestamp").alias("mtime"),
+    )
+
+
+def _archived_lines(spark: SparkSession, root: str, suffix: str) -> DataFrame | None:
+    """Lines of packed logs below ``root`` that do not lie there unpacked, or none where nothing is packed."""
+    if not has_archives(spark, root):
+        return None
+    lines = read_archived_logs(spark, root, scan_log_files(spark, root, suffix))
+    path = F.concat(F.lit(f"{root.rstrip('/')}/"), "rel_path").alias("file_path")
+    return lines.filter(F.col("rel_path").endswith(suffix)).select(path, "rel_path", "line_no", "value")
+
+
+def detect_files(spark: SparkSession, root: str, suffix: str = ".log", archived: DataFrame | None = None) -> DataFrame:
+    """Listed files, and archive members where their lines are given, with their format: by name, and by content where
+    the name says nothing. ``packed`` tells members from files."""
+    files = scan_log_files(spark, root, suffix).withColumn("packed", F.lit(False))
+    if archived is not None:
+        files = files.unionByName(archived_files(archived, root).withColumn("packed", F.lit(True)))
     named = files.withColumn("log_type", type_by_name(F.regexp_extract("rel_path", r"([^/]*)$", 1)))
     named = materialize(named, "run-files")
-    unknown = [r["path"] for r in named.filter(F.col("log_type") == UNKNOWN).select("path").toLocalIterator()]
-    if unknown:
-        by_content = detect_by_content(read_log_lines(spark, unknown)).select(
-            relative_to(root, F.col("file_path")).alias("rel_path"), F.col("log_type").alias("__content")
-        )
+    open_names = named.filter(F.col("log_type") == UNKNOWN)
+    # A file listing, which Spark's reader keeps on the driver as well.
+    unknown = [r["path"] for r in open_names.filter(~F.col("packed")).select("path").toLocalIterator()]
+    found = [read_log_lines(spark, unknown).withColumn("rel_path", relative_to(root, F.col("file_path")))] if unknown else []
+    if archived is not None:
+        found.append(archived.join(open_names.filter("packed").select("rel_path"), "rel_path", "left_semi"))
+    for lines in found:
+        by_content = detect_by_content(lines, key="rel_path").withColumnRenamed("log_type", "__content")
         named = named.join(by_content, "rel_path", "left").withColumn(
             "log_type", F.coalesce(F.when(F.col("log_type") == UNKNOWN, F.col("__content")), "log_type")
         ).drop("__content")
@@ -51,18 +88,30 @@ def parse_folder(
     rules: DataFrame | None = None,
     year: int | None = None,
     force: bool = False,
+    suffix: str = ".log",
+    growing: bool = True,
 ) -> Run:
-    """Parse and enrich what changed; each origin is one plan over its own files, united at the end."""
+    """Parse and enrich what changed, packed or not; each origin is one plan over its own files, united at the end.
+
+    ``growing=False`` leaves formats whose files grow to ``follow_growing``, which reads only what was appended.
+    """
     registry = spark.createDataFrame([], REGISTRY) if registry is None else registry
-    files = materialize(files_to_process(detect_files(spark, root), registry, force), "run-selection")
+    archived = _archived_lines(spark, root, suffix)
+    listed = detect_files(spark, root, suffix, archived)
+    listed = listed if growing else listed.filter(~F.col("incremental"))
+    files = materialize(files_to_process(listed, registry, force), "run-selection")
     records, unmatched = None, None
     for origin in ORIGINS:
         # A file listing, which Spark's reader keeps on the driver as well.
-        mine = files.filter(F.col("process") & (F.col("log_type") == origin.name)).select("path")
-        paths = [row["path"] for row in mine.toLocalIterator()]
-        if not paths:
+        mine = files.filter(F.col("process") & (F.col("log_type") == origin.name))
+        paths = [row["path"] for row in mine.filter(~F.col("packed")).select("path").toLocalIterator()]
+        sources = [read_log_lines(spark, paths)] if paths else []
+        if archived is not None and not mine.filter("packed").isEmpty():
+            packed = archived.join(mine.filter("packed").select("rel_path"), "rel_path", "left_semi")
+            sources.append(packed.select("file_path", "line_no", "value"))
+        if not sources:
             continue
-        parsed = parse_lines(read_log_lines(spark, paths), origin)
+        parsed = parse_lines(reduce(DataFrame.unionByName, sources), origin)
         enriched = enrich_records(parsed.records, origin, year)
         records = enriched if records is None else records.unionByName(enriched)
         unmatched = parsed.unmatched if unmatched is None else unmatched.unionByName(parsed.unmatched)
@@ -94,8 +143,46 @@ def parse_folder(
     return Run(files, records, unmatched, summary, processed)
 
 
-def store_run(run: Run, store: str, queue: str | None = None) -> None:
-    """Merge a run's records into the day store and leave its unmatched lines in the queue."""
-    write_daily(run.records, store)
+def _replace(table: DataFrame, path: str) -> None:
+    """Write a table that was derived from what ``path`` holds now."""
+    materialize(table, "replaced").write.mode("overwrite").parquet(path)
+
+
+def store_run(
+    run: Run,
+    store: str,
+    queue: str | None = None,
+    registry: str | None = None,
+    lineage: str | None = None,
+    history: str | None = None,
+    fmt: str = "parquet",
+) -> None:
+    """Merge a run's records into the day store and, where paths are given, end the run: its unmatched lines replace the
+    queue, its files renew the registry, what fed each day joins the lineage, and its summary is added to the history."""
+    spark = run.records.sparkSession
+    write_daily(run.records, store, fmt)
     if queue is not None:
         write_learning_queue(run.unmatched, queue)
+    if registry is not None:
+        known = read_if_there(spark, registry, "parquet", REGISTRY)
+        known = spark.createDataFrame([], REGISTRY) if known is None else known
+        _replace(update_registry(known, run.file_counts), registry)
+    if lineage is not None:
+        _replace(source_lineage(run.records, read_if_there(spark, lineage, "parquet")), lineage)
+    if history is not None:
+        run.summary.withColumn("timestamp", F.current_timestamp()).write.mode("append").parquet(history)
+
+
+def follow_growing(spark: SparkSession, root: str, store: str, state: str, year: int | None = None, suffix: str = ".log") -> None:
+    """Read what was appended to files of growing formats since the last call, and merge it into the day store.
+
+    One stream per format, with its checkpoint and held events below ``state``; files of other formats are passed over.
+    """
+    for origin in ORIGINS:
+        if not origin.incremental:
+            continue
+        name = type_by_name(F.regexp_extract("file_path", r"([^/]*)$", 1))
+        stream = stream_log_tail(spark, root, suffix).filter(name == origin.name)
+        place = f"{state.rstrip('/')}/{origin.name}"
+        query = start_incremental(stream, origin, store, f"{place}/held", f"{place}/checkpoint", year)
+        query.awaitTermination()

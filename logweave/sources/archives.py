@@ -54,21 +54,28 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows, columns=columns)
 
 
-def read_archived_logs(spark: SparkSession, root: str, existing: DataFrame | None = None) -> DataFrame:
-    """Lines of every regular archive member, named after the archive's folder.
-
-    Archives are streamed, one task each (a compressed stream cannot be split); nothing is held whole. Members whose
-    ``rel_path`` is in ``existing`` are left out; of equal names within the archives the first archive's member counts.
-    """
-    archives = (
+def _archives(spark: SparkSession, root: str) -> DataFrame:
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.{tbz2,tar.bz2,tar.gz,tgz}")
         .load(root)
         .select("path", relative_to(root, F.col("path")).alias("rel_path"))
     )
+
+
+def has_archives(spark: SparkSession, root: str) -> bool:
+    return not _archives(spark, root).isEmpty()
+
+
+def read_archived_logs(spark: SparkSession, root: str, existing: DataFrame | None = None) -> DataFrame:
+    """Lines of every regular archive member, named after the archive's folder.
+
+    Archives are streamed, one task each (a compressed stream cannot be split); nothing is held whole. Members whose
+    ``rel_path`` is in ``existing`` are left out; of equal names within the archives the first archive's member counts.
+    """
     # Unpacked once into the shared folder: a compressed stream is not read again for every use.
-    lines = materialize(archives.repartition("path").mapInPandas(_unpack, _SCHEMA), "archive-lines")
+    lines = materialize(_archives(spark, root).repartition("path").mapInPandas(_unpack, _SCHEMA), "archive-lines")
     owners = lines.groupBy("rel_path").agg(F.min("archive").alias("archive"))
     lines = lines.join(owners, ["archive", "rel_path"], "left_semi")
     if existing is not None:

@@ -7,16 +7,18 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from logweave.session import build_session
+def spark(tmp_path_factory):
+    from logweave.session import build_session, clear_scratch
 
     session = build_session(
         "tests",
         "local[8]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g"},
+        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
+           "spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch"))},
     )
     session.sparkContext.setLogLevel("OFF")
-    return session
+    yield session
+    clear_scratch(session)
 
 
 @pytest.fixture

@@ -1,9 +1,11 @@
+import tarfile
+
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.plans.parsing_run import parse_folder, store_run
+from logweave.plans.parsing_run import follow_growing, parse_folder, store_run
 from logweave.operators.storage import update_registry
-from logweave.rules.origins import BY_NAME
+from logweave.rules.origins import BY_NAME, ORIGINS
 from logweave.schema import REGISTRY
 from logweave.streaming.incremental import flush_open, start_incremental
 from logweave.streaming.tail import stream_log_tail
@@ -39,6 +41,41 @@ def test_parse_folder(spark, folder, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store")).count() == 4
 
 
+def test_packed_logs_and_the_end_of_a_run(spark, tmp_path):
+    """Archive members are parsed like files; registry, lineage and history follow; growing files go to the stream."""
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    inside = logs / "alert_jde_9.log"
+    inside.write_text(ALERT.format(d=3))
+    strange = logs / "odd.log"
+    strange.write_text("23-DEC-2024 11:44:26 * (CONNECT_DATA=(SERVICE_NAME=s1)) * 12514\n")
+    with tarfile.open(logs / "old.tar.gz", "w:gz") as tar:
+        tar.add(inside, "deep/alert_jde_9.log")
+        tar.add(strange, "odd.log")
+    inside.unlink()
+    strange.unlink()
+    (logs / "jas_1.log").write_text("03 Aug 2026 10:16:39,059 [WARN  ] - [42][RUNTIME] text\n")
+    run = parse_folder(spark, str(logs), year=2026)
+    assert {(r["log_type"], r["source_file"]) for r in run.records.collect()} >= {("alert_jde", "alert_jde_9.log"), ("listener", "odd.log")}
+    paths = {n: str(tmp_path / n) for n in ("queue", "registry", "lineage", "history")}
+    for _ in range(2):
+        store_run(run, str(tmp_path / "store"), **paths)
+    assert spark.read.parquet(paths["registry"]).count() == 3
+    assert spark.read.parquet(paths["history"]).count() == 2
+    assert spark.read.parquet(paths["lineage"]).filter("source_file = 'odd.log'").first()["records"] == 2
+    again = parse_folder(spark, str(logs), spark.read.parquet(paths["registry"]), year=2026, force=True, growing=False)
+    assert not again.files.filter("incremental").count()
+    growing = [o for o in ORIGINS if o.incremental]
+    assert growing
+    kept = str(tmp_path / "followed")
+    for text in ("first", "second"):
+        with open(logs / "alert_jde_2.log", "a") as handle:
+            handle.write(ALERT.format(d=5 if text == "first" else 6))
+        follow_growing(spark, str(logs), kept, str(tmp_path / "state"), 2026)
+    followed = {r["file_path"].rsplit("/", 1)[-1] for r in spark.read.parquet(kept).collect()}
+    assert followed <= {"alert_jde_2.log", "jas_1.log"} and followed
+
+
 def drain_stream(spark, logs, target, range_bytes=1 << 20):
     query = (
         stream_log_tail(spark, str(logs), range_bytes=range_bytes)
