@@ -31,13 +31,13 @@ PATTERN = (
 )
 # A space before white space or the end of the text: there a pre-token can begin elsewhere than at a space.
 OPEN_SPACE = re.compile(r" (?:\s|\Z)")
-NONE = np.int64(1) << 40
+NONE = 1 << 30
 # Pre-tokens of at most so many bytes share trees; longer ones have their own.
 SHARED_LEAVES = 64
 # Bytes of text encoded at once; large, so that many new pre-tokens merge in step.
-PIECE = 1 << 21
+PIECE = 1 << 20
 # Pre-tokens, and chunks between spaces, held in memory per Python worker.
-MEMORY = 600_000
+MEMORY = 250_000
 
 
 def byte_characters() -> list[str]:
@@ -76,6 +76,8 @@ class ByteBpe:
         order = np.lexsort((np.arange(len(keys)), keys))
         last = np.append(keys[order][1:] != keys[order][:-1], True) if len(keys) else np.zeros(0, bool)
         self.pair_keys, self.pair_ranks = keys[order][last], order[last].astype(np.int64)
+        if len(merges) << SHARED_LEAVES.bit_length() >= NONE:
+            raise ValueError("too many merges for the packed ranks")
         self.ranks = dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist()))
         self.special = special
         self.strings = [b""] * size
@@ -96,7 +98,7 @@ class ByteBpe:
     # --- ranks ---------------------------------------------------------------------------------------------------
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys = left * self.size + right
+        keys = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NONE)
 
@@ -109,7 +111,7 @@ class ByteBpe:
         if n < 2:
             return tokens
         leaves = 1 << (n - 1).bit_length()
-        none, ranks, size, merged = (int(NONE), 0), self.ranks, self.size, self.merged.tolist()
+        none, ranks, size, merged = (NONE, 0), self.ranks, self.size, self.merged.tolist()
         tree = [none] * (2 * leaves)
         for i in range(n - 1):
             rank = ranks.get(tokens[i] * size + tokens[i + 1])
@@ -153,11 +155,11 @@ class ByteBpe:
         count = len(starts)
         shift = leaves.bit_length()
         low = (1 << shift) - 1
-        places = np.arange(leaves)
+        places = np.arange(leaves, dtype=np.int32)
         there = places < lengths[:, None]
-        tokens = np.full((count, leaves + 1), -1, np.int64)
+        tokens = np.full((count, leaves + 1), -1, np.int32)
         tokens[:, :leaves][there] = self.byte_ids[data[(starts[:, None] + places)[there]]]
-        tree = np.full((count, 2 * leaves), NONE, np.int64)
+        tree = np.full((count, 2 * leaves), NONE, np.int32)
         pairs = places[:-1] < lengths[:, None] - 1
         rank = self._rank(tokens[:, : leaves - 1][pairs], tokens[:, 1:leaves][pairs])
         tree[:, leaves : 2 * leaves - 1][pairs] = np.where(
@@ -167,7 +169,7 @@ class ByteBpe:
             np.minimum(tree[:, 2 * node], tree[:, 2 * node + 1], out=tree[:, node])
         after = np.where(places + 1 < lengths[:, None], places + 1, leaves)
         before = np.broadcast_to(places - 1, (count, leaves)).copy()
-        before = np.concatenate([before, np.zeros((count, 1), np.int64)], axis=1)
+        before = np.concatenate([before, np.zeros((count, 1), np.int32)], axis=1)
         tree, tokens, after, before = tree.ravel(), tokens.ravel(), after.ravel(), before.ravel()
         rows = np.arange(count)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from logweave.llm.text import byte_class, flat, map_arrow, record, word_hashes
-from logweave.session import materialize
+from logweave.session import materialize, sized_broadcast
 
 WINDOW = 10
 # (window, item) pairs a search carries to the shards at once, 100 bytes each.
@@ -236,13 +236,18 @@ def find_passages(
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without any window of an item, unchanged and in one pass over the index.
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **options
+) -> DataFrame:
+    """The rows of ``docs`` without any window of an item, unchanged.
 
-    Rows are carried by a number of their own, so ids may repeat or be null.
+    A row is known by its id and a hash of its text, so rows are not written again. The contaminated ones are looked up in
+    a list that is broadcast where it is small; else both sides shuffle.
     """
-    number = "__row_number"
-    stored = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    hit = find_passages(stored.select(number, F.col(text).alias("text")), items, "text", number, **options)
-    dirty = hit.where("n_hit > 0").select(number)
-    return stored.join(dirty, number, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    mark = "__mark"
+    marked = docs.withColumn(mark, F.struct(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")))
+    hit = find_passages(marked.select(mark, F.col(text).alias("text")), items, "text", mark, **options)
+    # Structs compare with null ids as equal.
+    dirty = sized_broadcast(hit.where("n_hit > 0").select(F.col(mark).alias("__dirty")).distinct(), "contaminated")
+    kept = marked.join(dirty, F.col(mark).eqNullSafe(F.col("__dirty")), "left_anti")
+    return kept.select(*[f"`{c}`" for c in docs.columns])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from logweave.llm.components import components
 from logweave.llm.text import LOWER, map_arrow, record, texts
-from logweave.session import materialize
+from logweave.session import materialize, sized_broadcast
 
 SHINGLE = 3
 SEED = 42
@@ -120,11 +120,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that stay, unchanged: of each class the one with the smallest id (nulls last).
 
-    Rows are carried by a number of their own, so ids may repeat or be null.
+    A row is known by its id and a hash of its text, so rows need no number and are not written again. What goes is looked
+    up in a list that is broadcast where it is small; else both sides shuffle. Of rows equal in id and text one stays.
     """
-    number, order = "__row_number", "__order"
-    stored = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    ranked = stored.select(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), number).alias(order), text)
-    found = near_duplicates(ranked, text, order, shingle)
-    firsts = found.where(F.col("component_id") == F.col(order)).select(F.col(f"{order}.{number}").alias(number))
-    return stored.join(firsts, number, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    order = "__order"
+    mark = F.struct(
+        F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")
+    )
+    found = near_duplicates(docs.select(mark.alias(order), F.col(text).alias("text")), "text", order, shingle)
+    found = materialize(found.groupBy(order).agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("n")), "near")
+    marked = docs.withColumn(order, mark)
+    gone = sized_broadcast(found.where(F.col("first") != F.col(order)).select(order), "near-copies")
+    kept = marked.join(gone, order, "left_anti")
+    tied = found.where((F.col("first") == F.col(order)) & (F.col("n") > 1)).select(order)
+    if not tied.isEmpty():
+        tied = sized_broadcast(tied, "equal-rows")
+        columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+        rows = kept.join(tied, order, "left_semi").select(order, F.struct(*columns).alias("row"))
+        comparable = [f"row.c{i}" for i, (_, kind) in enumerate(docs.dtypes) if "map<" not in kind and "variant" not in kind]
+        one = rows.groupBy(order).agg(F.min_by("row", F.struct(*comparable)).alias("row"))
+        one = one.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)], order)
+        kept = kept.join(tied, order, "left_anti").select(*[f"`{c}`" for c in docs.columns], order).unionByName(one)
+    return kept.select(*[f"`{c}`" for c in docs.columns])

@@ -43,6 +43,8 @@ def map_arrow(
                 made = function(piece)
                 if made is not None and made.num_rows:
                     yield made
+            # What a batch needed goes back to the system: the worker lives on beside other stages.
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
