@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 PIECE_BYTES = 1 << 19
+# Rows of an Arrow batch, where the session has Spark's default: 10,000 whole texts at once need much memory beside the heap.
+BATCH_ROWS, _BATCH_KEY, _DEFAULT_ROWS = 500, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LOWER = np.frombuffer(LOWER, np.uint8)
@@ -35,7 +37,12 @@ def map_arrow(
     limit: int = PIECE_BYTES,
     column: str = "text",
 ) -> DataFrame:
-    """``function`` on every Arrow batch, cut into pieces of ``limit`` bytes of ``column`` where it has one."""
+    """``function`` on every Arrow batch, cut into pieces of ``limit`` bytes of ``column`` where it has one.
+
+    A session with Spark's default batch size is set to BATCH_ROWS; another size stays as it is.
+    """
+    if df.sparkSession.conf.get(_BATCH_KEY) == _DEFAULT_ROWS:
+        df.sparkSession.conf.set(_BATCH_KEY, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
