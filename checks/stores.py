@@ -224,21 +224,22 @@ def _win_2(spark, sf):
     return storage.keep_first(_coarse(spark, sf).select("message", "file", "line_no"), ["message"], ["file", "line_no"])
 
 
-@check("snk_2_daily_json", f"with {_BY_FILE} select log_type, strftime(event_date, '%Y-%m-%d') as date, count(*) as records from typed group by all")
+@check(
+    "snk_2_daily_json",
+    f"with {_BY_FILE} select log_type, coalesce(strftime(event_date, '%Y-%m-%d'), 'sin_fecha') as date, file, line_no, message from typed",
+)
 def _snk_2(spark, sf):
-    """Envelopes written, read back as documents and counted."""
+    """Envelopes written, put together in name order, parsed as one document each, and their records."""
     path = scratch_path(spark, "check-json")
     rows = _by_file(spark, sf).select("log_type", "event_date", "file", "line_no", "timestamp", "message")
     storage.write_daily_json(rows, path, order=("file", "line_no"))
-    lines = spark.read.text(path)
-    record = F.regexp_replace("value", "^,", "")
-    return (
-        lines.filter(F.col("value").rlike(r'^,?\{"log_type".*"message"'))
-        .select("log_type", F.col("event_date").cast("string").alias("date"), F.from_json(record, "message string, line_no bigint").alias("r"))
-        .filter("r.line_no is not null")
-        .groupBy("log_type", "date")
-        .agg(F.count(F.lit(1)).alias("records"))
+    lines = spark.read.text(path).select(
+        "log_type", "event_date", F.struct(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i"), "value").alias("line")
     )
+    ordered = F.transform(F.array_sort(F.collect_list("line")), lambda x: x["value"])
+    documents = lines.groupBy("log_type", "event_date").agg(F.array_join(ordered, "\n").alias("text"))
+    schema = "log_type string, date string, records array<struct<file:string,line_no:bigint,message:string>>"
+    return documents.select(F.from_json("text", schema).alias("d")).select("d.log_type", "d.date", F.inline("d.records"))
 
 
 @check(
