@@ -21,7 +21,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.components import components
@@ -117,19 +117,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     return joined.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
+def row_mark(key: str, text: str) -> Column:
+    """What a row is known by: its id (nulls last) and a hash of its text."""
+    return F.struct(
+        F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")
+    )
+
+
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stay, unchanged: of each class the one with the smallest id (nulls last).
+    """The rows of ``docs`` that stay, unchanged: of each class the one with the smallest id (nulls last)."""
+    marked = docs.select(row_mark(key, text).alias("__order"), F.col(text).alias("text"))
+    return keep_first(docs, near_duplicates(marked, "text", "__order", shingle), text, key)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, text: str, key: str) -> DataFrame:
+    """The rows of ``docs`` that are the first of their class in ``found`` (``__order`` as ``row_mark``, ``component_id``).
 
     A row is known by its id and a hash of its text, so rows need no number and are not written again. What goes is looked
     up in a list that is broadcast where it is small; else both sides shuffle. Of rows equal in id and text one stays.
     """
     order = "__order"
-    mark = F.struct(
-        F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")
-    )
-    found = near_duplicates(docs.select(mark.alias(order), F.col(text).alias("text")), "text", order, shingle)
     found = materialize(found.groupBy(order).agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("n")), "near")
-    marked = docs.withColumn(order, mark)
+    marked = docs.withColumn(order, row_mark(key, text))
     gone = sized_broadcast(found.where(F.col("first") != F.col(order)).select(order), "near-copies")
     kept = marked.join(gone, order, "left_anti")
     tied = found.where((F.col("first") == F.col(order)) & (F.col("n") > 1)).select(order)
