@@ -144,7 +144,7 @@ def first_rule(df: DataFrame, key: str, text: str, rules: DataFrame) -> DataFram
     if key == text:
         return best
     # A hot text is one row on the right and many on the left, which the join splits at run time.
-    return df.select(key, text).join(materialize(best, "text-rules").hint("merge"), text).select(key, "rule_id")
+    return df.select(key, text).join(materialize(best, "text-rules").hint("merge"), text, "left").select(key, "rule_id")
 
 
 def _literal_words(template: Column) -> Column:

@@ -308,3 +308,10 @@ def test_classify_by_cluster(spark):
     messages = spark.createDataFrame([(i, m) for i, m in enumerate(["job 7 done", "job x", "it failed", "job failed", "u7 seen", "no"])], "id bigint, message string")
     found = {r["id"]: r["cluster_id"] for r in classify.classify_by_cluster(messages, clusters).collect()}
     assert found == {0: 0, 1: 2, 2: 1, 3: 1, 4: 3, 5: None}
+
+
+def test_classify_by_cluster_keeps_null_messages(spark):
+    messages = spark.createDataFrame([(1, "user bob in"), (2, None), (3, None)], "id bigint, message string")
+    clusters = spark.createDataFrame([(7, "user <*> in")], "cluster_id bigint, template string")
+    found = classify.classify_by_cluster(messages, clusters).collect()
+    assert sorted((r["id"], r["cluster_id"]) for r in found) == [(1, 7), (2, None), (3, None)]
