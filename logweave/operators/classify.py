@@ -102,12 +102,21 @@ def _classify_by_many(records: DataFrame, usable: DataFrame, order: str) -> Data
     )
 
 
+# What may follow the words in a group: anything but alternatives, and groups up to one in another.
+_PLAIN = r"[^()\[\]|\\]|\\[^QE]|\[\^?(?:[^\[\]\\|]|\\[^QE])+\]"
+_INNER = rf"\((?:{_PLAIN})*+\)"
+_WORDS = r"((?:[A-Za-z0-9_]+\\(?: |s\+)(?![?*{]))+)"
+
+
 def _pattern_words(pattern: Column) -> Column:
-    """Plain words, each with white space behind it, that a pattern without alternatives begins with."""
-    begin = F.regexp_extract(
-        pattern, r"^(?:\(\?s\))?\^?(?:\(\?:)?((?:[A-Za-z0-9_]+\\(?: |s\+)(?![?*{]))+)[^|]*$", 1
-    )
-    words = F.slice(F.split(begin, r"\\(?: |s\+)"), 1, PREFIX_WORDS)
+    """Plain words, each with white space behind it, that a pattern without alternatives begins with.
+
+    A group around the words counts only if it is closed at the pattern's end: one closed earlier may be optional.
+    """
+    free = F.regexp_extract(pattern, rf"^(?:\(\?s\))?\^?{_WORDS}[^|]*$", 1)
+    body = rf"(?:{_PLAIN}|\((?:{_PLAIN}|{_INNER})*+\))*+"
+    grouped = F.regexp_extract(pattern, rf"^(?:\(\?s\))?\^?\(\?:{_WORDS}{body}\)\$?$", 1)
+    words = F.slice(F.split(F.concat(free, grouped), r"\\(?: |s\+)"), 1, PREFIX_WORDS)
     return F.filter(words, lambda w: w != "")
 
 

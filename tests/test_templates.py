@@ -315,3 +315,27 @@ def test_classify_by_cluster_keeps_null_messages(spark):
     clusters = spark.createDataFrame([(7, "user <*> in")], "cluster_id bigint, template string")
     found = classify.classify_by_cluster(messages, clusters).collect()
     assert sorted((r["id"], r["cluster_id"]) for r in found) == [(1, 7), (2, None), (3, None)]
+
+
+def test_words_of_optional_groups_are_not_required(spark):
+    cases = {
+        r"(?s)^(?:abc\s+)?rest$": [],
+        r"^(?:abc\s+x)*$": [],
+        r"^(?:abc\s+)?(?:rest)$": [],
+        r"(?s)^(?:abc\s+rest)$": ["abc"],
+        r"(?s)^(?:abc\s+de\s+(\S+?)\s+(?:x(?:y)z)[^\s]\))$": ["abc", "de"],
+        r"^abc\s+(?:de)?$": ["abc"],
+    }
+    rows = spark.createDataFrame([(p,) for p in cases], "p string")
+    assert {r.p: r.w for r in rows.select("p", classify._pattern_words(F.col("p")).alias("w")).collect()} == cases
+
+
+@pytest.mark.parametrize("literal", [0, 2_000])
+def test_optional_group_in_both_plans(spark, monkeypatch, literal):
+    monkeypatch.setattr(classify, "LITERAL_RULES", literal)
+    records = spark.createDataFrame([("a", "rest"), ("a", "abc rest"), ("a", "other")], "log_type string, message string")
+    rules = spark.createDataFrame(
+        [("a", 1, r"(?s)^(?:abc\s+)?rest$", "E", "low")], "origin string, group_id bigint, pattern string, event_type string, severity string"
+    ).withColumn("reviewed", F.lit(True))
+    found = classify.classify_by_template(records, rules).collect()
+    assert {r.message: r.event_type for r in found} == {"rest": "E", "abc rest": "E", "other": None}
