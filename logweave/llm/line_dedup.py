@@ -5,7 +5,8 @@ prefix doubling: a rank orders places by their next ``h`` lines, and the pair of
 them by ``2 h``. Per round, equal pairs are counted (one row per pair and task), pairs that stand once drop out, since no
 repeated run goes on there, and the rest are sorted by range; their number in that order is the new rank. The round that
 reaches ``min_lines`` leaves the intervals of common prefix ``min_lines`` or more. Each longer run is covered by such
-intervals, so every place in one, but for its first, begins a later copy; adjoining copies make the maximal run.
+intervals, so every place in one, but for its first, begins a later copy; longer common prefixes are not derived, and
+``n_runs`` counts adjoining removed lines.
 
 No step holds a group: pairs are aggregated, joins split hot pairs at run time, and windows go over one text's lines only.
 
