@@ -26,5 +26,6 @@ from logweave.llm import (  # noqa: E402, F401
     queries_corpus,
     queries_dedup,
     queries_models,
+    queries_shards,
     queries_tokens,
 )
