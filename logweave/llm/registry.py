@@ -23,6 +23,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 from logweave.llm import (  # noqa: E402, F401
+    queries_conversations,
     queries_corpus,
     queries_dedup,
     queries_models,

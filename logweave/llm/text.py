@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -30,6 +30,12 @@ def fold(column: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(rest == remainder, F.lit(False))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS, where the session has Spark's default size."""
+    if spark.conf.get(_BATCH_KEY) == _DEFAULT_ROWS:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
 def map_arrow(
     df: DataFrame,
     function: Callable[[pa.RecordBatch], pa.RecordBatch | None],
@@ -41,8 +47,7 @@ def map_arrow(
 
     A session with Spark's default batch size is set to BATCH_ROWS; another size stays as it is.
     """
-    if df.sparkSession.conf.get(_BATCH_KEY) == _DEFAULT_ROWS:
-        df.sparkSession.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
