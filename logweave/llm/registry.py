@@ -27,6 +27,7 @@ from logweave.llm import (  # noqa: E402, F401
     queries_corpus,
     queries_dedup,
     queries_models,
+    queries_phrases,
     queries_shards,
     queries_tokens,
 )

@@ -12,6 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,6 +20,8 @@ from pyspark.sql.types import StructType
 PIECE_BYTES = 1 << 19
 # Rows of an Arrow batch, where the session has Spark's default: 10,000 whole texts at once need much memory beside the heap.
 BATCH_ROWS, _BATCH_KEY, _DEFAULT_ROWS = 500, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+# Words of more bytes are hashed whole.
+LONG_WORD = 256
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LOWER = np.frombuffer(LOWER, np.uint8)
@@ -155,12 +158,20 @@ def slice_hashes(total: np.ndarray, down: np.ndarray, starts: np.ndarray, ends:
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def safe_hashes(data: np.ndarray, total: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``slice_hashes``, but of long slices the hash of their bytes: texts can be made on which a polynomial agrees."""
+    hashes = slice_hashes(total, down, starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return hashes
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts, and the first word of each text."""
     low = _LOWER[data]
     starts, ends, first = word_bounds(is_word[low], offsets)
     total, down = prefix_hashes(low)
-    return slice_hashes(total, down, starts, ends), first
+    return safe_hashes(low, total, down, starts, ends), first
 
 
 def byte_class(text_class: Callable[[int], bool]) -> np.ndarray:
