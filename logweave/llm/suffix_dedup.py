@@ -132,18 +132,17 @@ class Plan:
 
 
 def repeated_strings(column: pa.Array, counts: np.ndarray, split: np.ndarray, length: int):
-    """Of one shard's segments: the repeated strings ``(segment, string)``, and of split anchors ``(segment, string,
-    digest, alone)`` with one row per distinct string; ``alone`` tells that the shard has it once.
+    """Of one shard's segments: spans of repeated strings as ``(segment, low, high)`` arrays, and of split anchors
+    ``(segment, string, digest, alone)`` with one row per distinct string; ``alone`` tells that the shard has it once.
+
+    Spans are merged where they touch and count from the segment's begin.
     """
-    data, offsets = flat(column)
-    digests = [hashlib.blake2b(x.as_py(), digest_size=16).digest() for x in column]
-    order: dict[bytes, int] = {}
-    owner = np.array([order.setdefault(d, len(order)) for d in digests], np.int64)
+    coded = column.cast(pa.large_binary()).dictionary_encode()
+    owner = coded.indices.to_numpy().astype(np.int64)
     first = np.unique(owner, return_index=True)[1]
     copies = np.bincount(owner)
-    sizes = np.diff(offsets)[first]
-    text = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in first])
-    begin = np.cumsum(sizes) - sizes
+    text, offsets = flat(coded.dictionary)
+    sizes, begin = np.diff(offsets), offsets[:-1]
     segment = np.repeat(np.arange(len(first)), sizes)
     place = np.arange(len(text)) - begin[segment]
     starts = place < counts[first][segment]
@@ -154,30 +153,31 @@ def repeated_strings(column: pa.Array, counts: np.ndarray, split: np.ndarray, le
     interval = np.cumsum(np.append(True, np.diff(interval) != 0)) - 1 if len(sa) else interval
     weight = np.bincount(interval, copies[segment[sa]], interval[-1] + 1 if len(sa) else 0)
     again = weight[interval] > 1
-    hit = np.zeros(len(text), bool)
-    hit[sa[again]] = True
     # Strings of split anchors, the first of each interval.
     heads = np.flatnonzero(np.append(True, np.diff(interval) != 0)) if len(sa) else np.zeros(0, np.int64)
     heads = heads[split[first][segment[sa[heads]]]]
-    rows, strings, keys, alone = [], [], [], []
-    raw = text.tobytes()
-    for at, single in zip(sa[heads].tolist(), (~again[heads]).tolist()):
-        rows.append(int(first[segment[at]]))
-        strings.append(int(place[at]))
-        keys.append(hashlib.blake2b(raw[at : at + length], digest_size=16).digest())
-        alone.append(single)
-    found = [np.flatnonzero(hit[begin[o] : begin[o] + counts[i]]) for i, o in enumerate(owner.tolist())]
-    return found, (rows, strings, keys, alone)
-
-
-def _spans(found: np.ndarray, length: int) -> list[dict]:
-    """Byte spans of sorted string starts, merged where they touch."""
-    if not len(found):
-        return []
-    cut = np.flatnonzero(np.diff(found) > length)
-    lows = found[np.append(0, cut + 1)]
-    highs = found[np.append(cut, len(found) - 1)] + length
-    return [{"low": a, "high": b} for a, b in zip(lows.tolist(), highs.tolist())]
+    at, raw = sa[heads], text.tobytes()
+    keys = [hashlib.blake2b(raw[a : a + length], digest_size=16).digest() for a in at.tolist()]
+    distinct = _runs(np.sort(sa[again]), segment, place, length)
+    return _copied(*distinct, owner), (first[segment[at]], place[at], keys, ~again[heads])
+
+
+def _runs(hits: np.ndarray, segment: np.ndarray, place: np.ndarray, length: int):
+    """``(segment, low, high)`` of sorted starts of strings, merged where they touch."""
+    if not len(hits):
+        return (np.zeros(0, np.int64),) * 3
+    cut = np.append(True, (np.diff(hits) > length) | (np.diff(segment[hits]) != 0))
+    lows, highs = hits[cut], hits[np.append(cut[1:], True)]
+    return segment[lows], place[lows], place[highs] + length
+
+
+def _copied(segment: np.ndarray, low: np.ndarray, high: np.ndarray, owner: np.ndarray):
+    """Spans of distinct segments for all segments, where ``owner`` is the distinct one of each."""
+    count = np.bincount(segment, minlength=int(owner.max(initial=-1)) + 1)
+    begin, times = np.cumsum(count) - count, count[owner]
+    rows = np.repeat(np.arange(len(owner)), times)
+    at = np.repeat(begin[owner] - (np.cumsum(times) - times), times) + np.arange(len(rows))
+    return rows, low[at], high[at]
 
 
 def duplicate_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -221,23 +221,18 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         counts = column["count"].to_numpy().astype(np.int64)
         split = column["split"].to_numpy(zero_copy_only=False)
         low = column["low"].to_numpy()
-        found, (rows, strings, keys, alone) = repeated_strings(column["part"], counts, split, length)
-        took, spans = [], []
-        for row, hits in enumerate(found):
-            for span in _spans(hits + low[row], length):
-                took.append(row)
-                spans.append(span)
-        every = pa.array(took + rows, pa.int64())
-        at = low[np.array(rows, np.int64)] + np.array(strings, np.int64)
+        (took, begin, end), (rows, strings, keys, alone) = repeated_strings(column["part"], counts, split, length)
+        every, n = pa.array(np.concatenate([took, rows])), len(took)
+        at = low[rows] + strings
         return pa.table(
             {
                 "shard": column["shard"].take(every),
                 "key": column["key"].take(every),
                 "print": column["print"].take(every),
-                "low": pa.array([s["low"] for s in spans] + at.tolist(), pa.int64()),
-                "high": pa.array([s["high"] for s in spans] + (at + length).tolist(), pa.int64()),
-                "digest": pa.array([None] * len(spans) + keys, pa.binary()),
-                "alone": pa.array([False] * len(spans) + alone, pa.bool_()),
+                "low": np.concatenate([low[took] + begin, at]),
+                "high": np.concatenate([low[took] + end, at + length]),
+                "digest": pa.array([None] * n + keys, pa.binary()),
+                "alone": np.concatenate([np.zeros(n, bool), alone]),
             }
         )
 
