@@ -1,8 +1,9 @@
 """Phrases of two to four words that stand together more often than their parts, per language.
 
-Sequences are counted in HAT-tries (``hat_trie``), one per task, bounded by entries; subtrees that leave are sorted runs of
-``(lang, phrase, count)``, written, dealt by ranges of phrases (so that sequences of one beginning meet in one or a few
-partitions and no beginning is too hot) and added up there.
+Sequences are counted in HAT-tries (``hat_trie``), one per task, bounded by entries. Subtrees that leave go as sorted
+runs, one packed run per prefix partition (a hash of language and first two words, so that what begins alike meets and no
+single first word makes a partition), and each partition adds up its runs. There are as many partitions as the texts have
+PART_BYTES, PARTS at most; a partition holds the different sequences of its prefixes.
 
 A phrase that stands ``min_count`` times has only parts that do. So words are counted first, then pairs of words that
 reach the count, then sequences of three and four whose pairs all do. What reached it goes to the next pass as a bitmap of
@@ -44,7 +45,10 @@ _LOWER = np.frombuffer(LOWER, np.uint8)
 _STOPS = byte_class(lambda b: b in b".,;:!?\n\x0b\x0c\r")
 _INSIDE = ~(_STOPS | byte_class(lambda b: b in b" \t"))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_RUN = "lang string, phrase string, n int, hash bigint, times bigint"
+# Text for each prefix partition, and how many partitions there may be.
+PART_BYTES, PARTS = 6 << 20, 1 << 16
+_RUN = "part int, lang string, run binary"
+_COUNTED = "lang string, phrase string, n int, hash bigint, times bigint"
 
 
 @dataclass
@@ -54,9 +58,6 @@ class Bits:
     data: np.ndarray
     mask: int
 
-    def __contains__(self, hashes):
-        raise TypeError("use of()")
-
     def of(self, hashes: np.ndarray) -> np.ndarray:
         at = hashes & np.uint64(self.mask)
         return (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -73,7 +74,8 @@ def _pair_key(first: np.ndarray, second: np.ndarray, lang: np.ndarray) -> np.nda
 class _Counter:
     """Sequences of ``low`` to ``high`` words of a task's texts; single words are counted at the trie's first level."""
 
-    def __init__(self, low: int, high: int, words: Bits | None, pairs: Bits | None):
+    def __init__(self, low: int, high: int, words: Bits | None, pairs: Bits | None, parts: int = 1):
+        self.parts = parts
         self.low, self.high, self.known_words, self.known_pairs = low, high, words, pairs
         self.lang_ids: dict[str, int] = {}
         self.lang_names: list[str] = []
@@ -164,56 +166,80 @@ class _Counter:
         first, rest = first[order], rest[order]
         change = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])))
         counts = np.diff(np.append(change, len(first)))
-        yield from map(self._batch, self._bundled(self.trie.add(first[change], rest[change], counts)))
-
-    @staticmethod
-    def _bundled(runs, rows: int = 20_000):
-        """Runs put together up to so many rows."""
-        held, size = [], 0
-        for word, keys, counts in runs:
-            held.append((np.full(len(keys), word, np.int64), keys, counts))
-            size += len(keys)
-            if size >= rows:
-                yield [np.concatenate(c) for c in zip(*held)]
-                held, size = [], 0
-        if held:
-            yield [np.concatenate(c) for c in zip(*held)]
-
-    def _batch(self, run) -> pa.RecordBatch:
-        first, keys, counts = run
-        lang, parts = first >> ID_BITS, [first & ((1 << ID_BITS) - 1), *unpack(keys)]
-        return self._record(lang, parts, counts)
+        runs = list(self.trie.add(first[change], rest[change], counts))
+        if runs:
+            yield self._packed(runs)
+
+    def _packed(self, runs: list) -> pa.RecordBatch:
+        """Runs of the trie, put together and cut by partition."""
+        first = np.repeat(np.array([word for word, _, _ in runs]), [len(keys) for _, keys, _ in runs])
+        keys, counts = np.concatenate([keys for _, keys, _ in runs]), np.concatenate([times for *_, times in runs])
+        return self._record(first >> ID_BITS, [first & ((1 << ID_BITS) - 1), *unpack(keys)], counts)
 
     def _record(self, lang: np.ndarray, parts: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
         self.hashes = [np.concatenate(self.hashes)]
         hashes, lang_hash = self.hashes[0], np.array(self.lang_hashes, np.uint64)[lang]
+        second = hashes[parts[1]] if len(parts) > 1 else np.uint64(0)
+        part = (_pair_key(hashes[parts[0]], second, lang_hash) % np.uint64(self.parts)).astype(np.int64)
+        # By partition and language; inside, as the trie had it.
+        place = part * len(self.lang_names) + lang
+        order = np.argsort(place, kind="stable")
+        place, counts, parts = place[order], counts[order], [p[order] for p in parts]
         used, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        words = pa.array([self.words[i] for i in used.tolist()], pa.binary()).cast(pa.string())
-        n, columns = sum((p > 0).astype(np.int32) for p in parts), []
-        for k, p in enumerate(parts):
-            at = pa.array(inverse[k * len(p) : (k + 1) * len(p)], mask=p == 0)
-            columns.append(words.take(at))
-        key = np.where(n == 1, _word_key(hashes[parts[0]], lang_hash), _pair_key(hashes[parts[0]], hashes[parts[1] if len(parts) > 1 else parts[0]], lang_hash))
-        arrays = [
-            pa.array(self.lang_names).take(pa.array(lang)),
-            pc.binary_join_element_wise(*columns, " ", null_handling="skip"),
-            pa.array(n, pa.int32()),
-            pa.array(key.view(np.int64)),
-            pa.array(counts, pa.int64()),
-        ]
-        return pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "n", "hash", "times"])
+        words = pa.array([self.words[i] for i in used.tolist()], pa.binary())
+        columns = [words.take(pa.array(i, mask=p == 0)) for i, p in zip(np.split(inverse, len(parts)), parts)]
+        phrases = pc.binary_join_element_wise(*columns, b" ", null_handling="skip")
+        cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        ends = np.append(cuts[1:], len(place))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(place[cuts] // len(self.lang_names), pa.int32()),
+                pa.array(self.lang_names).take(pa.array(place[cuts] % len(self.lang_names))),
+                pa.array([pack_run(phrases.slice(a, b - a), counts[a:b]) for a, b in zip(cuts.tolist(), ends.tolist())], pa.binary()),
+            ],
+            ["part", "lang", "run"],
+        )
 
     def leave(self) -> Iterator[pa.RecordBatch]:
         """All that is counted, and begin anew."""
-        yield from map(self._batch, self._bundled(self.trie.leave_all()))
+        runs = list(self.trie.leave_all())
+        if runs:
+            yield self._packed(runs)
         for code, counts in enumerate(self.alone):
             at = np.flatnonzero(counts)
-            for low in range(0, len(at), 20_000):
-                some = at[low : low + 20_000]
-                yield self._record(np.full(len(some), code), [some], counts[some])
+            if len(at):
+                yield self._record(np.full(len(at), code), [at], counts[at])
         self._begin()
 
 
+def pack_run(phrases: pa.Array, counts: np.ndarray) -> bytes:
+    """Phrases and counts, compressed: their number, the lengths, the counts, the bytes."""
+    data, offsets = flat(phrases)
+    raw = b"".join([np.int64(len(counts)).tobytes(), np.diff(offsets).astype(np.uint32).tobytes(), counts.astype(np.int64).tobytes(), data.tobytes()])
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def unpack_run(run: bytes) -> tuple[pa.Array, np.ndarray]:
+    raw = pa.Codec("zstd").decompress(run[8:], int.from_bytes(run[:8], "little"), asbytes=True)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    offsets = np.zeros(n + 1, np.int64)
+    np.cumsum(np.frombuffer(raw, np.uint32, n, 8), out=offsets[1:])
+    counts = np.frombuffer(raw, np.int64, n, 8 + 4 * n) if n % 2 == 0 else np.frombuffer(raw[8 + 4 * n : 8 + 12 * n], np.int64)
+    data = pa.py_buffer(raw[8 + 12 * n :])
+    return pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets.tobytes()), data]), counts
+
+
+def _phrase_keys(phrases: pa.Array, lang: str) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each phrase has, and the hash by which a bitmap knows words and pairs."""
+    data, offsets = flat(phrases)
+    starts, ends, first = word_bounds(data != ord(" "), offsets)
+    hashes = safe_hashes(data, *prefix_hashes(data), starts, ends)
+    n, at = np.diff(first), first[:-1]
+    of = np.full(len(n), xxhash.xxh3_64_intdigest(lang.encode()), np.uint64)
+    second = np.minimum(at + 1, max(len(hashes) - 1, 0))
+    return n, np.where(n == 1, _word_key(hashes[at], of), _pair_key(hashes[at], hashes[second], of))
+
+
 def windows(data: np.ndarray, limit: int) -> Iterator[tuple[int, int, int]]:
     """``(begin, end, own)`` of stretches of a long text: words that begin before ``own`` are the stretch's, three more follow."""
     begin, n = 0, len(data)
@@ -238,15 +264,18 @@ def windows(data: np.ndarray, limit: int) -> Iterator[tuple[int, int, int]]:
         yield begin, n, n
 
 
-def _runs(docs: DataFrame, low: int, high: int, words: Bits | None, pairs: Bits | None) -> DataFrame:
-    """Counts of sequences of ``low`` to ``high`` words in runs, written; the same sequence may stand in several runs."""
+def _counts(docs: DataFrame, low: int, high: int, words: Bits | None, pairs: Bits | None, parts: int, min_count: int) -> DataFrame:
+    """``lang, phrase, n, hash, times`` of sequences of ``low`` to ``high`` words that stand ``min_count`` times.
+
+    Each partition adds a row per language without a phrase: the sum of all its counts.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     known = [None if b is None else (spark.sparkContext.broadcast(b.data.tobytes()), b.mask) for b in (words, pairs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = [None if b is None else Bits(np.frombuffer(b[0].value, np.uint8), b[1]) for b in known]
-        counter = _Counter(low, high, *opened)
+        counter = _Counter(low, high, *opened, parts)
         for batch in batches:
             for piece in pieces(batch):
                 lang = counter.langs(piece.column(1))
@@ -258,15 +287,48 @@ def _runs(docs: DataFrame, low: int, high: int, words: Bits | None, pairs: Bits
                     yield from counter.add(data[begin:end], np.array([0, end - begin]), lang, own - begin)
         yield from counter.leave()
 
-    return materialize(docs.mapInArrow(run, _RUN), f"runs-{low}")
-
-
-def _merged(runs: DataFrame) -> DataFrame:
-    """Runs added up: one partition holds a range of phrases."""
-    partitions = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = runs.repartitionByRange(partitions, "lang", "phrase")
-    sums = [F.first("n").alias("n"), F.first("hash").alias("hash"), F.sum("times").alias("times")]
-    return ranged.groupBy("lang", "phrase").agg(*sums)
+    def merge(table: pa.Table) -> pa.Table:
+        return merge_runs(table, min_count)
+
+    return materialize(docs.mapInArrow(run, _RUN).groupBy("part").applyInArrow(merge, _COUNTED), f"counts-{low}")
+
+
+def merge_runs(table: pa.Table, min_count: int) -> pa.Table:
+    """The runs of a partition added up, those of a language one after the other."""
+    made, langs = [], table["lang"].combine_chunks()
+    for lang in pc.unique(langs).to_pylist():
+        held, rows, size = [], 0, 0
+
+        def added():
+            whole = pa.table({"phrase": pa.chunked_array([p for p, _ in held]), "times": pa.chunked_array([t for _, t in held])})
+            whole = whole.group_by("phrase", use_threads=False).aggregate([("times", "sum")])
+            return whole["phrase"].combine_chunks(), whole["times_sum"].combine_chunks()
+
+        for run in table["run"].filter(pc.equal(langs, lang)):
+            phrases, counts = unpack_run(run.as_py())
+            held.append((phrases, pa.array(counts)))
+            rows += len(counts)
+            # Added up whenever the rows have doubled, so that no more than twice the different ones are held.
+            if rows > max(200_000, 2 * size):
+                held = [added()]
+                rows = size = len(held[0][0])
+        phrases, times = added()
+        total = pc.sum(times)
+        often = pc.greater_equal(times, min_count)
+        phrases, times = phrases.filter(often), times.filter(often)
+        n, keys = _phrase_keys(phrases, lang)
+        made.append(
+            pa.table(
+                {
+                    "lang": pa.array([lang] * (len(times) + 1)),
+                    "phrase": pa.concat_arrays([phrases.cast(pa.string()), pa.nulls(1, pa.string())]),
+                    "n": pa.array(np.append(n, 0), pa.int32()),
+                    "hash": pa.array(np.append(keys, np.uint64(0)).view(np.int64)),
+                    "times": pa.concat_arrays([times, pa.array([total.as_py()], pa.int64())]),
+                }
+            )
+        )
+    return pa.concat_tables(made)
 
 
 def _bits(frequent: DataFrame) -> Bits:
@@ -287,13 +349,14 @@ def _bits(frequent: DataFrame) -> Bits:
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, n, times`` of all sequences of up to four words that stand ``min_count`` times, and ``lang, total``."""
     source = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
-    words = materialize(_merged(_runs(source, 1, 1, None, None)), "words")
-    totals = materialize(words.groupBy("lang").agg(F.sum("times").alias("total")), "totals")
-    often = [words.where(F.col("times") >= min_count)]
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
+    parts = int(max(1, min(PARTS, size // PART_BYTES)))
+    words = _counts(source, 1, 1, None, None, parts, min_count)
+    totals = materialize(words.where("phrase is null").groupBy("lang").agg(F.sum("times").alias("total")), "totals")
+    often = [words.where("phrase is not null")]
     known = _bits(often[0])
-    often.append(materialize(_merged(_runs(source, 2, 2, known, None)).where(F.col("times") >= min_count), "pairs"))
-    longer = _merged(_runs(source, 3, LONGEST, known, _bits(often[1])))
-    often.append(materialize(longer.where(F.col("times") >= min_count), "longer"))
+    often.append(_counts(source, 2, 2, known, None, parts, min_count).where("phrase is not null"))
+    often.append(_counts(source, 3, LONGEST, known, _bits(often[1]), parts, min_count).where("phrase is not null"))
     return materialize(often[0].unionByName(often[1]).unionByName(often[2]).drop("hash"), "phrase-counts"), totals
 
 

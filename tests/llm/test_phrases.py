@@ -88,7 +88,7 @@ def test_counts_survive_spills_bursts_and_windows(monkeypatch, entries, words, p
     rows = [(lang or "und", text or "") for lang, text in odd_rows()]
     found = Counter()
     for low, high in ((1, 1), (2, 4)):
-        counter = collocations._Counter(low, high, None, None)
+        counter = collocations._Counter(low, high, None, None, 3)
         batches = []
         for lang, text in rows:
             codes, data = counter.langs(pa.array([lang])), np.frombuffer(text.encode(), np.uint8)
@@ -97,9 +97,15 @@ def test_counts_survive_spills_bursts_and_windows(monkeypatch, entries, words, p
             for begin, end, own in collocations.windows(data, piece):
                 batches += counter.add(data[begin:end], np.array([0, end - begin]), codes, own - begin)
         batches += counter.leave()
-        for batch in batches:
-            for row in batch.to_pylist():
+        whole = collocations.merge_runs(pa.Table.from_batches(batches), 1)
+        totals = Counter()
+        for row in whole.to_pylist():
+            if row["phrase"] is None:
+                totals[row["lang"]] += row["times"]
+            else:
+                assert row["n"] == len(row["phrase"].split(" "))
                 found[row["lang"], tuple(row["phrase"].split(" "))] += row["times"]
+        assert sum(totals.values()) == sum(n for (_, w), n in found.items() if low <= len(w) <= high)
     assert found == plain_counts(rows)
 
 
