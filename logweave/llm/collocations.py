@@ -38,7 +38,9 @@ from logweave.session import materialize, sized_broadcast
 
 LONGEST, MIN_COUNT, COVER, TOP = 4, 30, 80, 2000
 # Entries of a trie, words of its vocabulary and bytes of these words, per task.
-ENTRIES, WORDS, WORD_BYTES = 500_000, 300_000, 24 << 20
+ENTRIES, WORDS, WORD_BYTES = 300_000, 150_000, 16 << 20
+# Occurrences sorted at once before they reach the trie.
+BUFFER = 600_000
 # A bitmap has at least BITS_PER_ROW bits for each sequence, at most MAX_BITS: 16 MB.
 BITS_PER_ROW, MAX_BITS, SEGMENT_BITS = 16, 1 << 27, 1 << 15
 _LOWER = np.frombuffer(LOWER, np.uint8)
@@ -46,7 +48,7 @@ _STOPS = byte_class(lambda b: b in b".,;:!?\n\x0b\x0c\r")
 _INSIDE = ~(_STOPS | byte_class(lambda b: b in b" \t"))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 # Text for each prefix partition, and how many partitions there may be.
-PART_BYTES, PARTS = 6 << 20, 1 << 16
+PART_BYTES, PARTS = 4 << 20, 1 << 16
 _RUN = "part int, lang string, run binary"
 _COUNTED = "lang string, phrase string, n int, hash bigint, times bigint"
 
@@ -88,6 +90,8 @@ class _Counter:
         self.hashes: list[np.ndarray] = [np.zeros(1, np.uint64)]
         self.held = 0
         self.trie = HatTrie(ENTRIES)
+        self.buffer: list[tuple[np.ndarray, np.ndarray]] = []
+        self.buffered = 0
         self.alone: list[np.ndarray] = []
 
     def langs(self, column: pa.Array) -> np.ndarray:
@@ -149,7 +153,6 @@ class _Counter:
             self.alone[code] = counts
 
     def _count_sequences(self, ids, lang, joined, mine) -> Iterator[pa.RecordBatch]:
-        firsts, rests = [], []
         run = joined
         for n in range(2, self.high + 1):
             if n > 2:
@@ -157,23 +160,27 @@ class _Counter:
             if n < self.low:
                 continue
             at = np.flatnonzero(run & mine[: len(run)])
-            firsts.append((lang[at] << ID_BITS) | ids[at])
-            rests.append(pack(np.stack([ids[at + k] for k in range(1, n)], axis=1) if len(at) else np.zeros((0, 1), np.int64)))
-        first, rest = np.concatenate(firsts), np.concatenate(rests)
-        if not len(first):
+            first = (lang[at] << ID_BITS) | ids[at]
+            self.buffer.append((first, pack(np.stack([ids[at + k] for k in range(1, n)], axis=1)) if len(at) else first))
+            self.buffered += len(at)
+        if self.buffered >= BUFFER:
+            yield from self._flush()
+
+    def _flush(self) -> Iterator[pa.RecordBatch]:
+        """Buffered occurrences, counted where they are equal, to the trie."""
+        if not self.buffered:
             return
+        first, rest = (np.concatenate(c) for c in zip(*self.buffer))
+        self.buffer, self.buffered = [], 0
         order = np.lexsort((rest, first))
         first, rest = first[order], rest[order]
         change = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])))
         counts = np.diff(np.append(change, len(first)))
-        runs = list(self.trie.add(first[change], rest[change], counts))
-        if runs:
-            yield self._packed(runs)
-
-    def _packed(self, runs: list) -> pa.RecordBatch:
-        """Runs of the trie, put together and cut by partition."""
-        first = np.repeat(np.array([word for word, _, _ in runs]), [len(keys) for _, keys, _ in runs])
-        keys, counts = np.concatenate([keys for _, keys, _ in runs]), np.concatenate([times for *_, times in runs])
+        yield from map(self._packed, self.trie.add(first[change], rest[change], counts))
+
+    def _packed(self, run) -> pa.RecordBatch:
+        """A run of the trie cut by partition."""
+        first, keys, counts = run
         return self._record(first >> ID_BITS, [first & ((1 << ID_BITS) - 1), *unpack(keys)], counts)
 
     def _record(self, lang: np.ndarray, parts: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
@@ -202,9 +209,9 @@ class _Counter:
 
     def leave(self) -> Iterator[pa.RecordBatch]:
         """All that is counted, and begin anew."""
-        runs = list(self.trie.leave_all())
-        if runs:
-            yield self._packed(runs)
+        yield from self._flush()
+        if self.trie.entries:
+            yield self._packed(self.trie.leave_all())
         for code, counts in enumerate(self.alone):
             at = np.flatnonzero(counts)
             if len(at):
@@ -285,6 +292,7 @@ def _counts(docs: DataFrame, low: int, high: int, words: Bits | None, pairs: Bit
                     continue
                 for begin, end, own in windows(data, PIECE_BYTES):
                     yield from counter.add(data[begin:end], np.array([0, end - begin]), lang, own - begin)
+            pa.default_memory_pool().release_unused()
         yield from counter.leave()
 
     def merge(table: pa.Table) -> pa.Table:

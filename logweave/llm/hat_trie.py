@@ -9,6 +9,7 @@ same sequence are added up wherever they meet. Word ids are the trie's own and l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -16,6 +17,8 @@ import numpy as np
 ID_BITS = 21
 BURST = 4096
 _MASK = (1 << ID_BITS) - 1
+#: First words, packed others and counts, sorted.
+Run = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class HatTrie:
@@ -28,7 +31,7 @@ class HatTrie:
         self.deep: dict[int, dict[int, dict]] = {}
         self.sizes: dict[int, int] = {}
 
-    def add(self, first: np.ndarray, rest: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def add(self, first: np.ndarray, rest: np.ndarray, counts: np.ndarray) -> Iterator[Run]:
         """Count sequences sorted by ``first``, with ``rest`` the packed ids behind it; yields runs that had to leave."""
         if not len(first):
             return
@@ -37,7 +40,7 @@ class HatTrie:
         for word, low, high in zip(first[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
             self._count(word, keys[low:high], times[low:high])
             if self.entries > self.limit:
-                yield from self._shrink()
+                yield self._shrink()
 
     def _count(self, word: int, keys: list[int], times: list[int]) -> None:
         children = self.deep.get(word)
@@ -64,25 +67,32 @@ class HatTrie:
         for key, n in self.root.pop(word).items():
             children.setdefault(key >> 2 * ID_BITS, {})[key] = n
 
-    def _shrink(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def _shrink(self) -> Run:
+        """The largest subtrees, so many that half of the limit is left."""
+        words, left = [], self.entries
         for word in sorted(self.sizes, key=self.sizes.get, reverse=True):
-            if self.entries <= self.limit // 2:
-                return
-            yield self.leave(word)
-
-    def leave(self, word: int) -> tuple[int, np.ndarray, np.ndarray]:
-        """A subtree as a run: its first word, the packed rest in order and the counts."""
-        children = self.deep.pop(word, None)
-        containers = [self.root.pop(word)] if children is None else [children[k] for k in sorted(children)]
-        keys = np.concatenate([np.fromiter(c.keys(), np.int64, len(c)) for c in containers])
-        counts = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in containers])
-        self.entries -= self.sizes.pop(word)
-        order = np.argsort(keys, kind="stable")
-        return word, keys[order], counts[order]
-
-    def leave_all(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for word in sorted(self.sizes):
-            yield self.leave(word)
+            if left <= self.limit // 2:
+                break
+            words.append(word)
+            left -= self.sizes[word]
+        return self._leave(words)
+
+    def _leave(self, words: list[int]) -> Run:
+        containers, sizes = [], []
+        for word in words:
+            children = self.deep.pop(word, None)
+            containers += [self.root.pop(word)] if children is None else children.values()
+            sizes.append(self.sizes.pop(word))
+        n = sum(sizes)
+        self.entries -= n
+        keys = np.fromiter(chain.from_iterable(containers), np.int64, n)
+        counts = np.fromiter(chain.from_iterable(c.values() for c in containers), np.int64, n)
+        first = np.repeat(np.array(words, np.int64), sizes)
+        order = np.lexsort((keys, first))
+        return first[order], keys[order], counts[order]
+
+    def leave_all(self) -> Run:
+        return self._leave(list(self.sizes))
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
