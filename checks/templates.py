@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks import inputs as I
 from checks.parsing import _nested
-from logweave.operators import classify, grouping, metrics, mining, patterns, serve, storage
+from logweave.operators import classify, dialects, grouping, metrics, mining, patterns, serve, storage
 from logweave.rules.masks import CUSTOM_MASKS, DEFAULT_PROFILE, PLACEHOLDER_PATTERNS, QUICK_SWEEP
 from logweave.rules.origins import BY_NAME
 from logweave.session import scratch_path
@@ -349,6 +349,43 @@ def _joi_2_missed(spark, sf):
     return classify.unclassified(found).select("file", "line_no", "message")
 
 
+def _own_input_sql(delimiters: str) -> str:
+    """All messages that have a token, per origin, twice."""
+    return (
+        f"with {I.RECORDS_CTE} select replace(file, '.log', '') as origin, count(*) as messages, count(*) as classified "
+        f"from records where regexp_matches(message, '[^\\s{delimiters}]') group by 1"
+    )
+
+
+def _own_input(found, column: str):
+    return found.groupBy("origin").agg(F.count(F.lit(1)).alias("messages"), F.count(column).alias("classified"))
+
+
+@check("joi_2_mined_rules_classify_own_input", _own_input_sql(r":|/=,\[\]()"))
+def _joi_2_own(spark, sf):
+    """The whole cycle: mine, group, build rules, review all of them, classify the messages that were mined."""
+    from logweave.plans.template_cycle import generate_templates
+
+    messages = _messages(spark, sf).where(r"message rlike '[^\\s:|/=,\\[\\]()]'")
+    made = generate_templates(messages, ignore=I.APP.ignore)
+    reviews = made.rules.select("representative_template", F.lit("any").alias("event_type"), F.lit("low").alias("severity"))
+    rules = patterns.review_rules(made.rules, reviews)
+    found = classify.classify_by_template(messages.withColumnRenamed("origin", "log_type"), rules)
+    return _own_input(found.withColumnRenamed("log_type", "origin"), "event_type")
+
+
+@check("joi_5_mined_clusters_classify_own_input", _own_input_sql(r"=:,()\[\]{}<>"))
+def _joi_5_own(spark, sf):
+    """Clusters of the first-match miner account for the messages they were mined from."""
+    messages = _messages(spark, sf).where(r"message rlike '[^\\s=:,()\\[\\]{}<>]'")
+    clusters = mining.mine_templates_first_match(messages).clusters
+    # Clusters of all origins in one list; ids are unique per origin.
+    ids = clusters.select(F.concat_ws(":", "origin", "cluster_id").alias("cluster_id"), "template")
+    keyed = messages.withColumn("id", F.concat_ws(":", "origin", "seq"))
+    found = classify.classify_by_cluster(keyed, ids, dialect=dialects.first_match_dialect())
+    return _own_input(keyed.join(found, "id"), "cluster_id")
+
+
 _GROUPS = f"{_TEMPLATE_SQL}, groups as (select cluster_id as group_id, template as representative_template, size from templates), stored as (select group_id, representative_template from groups where group_id % 2 = 0)"
 
 

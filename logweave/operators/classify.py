@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.operators.dialects import Dialect
 from logweave.operators.patterns import reviewed, template_to_pattern
+from logweave.operators.rule_index import first_rules
 from logweave.session import materialize
 
 # Rules per CASE expression; longer tables become several expressions, each one only for rows still without a match.
 RULES_PER_STEP = 200
 # More reviewed rules than this are joined instead of becoming literals.
 LITERAL_RULES = 2_000
-# Leading literal words that bring a rule and a text together.
-PREFIX_WORDS = 3
 
 
 def first_match(df: DataFrame, text: str, rules: list[tuple[object, str]], output: str, output_type: str) -> DataFrame:
@@ -34,21 +34,23 @@ def _at_start(pattern: Column) -> Column:
     return F.concat(F.lit(r"\A(?:"), pattern, F.lit(")"))
 
 
-def classify_by_template(records: DataFrame, rules: DataFrame, order: str = "group_id") -> DataFrame:
+def classify_by_template(records: DataFrame, rules: DataFrame, order: str = "group_id", text: Column | None = None) -> DataFrame:
     """Event type and severity of the first reviewed rule of the record's origin that matches at the message start.
 
-    Reviewed rules were edited by hand one by one, so they are usually few and become literals. A table of more than
-    LITERAL_RULES stays distributed and meets the different messages by their first words.
+    ``text`` is what the rules are tried on, the message by default. Reviewed rules were edited by hand one by one, so
+    they are usually few and become literals. A table of more than LITERAL_RULES stays distributed and meets the different
+    messages by their rarest words.
     """
+    text = F.coalesce(F.col("message") if text is None else text, F.lit(""))
     usable = materialize(reviewed(rules).filter("pattern is not null"), "reviewed-rules")
     if usable.count() > LITERAL_RULES:
-        return _classify_by_many(records, usable, order)
+        return _classify_by_many(records, usable, order, text)
     table = (
         usable.select("origin", order, "group_id", "event_type", "severity", _at_start(F.col("pattern")).alias("regex"))
         .orderBy("origin", order)
         .collect()
     )
-    df = records.withColumn("__text", F.coalesce("message", F.lit("")))
+    df = records.withColumn("__text", text)
     for column in ("event_type", "severity"):
         if column in df.columns:
             df = df.drop(column)
@@ -73,26 +75,15 @@ def classify_by_template(records: DataFrame, rules: DataFrame, order: str = "gro
     ).drop("__text", "__rule")
 
 
-def _classify_by_many(records: DataFrame, usable: DataFrame, order: str) -> DataFrame:
-    """The same for a large rule table: origin and leading words are the key, the lowest ``order`` wins."""
-    words = F.concat(F.array("origin"), _pattern_words(F.col("pattern")))
+def _classify_by_many(records: DataFrame, usable: DataFrame, order: str, text: Column) -> DataFrame:
+    """The same for a large rule table, by ``rule_index``; the lowest ``order`` wins."""
     fields = F.struct(F.col(order).alias("o"), "group_id", "event_type", "severity")
-    rules = usable.select(
-        fields.alias("rule"), _at_start(F.col("pattern")).alias("regex"), F.array_join(words, " ").alias("prefix")
+    rules = usable.select(F.col("origin").alias("scope"), fields.alias("rule"), _at_start(F.col("pattern")).alias("regex"))
+    kept = records.drop("event_type", "severity").withColumn("__text", text)
+    messages = kept.where("log_type is not null").select("log_type", "__text").distinct()
+    best = first_rules(materialize(messages, "messages"), rules, "log_type", "__text").select(
+        F.col("scope").alias("log_type"), F.col("text").alias("__text"), F.col("rule").alias("__rule")
     )
-    messages = records.select("log_type", F.coalesce("message", F.lit("")).alias("__text")).distinct()
-    first = F.split("__text", r"\s+", PREFIX_WORDS + 1)
-    counts = F.sequence(F.lit(0), F.least(F.size(first), F.lit(PREFIX_WORDS)))
-    prefixes = F.transform(counts, lambda n: F.array_join(F.concat(F.array("log_type"), F.slice(first, 1, n)), " "))
-    best = (
-        messages.where("log_type is not null")
-        .select("log_type", "__text", F.explode(prefixes).alias("prefix"))
-        .join(rules, "prefix")
-        .filter(F.expr("__text rlike regex"))
-        .groupBy("log_type", "__text")
-        .agg(F.min("rule").alias("__rule"))
-    )
-    kept = records.drop("event_type", "severity").withColumn("__text", F.coalesce("message", F.lit("")))
     joined = kept.join(materialize(best, "message-rules").hint("merge"), ["log_type", "__text"], "left")
     return joined.select(
         *[c for c in kept.columns if c != "__text"],
@@ -102,24 +93,6 @@ def _classify_by_many(records: DataFrame, usable: DataFrame, order: str) -> Data
     )
 
 
-# What may follow the words in a group: anything but alternatives, and groups up to one in another.
-_PLAIN = r"[^()\[\]|\\]|\\[^QE]|\[\^?(?:[^\[\]\\|]|\\[^QE])+\]"
-_INNER = rf"\((?:{_PLAIN})*+\)"
-_WORDS = r"((?:[A-Za-z0-9_]+\\(?: |s\+)(?![?*{]))+)"
-
-
-def _pattern_words(pattern: Column) -> Column:
-    """Plain words, each with white space behind it, that a pattern without alternatives begins with.
-
-    A group around the words counts only if it is closed at the pattern's end: one closed earlier may be optional.
-    """
-    free = F.regexp_extract(pattern, rf"^(?:\(\?s\))?\^?{_WORDS}[^|]*$", 1)
-    body = rf"(?:{_PLAIN}|\((?:{_PLAIN}|{_INNER})*+\))*+"
-    grouped = F.regexp_extract(pattern, rf"^(?:\(\?s\))?\^?\(\?:{_WORDS}{body}\)\$?$", 1)
-    words = F.slice(F.split(F.concat(free, grouped), r"\\(?: |s\+)"), 1, PREFIX_WORDS)
-    return F.filter(words, lambda w: w != "")
-
-
 def unclassified(records: DataFrame) -> DataFrame:
     """Records no rule accounts for, for the learning queue."""
     return records.filter(F.col("template_group_id").isNull())
@@ -128,50 +101,30 @@ def unclassified(records: DataFrame) -> DataFrame:
 def first_rule(df: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
     """``(key, rule_id)``: the lowest ``rule_id`` whose ``regex`` is found in the text, null without any.
 
-    For tables of many rules. A rule with ``words`` can only match texts that begin with these words, so it meets them by
-    an equi join on as many of the first words as the rule knows; a common first word alone brings nobody together. Each
-    different text is tried once. The few rules without words are tried as literals.
+    For tables of many rules, whatever they begin with; see ``rule_index``. Each different text is tried once.
     """
-    texts = df.select(text).distinct()
-    known = rules.filter(F.size("words") > 0).select("rule_id", "regex", F.array_join("words", " ").alias("prefix"))
-    first = F.split(F.col(text), r"\s+", PREFIX_WORDS + 1)
-    # A text with n words is asked for by its first one, two, ... words.
-    counts = F.sequence(F.lit(1), F.least(F.size(first), F.lit(PREFIX_WORDS)))
-    prefixes = F.transform(counts, lambda n: F.array_join(F.slice(first, 1, n), " "))
-    found = (
-        texts.select(text, F.explode(prefixes).alias("prefix"))
-        .join(known, "prefix")
-        .filter(F.expr(f"`{text}` rlike regex"))
-        .groupBy(text)
-        .agg(F.min("rule_id").alias("__worded"))
-    )
-    open_ended = [
-        (row["rule_id"], row["regex"]) for row in rules.filter(F.size("words") == 0).orderBy("rule_id").toLocalIterator()
-    ]
-    tried = first_match(texts, text, open_ended, "__open", "bigint").join(found, text, "left")
-    best = tried.select(text, F.least("__worded", "__open").alias("rule_id"))
+    texts = materialize(df.where(F.col(text).isNotNull()).select(F.lit(0).alias("scope"), F.col(text).alias("text")).distinct(), "texts")
+    best = first_rules(texts, rules.select(F.lit(0).alias("scope"), F.col("rule_id").alias("rule"), "regex"))
+    best = best.select(F.col("text").alias(text), F.col("rule").alias("rule_id"))
     if key == text:
-        return best
+        return df.select(text).distinct().join(best, text, "left")
     # A hot text is one row on the right and many on the left, which the join splits at run time.
     return df.select(key, text).join(materialize(best, "text-rules").hint("merge"), text, "left").select(key, "rule_id")
 
 
-def _literal_words(template: Column) -> Column:
-    """The words a template begins with, up to PREFIX_WORDS, as far as they hold no placeholder."""
-    words = F.split(template, r"\s+", PREFIX_WORDS + 1)
-    words = F.slice(words, 1, PREFIX_WORDS)
-    # Words before the first one with a placeholder.
-    free = F.transform(words, lambda w, i: F.when(w.contains("<"), i))
-    return F.slice(words, 1, F.coalesce(F.array_min(free), F.size(words)))
-
+def classify_by_cluster(
+    messages: DataFrame, clusters: DataFrame, key: str = "id", text: str = "message", dialect: Dialect | None = None
+) -> DataFrame:
+    """``(key, cluster_id)``: first cluster whose template accounts for the whole message, null without any.
 
-def classify_by_cluster(messages: DataFrame, clusters: DataFrame, key: str = "id", text: str = "message") -> DataFrame:
-    """``(key, cluster_id)``: first cluster whose template accounts for the whole message, null without any."""
-    rules = clusters.select(
-        F.col("cluster_id").alias("rule_id"),
-        _literal_words(F.col("template")).alias("words"),
-        F.concat(F.lit(r"\A"), template_to_pattern(F.col("template"), anchor=False), F.lit(r"\z")).alias("regex"),
-    )
+    Templates are taken as texts with placeholders; with the dialect of their miner, as what messages were made into.
+    """
+    template = F.col("template")
+    if dialect:
+        regex = dialect.whole(dialect.body(F.split(template, r"\s+", -1)))
+    else:
+        regex = F.concat(F.lit(r"\A"), template_to_pattern(template, anchor=False), F.lit(r"\z"))
+    rules = clusters.select(F.col("cluster_id").alias("rule_id"), regex.alias("regex"))
     return first_rule(messages, key, text, rules).withColumnRenamed("rule_id", "cluster_id")
 
 
@@ -184,7 +137,6 @@ def covering_rule(groups: DataFrame, stored: DataFrame, text: str = "representat
     """Add ``covered_by``: the first stored group whose pattern accounts for the whole representative template."""
     rules = stored.filter("pattern is not null").select(
         F.col("group_id").alias("rule_id"),
-        _pattern_words(F.col("pattern")).alias("words"),
         F.concat(F.lit(r"\A(?:"), F.col("pattern"), F.lit(r")\z")).alias("regex"),
     )
     found = first_rule(groups.select(text).distinct(), text, text, rules)

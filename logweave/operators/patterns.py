@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.operators.dialects import Dialect
 from logweave.rules.masks import PLACEHOLDER_PATTERNS
 from logweave.session import materialize
 
@@ -67,21 +68,27 @@ def _tokens(template: str = "template") -> Column:
     return F.split(template, r"\s+", -1)
 
 
-def _slots(members: DataFrame, max_alternatives: int | None) -> DataFrame:
+def _slots(members: DataFrame, max_alternatives: int | None, dialect: Dialect | None) -> DataFrame:
     """Per group, number of tokens and position: the pattern of all tokens that stand there."""
     shape = ["origin", "group_id", "n_tokens"]
     placed = members.select(*shape, F.posexplode(_tokens()).alias("pos", "token"))
     found = placed.groupBy(*shape, "pos").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
-    fragments = F.array_join(F.transform("tokens", _fragment), "|")
+    fragments = F.array_join(F.transform("tokens", dialect.fragment if dialect else _fragment), "|")
+    masked = F.exists("tokens", dialect.masked) if dialect else F.lit(False)
     many = F.lit(False) if max_alternatives is None else F.size("tokens") > max_alternatives
     constant = F.size("tokens") == 1
     slot = F.when(constant, fragments).when(many, F.lit(r"\S*")).otherwise(F.concat(F.lit("(?:"), fragments, F.lit(")")))
     readable = F.when(constant, F.element_at("tokens", 1)).otherwise("<*>")
-    return found.select(*shape, "pos", constant.alias("constant"), slot.alias("slot"), readable.alias("readable"))
+    return found.select(
+        *shape, "pos", constant.alias("constant"), slot.alias("slot"), readable.alias("readable"), masked.alias("masked")
+    )
 
 
 def synthesize_group_patterns(
-    members: DataFrame, max_alternatives: int | None = None, min_constant: float = MIN_CONSTANT
+    members: DataFrame,
+    max_alternatives: int | None = None,
+    min_constant: float = MIN_CONSTANT,
+    dialect: Dialect | None = None,
 ) -> DataFrame:
     """``(origin, group_id, pattern, merged_template)``: one rule per group, from ``attach_member_templates`` rows.
 
@@ -89,26 +96,33 @@ def synthesize_group_patterns(
     the shape is one pattern whose other places list the tokens found there; else it lists whole members. The shapes of a
     group are alternatives. Every member matches its group's pattern; sets per place are merged before they shuffle.
     ``max_alternatives`` lets a place with more tokens accept any token.
+
+    Without a ``dialect`` patterns are for templates' own text, tokens joined by white space. With the dialect of the
+    miner they are for messages as they came: tokens are parted by what it took for delimiters.
     """
     shape = ["origin", "group_id", "n_tokens"]
     distinct = members.select("origin", "group_id", "template", F.size(_tokens()).alias("n_tokens")).distinct()
     # Read three times below; what led to the members is not computed again.
     distinct = materialize(distinct, "pattern-members")
-    parts = F.array_sort(F.collect_list(F.struct("pos", "slot", "readable")))
+    parts = F.array_sort(F.collect_list(F.struct("pos", "slot", "readable", "masked")))
+    if dialect:
+        body, whole = dialect.joined(F.col("parts")), dialect.body(_tokens())
+    else:
+        body = F.array_join(F.transform("parts", lambda p: p["slot"]), r"\s+")
+        whole = F.array_join(F.transform(_tokens(), _fragment), r"\s+")
     shapes = materialize(
-        _slots(distinct, max_alternatives)
+        _slots(distinct, max_alternatives, dialect)
         .groupBy(*shape)
         .agg(parts.alias("parts"), F.count_if("constant").alias("n_constant"))
         .select(
             *shape,
             (F.col("n_constant") >= F.col("n_tokens") * min_constant).alias("mergeable"),
-            F.array_join(F.transform("parts", lambda p: p["slot"]), r"\s+").alias("body"),
+            body.alias("body"),
             F.array_join(F.transform("parts", lambda p: p["readable"]), " ").alias("readable"),
         ),
         "pattern-shapes",
     )
     apart = shapes.filter(~F.col("mergeable")).select(*shape)
-    whole = F.array_join(F.transform(_tokens(), _fragment), r"\s+")
     listed = (
         distinct.join(apart, shape, "left_semi")
         .groupBy(*shape)
@@ -121,23 +135,26 @@ def synthesize_group_patterns(
     )
     every = shapes.filter("mergeable").select(*shape, "body", "readable").unionByName(listed)
     ordered = F.array_sort(F.collect_list(F.struct("n_tokens", "body", "readable")))
+    choices = F.array_join(F.transform("shapes", lambda x: x["body"]), "|")
+    pattern = dialect.whole(choices) if dialect else F.concat(F.lit("(?s)^(?:"), choices, F.lit(")$"))
     return (
         every.groupBy("origin", "group_id")
         .agg(ordered.alias("shapes"))
         .select(
             "origin",
             "group_id",
-            F.concat(
-                F.lit("(?s)^(?:"), F.array_join(F.transform("shapes", lambda x: x["body"]), "|"), F.lit(")$")
-            ).alias("pattern"),
+            pattern.alias("pattern"),
             F.array_join(F.transform("shapes", lambda x: x["readable"]), " | ").alias("merged_template"),
         )
     )
 
 
-def build_rules(groups: DataFrame, members: DataFrame) -> DataFrame:
-    """The rule table: groups with the patterns of their members ``(origin, group_id, ord, cluster_id, template)``."""
-    return groups.join(synthesize_group_patterns(members), ["origin", "group_id"]).select(
+def build_rules(groups: DataFrame, members: DataFrame, dialect: Dialect | None = None) -> DataFrame:
+    """The rule table: groups with the patterns of their members ``(origin, group_id, ord, cluster_id, template)``.
+
+    Rules for messages need the dialect of the miner that made the templates.
+    """
+    return groups.join(synthesize_group_patterns(members, dialect=dialect), ["origin", "group_id"]).select(
         "origin", "group_id", "representative_cluster_id", "representative_template", "merged_template", "pattern",
         "event_type", "severity",
     )
@@ -148,7 +165,7 @@ def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiles, matches = [], []
         for pattern, template in zip(batch["pattern"], batch["representative_template"], strict=True):
             try:
-                compiled = re.compile(pattern.replace(r"\z", r"\Z"))
+                compiled = re.compile(pattern.replace(r"\z", r"\Z").replace("(?sU)", "(?s)", 1))
             except re.error:
                 compiles.append(False)
                 matches.append(False)

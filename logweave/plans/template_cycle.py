@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.operators.dialects import best_match_dialect, first_match_dialect
 from logweave.operators.grouping import embed_templates, group_members, group_templates, template_groups
 from logweave.operators.metrics import level_word_coverage, timestamp_format_coverage
 from logweave.operators.mining import mine_templates_best_match, mine_templates_first_match, number_arrivals
@@ -14,7 +16,8 @@ from logweave.operators.patterns import build_rules
 from logweave.operators.serve import top_clusters
 from logweave.rules.levels import LEVEL_WORDS
 from logweave.rules.timestamps import TIMESTAMP_CATALOGUE
-from logweave.functions.regex import java_regex
+from logweave.functions.regex import java_regex, strip
+from logweave.functions.text import condense_trace_json, filter_message_lines, strip_leading_separators
 from logweave.session import materialize
 
 
@@ -44,12 +47,23 @@ def generate_templates(messages: DataFrame, best: bool = True, distance_threshol
     """``(origin, seq, message)`` to clusters, groups and rules that wait for a review.
 
     ``seq`` is the order of arrival, unique per origin; without it messages are numbered by ``file_path`` and ``line_no``.
+    ``rules`` are the miner's own settings. Every message that was mined matches the rule of its group; where settings
+    cut lines out of messages first, it does after ``prepared_text``.
     """
     if "seq" not in messages.columns:
         messages = materialize(number_arrivals(messages), "arrivals")
     mined = (mine_templates_best_match if best else mine_templates_first_match)(messages, **rules)
     groups, members = group_clusters(mined.clusters, distance_threshold)
-    return Templates(mined.clusters, groups, members, materialize(build_rules(groups, members), "template-rules"))
+    stamps = rules.get("timestamps", ())
+    dialect = best_match_dialect(rules.get("raw", False), stamps) if best else first_match_dialect(stamps)
+    return Templates(mined.clusters, groups, members, materialize(build_rules(groups, members, dialect), "template-rules"))
+
+
+def prepared_text(message: Column, best: bool = True, ignore: Sequence[str] = ()) -> Column:
+    """A message as the miner reads it before masks: traces condensed, ignored lines and ruled lines cut."""
+    if best:
+        return filter_message_lines(strip_leading_separators(strip(message)), ignore)
+    return filter_message_lines(condense_trace_json(message), ignore)
 
 
 @dataclass(frozen=True)

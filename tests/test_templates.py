@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.operators import classify, grouping, metrics, mining, patterns
+from logweave.operators import dialects, rule_index, classify, grouping, metrics, mining, patterns
 from logweave.operators.mining import GROUP, mine
 
 # --- a plain sequential miner, written from the description of the algorithm ---------------------------------------
@@ -279,6 +279,36 @@ def test_rules_round_trip(spark):
     assert classify.uncovered_groups(made.groups, made.rules).count() <= made.groups.count()
 
 
+def delimited():
+    """Messages with delimiters outside their masked parts, and odd ones."""
+    texts = [f"user=bob{i} id:{10 + i} path=/a/b{i} ok" for i in range(20)]
+    texts += [f"retry [{10 + i}] of job(batch), code: {70 + i}" for i in range(20)]
+    texts += [f"all {i + 10} done" for i in range(20)]
+    texts += ["*****\n=====\nstart [block] 12", "value <NUM> of <*>", "key={a:1},[b]|c", "(1, 2, 3, 4, 5, 6, 7) list", "x " + "QUJD" * 12 + "1 end"]
+    texts += ["2023-10-11 12:34:56 begin 77", "Time: 06-JUL-2026 21:12:31 stop", "select a, b from t where x = 1; done", "naïve café=9 über:10", " padded 12 "]
+    texts += ["took-12ms at 0x1f, see https://h/p?q=1 [now]", '{"a": 1, "b": [2]} sent', "/u01/app/ora_12345.trc written", "a.b.c=1.2.3.4:8080"]
+    return texts
+
+
+@pytest.mark.parametrize("best", [True, False])
+@pytest.mark.parametrize("literal", [0, 2_000])
+def test_mined_rules_match_their_messages(spark, monkeypatch, best, literal):
+    from logweave.plans.template_cycle import generate_templates
+
+    monkeypatch.setattr(classify, "LITERAL_RULES", literal)
+    texts = delimited()
+    df = spark.createDataFrame([("app", i, t) for i, t in enumerate(texts)], "origin string, seq bigint, message string")
+    made = generate_templates(df, best=best, distance_threshold=0.6)
+    assert all(r["compiles"] for r in patterns.validate_rules(made.rules).collect())
+    reviews = made.rules.select("representative_template", F.lit("e").alias("event_type"), F.lit("s").alias("severity"))
+    records = df.withColumnRenamed("origin", "log_type")
+    found = classify.classify_by_template(records, patterns.review_rules(made.rules, reviews))
+    assert [r.message for r in classify.unclassified(found).collect()] == []
+    dialect = dialects.best_match_dialect() if best else dialects.first_match_dialect()
+    by_cluster = classify.classify_by_cluster(df.withColumn("id", F.col("seq")), made.clusters, dialect=dialect)
+    assert by_cluster.where("cluster_id is null").count() == 0
+
+
 def test_many_rules_and_clusters(spark):
     rules = [("app", i, f"r{i}", rf"^word{i} ", "e", "s") for i in range(450)]
     schema = "origin string, group_id bigint, representative_template string, pattern string, event_type string, severity string"
@@ -317,17 +347,60 @@ def test_classify_by_cluster_keeps_null_messages(spark):
     assert sorted((r["id"], r["cluster_id"]) for r in found) == [(1, 7), (2, None), (3, None)]
 
 
-def test_words_of_optional_groups_are_not_required(spark):
+def test_words_that_rules_require(spark):
     cases = {
-        r"(?s)^(?:abc\s+)?rest$": [],
-        r"^(?:abc\s+x)*$": [],
-        r"^(?:abc\s+)?(?:rest)$": [],
-        r"(?s)^(?:abc\s+rest)$": ["abc"],
-        r"(?s)^(?:abc\s+de\s+(\S+?)\s+(?:x(?:y)z)[^\s]\))$": ["abc", "de"],
-        r"^abc\s+(?:de)?$": ["abc"],
+        r"(?s)^(?:abc\s+)?rest$": [[]],
+        r"^(?:abc\s+x)*$": [[]],
+        r"^(?:abc\s+)?(?:rest)$": [[]],
+        r"(?s)^(?:abc\s+rest)$": [["abc", "rest"]],
+        r"(?s)^(?:abc\s+de\s+(\S+?)\s+(?:x(?:y)z)[^\s]\))$": [["abc", "de"]],
+        r"^abc\s+(?:de)?$": [["abc"]],
+        r"\A(?:^(?:one two|three\-four)$)": [["one", "two"], ["three", "four"]],
+        r"\A(?:START block)": [["START"]],
+        r"\A.*? failed\: [a-z]+ now\z": [["failed", "now"]],
+        r"ab?c d{2} e\d f\.g": [["f"]],
+        r"^x y.z (?:p|q) last$": [["x", "last"]],
+        r"(?i)^Abc def$": [[]],
+        r"^[\s:|]+key[\s:|]*=value$": [["value"]],
+        r"^a|b c$|(?:d)|^e f$": [[], ["c"], [], ["e", "f"]],
+        r"(?:a)b(?:c)": [[]],
+        r"^word\Qx\E$": [[]],
     }
     rows = spark.createDataFrame([(p,) for p in cases], "p string")
-    assert {r.p: r.w for r in rows.select("p", classify._pattern_words(F.col("p")).alias("w")).collect()} == cases
+    assert {r.p: r.w for r in rows.select("p", rule_index.required_words(F.col("p")).alias("w")).collect()} == cases
+
+
+def test_rule_index_is_trying_every_rule(spark):
+    import random
+    import re
+
+    rnd = random.Random(9)
+    words = ["red", "blue", "x1", "on", "off", "a_b", "io"]
+    parts = ["red", "blue", r"\s+", r"\d+", ".*?", "(?:on|off)", r"\-", " ", "x1", r"[\s:]+", "a_b?", "(?:io )?", "$", "|"]
+    rules = []
+    for i in range(400):
+        pattern = "".join(rnd.choices(parts, k=rnd.randint(1, 6))).replace("$$", "$")
+        pattern = rnd.choice(["{}", "^{}", "^(?:{})$", "(?s)^(?:{})", r"\A{}\z", r"\A(?:{})\z"]).format(pattern)
+        rules.append((rnd.choice(["p", "q"]), i, pattern))
+    texts = [(s, rnd.choice(["", "-", ": "]).join(rnd.choices([*words, " ", "42", "\n"], k=rnd.randint(0, 7)))) for s in "pq" for _ in range(150)]
+    texts = list(dict.fromkeys(texts))
+    expected = {}
+    for scope, text in texts:
+        hits = [i for s, i, p in rules if s == scope and re.search(p.replace(r"\z", r"\Z"), text)]
+        if hits:
+            expected[scope, text] = min(hits)
+    found = rule_index.first_rules(
+        spark.createDataFrame(texts, "scope string, text string"), spark.createDataFrame(rules, "scope string, rule int, regex string")
+    )
+    assert {(r.scope, r.text): r.rule for r in found.collect()} == expected
+
+
+def test_a_hundred_thousand_open_rules(spark):
+    """Rules that begin with a placeholder, none of them a literal of the plan."""
+    rules = spark.range(100_000).selectExpr("0 as scope", "id as rule", r"concat('\\A.*? user', id, ' in \\S+ left\\z') as regex")
+    texts = spark.range(0, 100_000, 5).selectExpr("0 as scope", "concat('at ', id % 7, ' user', id, ' in x', id, ' left') as text", "id")
+    found = rule_index.first_rules(texts, rules)
+    assert found.join(texts, "text").where("rule = id").count() == 20_000
 
 
 @pytest.mark.parametrize("literal", [0, 2_000])
