@@ -242,12 +242,47 @@ def _snk_2(spark, sf):
     return documents.select(F.from_json("text", schema).alias("d")).select("d.log_type", "d.date", F.inline("d.records"))
 
 
+_TWICE = (
+    f"{_BY_FILE}, merged_days as (select log_type, event_date, timestamp, message, min(struct_pack(late := file = 'app_1.log', f := file, n := line_no)) as o "
+    "from typed group by all)"
+)
+
+
+def _json_in_two_writes(spark, sf):
+    """The records of one file arrive after those of the others, and some days are written again."""
+    path = scratch_path(spark, "check-json-merge")
+    rows = _by_file(spark, sf).select("log_type", "event_date", "file", "line_no", "timestamp", "message")
+    late = F.col("file") == "app_1.log"
+    storage.write_daily_json(rows.where(~late), path, order=("file", "line_no"))
+    storage.write_daily_json(rows.where(late | (F.col("event_date") == F.lit("2024-01-02"))), path, order=("file", "line_no"))
+    return path
+
+
+@check("snk_2_write_twice_two_days", f"with {_TWICE} select log_type, event_date, o.f as file, o.n as line_no, message from merged_days")
+def _snk_2_twice(spark, sf):
+    found = storage.read_daily_json(spark, _json_in_two_writes(spark, sf), "file string, line_no bigint, timestamp string, message string")
+    return found.select("log_type", "event_date", "file", "line_no", "message")
+
+
+@check(
+    "src_4_read_json",
+    f"with {_TWICE} select event_date, o.f as file, o.n as line_no, message from merged_days where log_type = 'app_2' and trim(coalesce(message, '')) <> ''",
+)
+def _src_4_json(spark, sf):
+    records = tables.read_parsed(spark, _json_in_two_writes(spark, sf), "app_2", fmt="json")
+    return records.select("event_date", "file", "line_no", "message")
+
+
 @check(
     "snk_3_source_lineage",
     f"with {_BY_FILE} select log_type, strftime(event_date, '%Y-%m-%d') as event_date, source_file, min(line_no) as first_seen, count(*) as records from typed group by all",
 )
 def _snk_3(spark, sf):
-    return storage.source_lineage(_by_file(spark, sf)).withColumn("event_date", F.col("event_date").cast("string"))
+    """Stored twice, which adds nothing."""
+    records = _by_file(spark, sf)
+    first = storage.source_lineage(records)
+    found = storage.source_lineage(records, first).withColumn("event_date", F.col("event_date").cast("string"))
+    return found.select("log_type", "event_date", "source_file", "first_seen", "records")
 
 
 @check(

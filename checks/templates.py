@@ -281,7 +281,7 @@ def _src_7(spark, sf):
     clusters.agg(F.collect_list(entry).alias("clusters")).write.json(f"{path}/list")
     named = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("m"), "cluster_id"), F.struct("template", "size"))))
     clusters.agg(named.alias("clusters")).write.json(f"{path}/map")
-    both = tables.read_templates(spark, f"{path}/list").unionByName(tables.read_templates(spark, f"{path}/map", "map"))
+    both = tables.read_templates(spark, f"{path}/list").unionByName(tables.read_templates(spark, f"{path}/map"))
     return both.select("cluster_id", "template", "size")
 
 
@@ -295,6 +295,15 @@ def _snk_9(spark, sf):
     return spark.read.schema(schema).option("header", "true").option("escape", '"').csv(f"{path}/csv")
 
 
+@check("src_7_read_written", f"with {_TEMPLATE_SQL} select cast(cluster_id as varchar) as cluster_id, template, size from templates")
+def _src_7_written(spark, sf):
+    """What ``write_clusters`` leaves is read back."""
+    path = scratch_path(spark, "check-clusters-read")
+    clusters = _templates(spark, sf)
+    storage.write_clusters(clusters.withColumn("percentage", F.lit(1.0)), path)
+    return tables.read_templates(spark, f"{path}/full").select("cluster_id", "template", "size")
+
+
 _ESCAPED = r"regexp_replace(regexp_replace(template, '([\\.^$|?*+()\[\]{}&~#\-])', '\\\1', 'g'), '(\s)', '\\\1', 'g')"
 _PATTERN = _ESCAPED
 for _name in sorted(PLACEHOLDER_PATTERNS, key=len, reverse=True):
@@ -440,8 +449,15 @@ def _snk_10(spark, sf):
     return classify.merge_rules(groups, stored).select("representative_template", "size")
 
 
-QUERIES["set_2_stored_wins"] = QUERIES["snk_10_write_rules"]
-ORACLE["set_2_stored_wins"] = ORACLE["snk_10_write_rules"]
+@check(
+    "set_2_stored_wins",
+    f"with {_TEMPLATE_SQL} select cluster_id, case when cluster_id % 3 = 0 then 'kept' else template end as template from templates",
+)
+def _set_2(spark, sf):
+    """Rules by another key: a third is stored already, with other texts."""
+    new = _templates(spark, sf).select("cluster_id", "template")
+    stored = new.filter("cluster_id % 3 = 0").withColumn("template", F.lit("kept"))
+    return classify.merge_rules(new, stored, key="cluster_id").select("cluster_id", "template")
 
 
 def _member_groups(spark, sf):

@@ -141,33 +141,114 @@ def daily_envelope(records: DataFrame, order: Sequence[str] = ("file_path", "lin
     return head.unionByName(body).unionByName(tail)
 
 
-def write_daily_json(records: DataFrame, path: str, order: Sequence[str] = ("file_path", "line_no")) -> None:
-    """Envelope documents, one folder per day and origin; the files of a folder, in name order, are its document."""
-    lines = daily_envelope(records, order)
+def write_daily_json(
+    new: DataFrame, path: str, order: Sequence[str] = ("file_path", "line_no"), merge: bool = True
+) -> None:
+    """Envelope documents, one folder per day and origin; the files of a folder, in name order, are its document.
+
+    Like ``write_daily``, records are merged into the documents of their days, and only those days are read and written;
+    without ``merge`` they replace them. ``new`` is read several times, so let it be a stored table.
+    """
+    spark = new.sparkSession
+    stored = read_daily_json(spark, path, new.schema) if merge else None
+    merged = new if stored is None else merge_daily(new, affected(stored, new), order)
+    # Staged, so that no day is read while it is written.
+    lines = daily_envelope(materialize(merged, "daily-json"), order)
     sort = ["log_type", "event_date", "part", *order]
     (
         lines.repartitionByRange(*sort)
         .sortWithinPartitions(*sort)
         .select("log_type", "event_date", "text")
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("log_type", "event_date")
         .text(path)
     )
 
 
+#: First line of an envelope; then come its records, a line each, and one line that ends it.
+_ENVELOPE = r'^\{"log_type":.*"records":\[$'
+
+
+def read_daily_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame | None:
+    """Records of JSON stores, a row each, whether their lines are those of envelopes or plain; none without a store.
+
+    No document is held: an envelope's records are lines of its own. Without a ``schema`` fields are inferred from all of
+    them.
+    """
+    lines = read_if_there(spark, path, "text")
+    if lines is None:
+        return None
+    days = [c for c in PARTITIONS if c in lines.columns]
+    body = F.regexp_replace("value", "^,", "")
+    rows = lines.where(~F.col("value").rlike(_ENVELOPE) & (F.trim("value") != "]}") & (F.trim("value") != ""))
+    rows = rows.select(body.alias("body"), *[F.col(c).alias(f"__{c}") for c in days])
+    if schema is None:
+        kind = rows.agg(F.expr("schema_of_variant_agg(try_parse_json(body))")).first()[0] or "OBJECT<>"
+        schema = kind.replace("OBJECT<", "struct<").replace("ARRAY<", "array<").replace("VOID", "STRING")
+    schema = schema if isinstance(schema, str) else schema.simpleString()
+    found = rows.select(F.from_json("body", schema).alias("r"), *[f"__{c}" for c in days])
+    kinds = dict(found.select("r.*").dtypes)
+    # Day and origin are those of the folder; plain stores have them nowhere else.
+    given = [F.col(f"__{c}").cast("date" if c == "event_date" else "string").alias(c) for c in days]
+    return found.select(*[f"r.`{c}`" for c in kinds if c not in days], *given)
+
+
 def source_lineage(records: DataFrame, stored: DataFrame | None = None, seq: str = "line_no") -> DataFrame:
-    """Files that fed each day and origin, with their first position; earlier runs come first."""
-    fresh = records.groupBy(*PARTITIONS, "source_file").agg(
-        F.min(seq).alias("first_seen"), F.count(F.lit(1)).alias("records")
+    """Files that fed each day and origin: their first and last position and how many records; earlier runs come first.
+
+    A run over positions that are stored already counts no record twice; one over later positions adds its own.
+    """
+    keys = [*PARTITIONS, "source_file"]
+    fresh = records.groupBy(*keys).agg(
+        F.min(seq).alias("first_seen"), F.max(seq).alias("last_seen"), F.count(F.lit(1)).alias("records")
     )
     if stored is None:
         return fresh
-    both = stored.unionByName(fresh)
-    return both.groupBy(*PARTITIONS, "source_file").agg(
-        F.min("first_seen").alias("first_seen"), F.sum("records").alias("records")
+    if "last_seen" not in stored.columns:
+        stored = stored.withColumn("last_seen", F.col("first_seen"))
+    sides = stored.select(*keys, F.struct("first_seen", "last_seen", "records").alias("old")).unionByName(
+        fresh.select(*keys, F.struct("first_seen", "last_seen", "records").alias("new")), allowMissingColumns=True
+    )
+    both = sides.groupBy(*keys).agg(F.max("old").alias("old"), F.max("new").alias("new"))
+    meet = (F.col("new.first_seen") <= F.col("old.last_seen")) & (F.col("old.first_seen") <= F.col("new.last_seen"))
+    apart = F.coalesce("old.records", F.lit(0)) + F.coalesce("new.records", F.lit(0))
+    return both.select(
+        *keys,
+        F.least("old.first_seen", "new.first_seen").alias("first_seen"),
+        F.greatest("old.last_seen", "new.last_seen").alias("last_seen"),
+        F.when(meet, F.greatest("old.records", "new.records")).otherwise(apart).alias("records"),
     )
 
 
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Complete versions of a table, oldest first."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("version-")]
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted(p.toString() for p in found if files.exists(done(p, "_SUCCESS")))
+
+
+def read_version(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame | None:
+    """The latest complete version of a small table that each run writes anew, or none."""
+    versions = _versions(spark, path)
+    return read_if_there(spark, versions[-1] if versions else path, "parquet", schema)
+
+
+def write_version(table: DataFrame, path: str) -> None:
+    """A new version beside the last one, which stays until the next: a failed write loses nothing."""
+    spark = table.sparkSession
+    versions = _versions(spark, path)
+    number = int(versions[-1].rsplit("-", 1)[1]) + 1 if versions else 1
+    table.write.mode("overwrite").parquet(f"{path.rstrip('/')}/version-{number:08d}")
+    for old in versions[:-1]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def learning_queue(unmatched: DataFrame, key: str = "file") -> DataFrame:
     """Unmatched lines per source file: the count; the lines themselves stay rows."""
     return unmatched.groupBy(key).agg(
@@ -228,7 +309,7 @@ def one_row(*rows: DataFrame) -> DataFrame:
 def execution_summary(files: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """One row for a run. ``files``: ``rel_path, process, error``; ``stats``: timestamp normalisation totals.
 
-    Files with errors are rows of ``failed_files``; the summary carries their number.
+    Files with errors are rows of ``files`` itself; the summary carries their number.
     """
     summary = files.agg(
         F.count(F.lit(1)).alias("total_files"),
@@ -247,10 +328,6 @@ def execution_summary(files: DataFrame, stats: DataFrame | None = None) -> DataF
     return one_row(summary, totals)
 
 
-def failed_files(files: DataFrame) -> DataFrame:
-    return files.filter(F.col("process") & F.col("error").isNotNull()).select("rel_path", "error")
-
-
 def last_execution(history: DataFrame) -> DataFrame:
     """The latest run and how many there were."""
     return history.agg(

@@ -15,11 +15,12 @@ from logweave.operators.events import parse_lines
 from logweave.operators.storage import (
     execution_summary,
     files_to_process,
-    read_if_there,
+    read_version,
     source_lineage,
     update_registry,
     write_daily,
     write_learning_queue,
+    write_version,
 )
 from logweave.rules.origins import BY_NAME, ORIGINS
 from logweave.schema import REGISTRY
@@ -143,9 +144,14 @@ def parse_folder(
     return Run(files, records, unmatched, summary, processed)
 
 
-def _replace(table: DataFrame, path: str) -> None:
-    """Write a table that was derived from what ``path`` holds now."""
-    materialize(table, "replaced").write.mode("overwrite").parquet(path)
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The registry after the last complete run, empty before the first."""
+    known = read_version(spark, path, REGISTRY)
+    return spark.createDataFrame([], REGISTRY) if known is None else known
+
+
+def read_lineage(spark: SparkSession, path: str) -> DataFrame | None:
+    return read_version(spark, path)
 
 
 def store_run(
@@ -158,17 +164,19 @@ def store_run(
     fmt: str = "parquet",
 ) -> None:
     """Merge a run's records into the day store and, where paths are given, end the run: its unmatched lines replace the
-    queue, its files renew the registry, what fed each day joins the lineage, and its summary is added to the history."""
+    queue, its files renew the registry, what fed each day joins the lineage, and its summary is added to the history.
+
+    Registry and lineage are written as new versions (``read_registry``, ``read_lineage``). All but the history, which
+    tells every call, are the same when a run is stored twice.
+    """
     spark = run.records.sparkSession
     write_daily(run.records, store, fmt)
     if queue is not None:
         write_learning_queue(run.unmatched, queue)
     if registry is not None:
-        known = read_if_there(spark, registry, "parquet", REGISTRY)
-        known = spark.createDataFrame([], REGISTRY) if known is None else known
-        _replace(update_registry(known, run.file_counts), registry)
+        write_version(update_registry(read_registry(spark, registry), run.file_counts), registry)
     if lineage is not None:
-        _replace(source_lineage(run.records, read_if_there(spark, lineage, "parquet")), lineage)
+        write_version(source_lineage(run.records, read_lineage(spark, lineage)), lineage)
     if history is not None:
         run.summary.withColumn("timestamp", F.current_timestamp()).write.mode("append").parquet(history)
 

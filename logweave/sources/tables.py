@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions.regex import strip
-from logweave.functions.text import parse_result_name
+from logweave.operators.storage import read_daily_json
 
 
 def with_message(records: DataFrame) -> DataFrame:
@@ -15,8 +15,10 @@ def with_message(records: DataFrame) -> DataFrame:
 
 
 def read_parsed(spark: SparkSession, path: str, origin: str | None = None, fmt: str = "parquet") -> DataFrame:
-    """All days of one origin; the store is partitioned, so other origins are not read."""
-    records = spark.read.format(fmt).load(path)
+    """All days of one origin; the store is partitioned, so other origins are not read. JSON stores may be envelopes."""
+    records = read_daily_json(spark, path) if fmt == "json" else spark.read.format(fmt).load(path)
+    if records is None:
+        raise FileNotFoundError(path)
     if origin is not None:
         records = records.filter(F.col("log_type") == origin)
     return with_message(records)
@@ -40,19 +42,20 @@ def list_log_types(records: DataFrame, date: Column) -> DataFrame:
     return records.filter(F.col("event_date") == date).select("log_type").distinct()
 
 
-def result_files(paths: DataFrame, path: str = "path") -> DataFrame:
-    """Day and origin encoded in result file names; other files are dropped."""
-    date, log_type = parse_result_name(F.col(path))
-    return paths.select(path, date.alias("date"), log_type.alias("log_type")).filter(F.col("date").isNotNull())
-
-
-def read_templates(spark: SparkSession, path: str, layout: str = "list") -> DataFrame:
-    """Clusters of a template file: ``clusters`` is a list, or a map from id to cluster (``layout='map'``)."""
-    cluster = "struct<cluster_id:string,template:string,size:bigint,event_type:string,severity:string>"
-    kind = f"array<{cluster}>" if layout == "list" else f"map<string,{cluster}>"
+def read_templates(spark: SparkSession, path: str, layout: str | None = None) -> DataFrame:
+    """Clusters of a template file: ``clusters`` is a list, or a map from id to cluster (``layout='map'``), or every line
+    is a cluster (``layout='lines'``, as ``write_clusters`` leaves them). Without a layout the file tells."""
+    cluster = "cluster_id string, template string, size bigint, event_type string, severity string"
+    if layout is None:
+        top = spark.read.schema("clusters variant").option("multiLine", "true").json(path)
+        kinds = top.where("clusters is not null").select(F.expr("schema_of_variant(clusters)").alias("k")).limit(1).collect()
+        layout = "lines" if not kinds else "list" if kinds[0]["k"].startswith("ARRAY") else "map"
+    if layout == "lines":
+        return spark.read.schema(cluster).json(path)
+    entry = "struct<" + cluster.replace(" string", ":string").replace(" bigint", ":bigint") + ">"
+    kind = f"array<{entry}>" if layout == "list" else f"map<string,{entry}>"
     document = spark.read.schema(f"clusters {kind}").option("multiLine", "true").json(path)
     if layout == "list":
-        entry = document.select(F.explode("clusters").alias("c")).select("c.*")
-        return entry
-    entry = document.select(F.explode("clusters").alias("id", "c"))
-    return entry.select(F.col("id").alias("cluster_id"), "c.template", "c.size", "c.event_type", "c.severity")
+        return document.select(F.explode("clusters").alias("c")).select("c.*")
+    named = document.select(F.explode("clusters").alias("id", "c"))
+    return named.select(F.col("id").alias("cluster_id"), "c.template", "c.size", "c.event_type", "c.severity")

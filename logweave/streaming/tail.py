@@ -141,10 +141,3 @@ def stream_log_tail(spark: SparkSession, root: str, suffix: str = ".log", range_
         .option("rangeBytes", str(range_bytes))
         .load()
     )
-
-
-def offsets_of(progress_json: str) -> dict[str, int]:
-    """End offsets of a query's progress report."""
-    sources = json.loads(progress_json)["sources"]
-    end = sources[0]["endOffset"]
-    return json.loads(end) if isinstance(end, str) else end

@@ -124,3 +124,54 @@ def test_store_reads_only_affected_partitions(spark, tmp_path):
     plan = storage.affected(stored, spark.createDataFrame(new, schema))._jdf.queryExecution().toString()
     filters = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
     assert any("event_date" in f and "log_type" in f for f in filters)
+
+
+def test_json_documents_are_merged_by_day(spark, tmp_path):
+    from logweave.sources.tables import read_parsed
+
+    path, other = str(tmp_path / "json"), datetime.date(2024, 1, 2)
+    storage.write_daily_json(frame(spark, (DAY, "x", "m", "old", 1), (None, None, "u", "old", 2)), path)
+    storage.write_daily_json(frame(spark, (other, "y", 'say "hi", {[', "new", 3)), path)
+    storage.write_daily_json(frame(spark, (DAY, "x", "m", "new", 1), (DAY, "z", "]}", "new", 4)), path)
+    rows = read_parsed(spark, path, "t", "json").orderBy("line_no").collect()
+    assert [(r["event_date"], r["file_path"], r["message"]) for r in rows] == [
+        (DAY, "old", "m"), (None, "old", "u"), (other, "new", 'say "hi", {['), (DAY, "new", "]}"),
+    ]
+    folder = tmp_path / "json" / "log_type=t" / f"event_date={DAY}"
+    document = json.loads("".join(p.read_text() for p in sorted(folder.glob("part-*"))))
+    assert [r["message"] for r in document["records"]] == ["]}", "m"]
+
+
+def test_lineage_of_the_same_run_twice(spark):
+    schema = "log_type string, event_date date, source_file string, line_no bigint"
+    run = spark.createDataFrame([("t", DAY, "a", 4), ("t", DAY, "a", 2), (None, None, "a", 1)], schema)
+    later = spark.createDataFrame([("t", DAY, "a", 9)], schema)
+    first = storage.source_lineage(run)
+    twice = storage.source_lineage(later, storage.source_lineage(run, first))
+    again = storage.source_lineage(later, twice)
+    expected = {("t", 2, 9, 3), (None, 1, 1, 1)}
+    for found in (twice, again):
+        assert {(r["log_type"], r["first_seen"], r["last_seen"], r["records"]) for r in found.collect()} == expected
+
+
+def test_a_version_stays_until_the_next_is_complete(spark, tmp_path):
+    path = str(tmp_path / "table")
+    assert storage.read_version(spark, path) is None
+    for n in range(3):
+        storage.write_version(spark.createDataFrame([(n,)], "n int"), path)
+    (tmp_path / "table" / "version-00000009").mkdir()  # a write that failed
+    assert storage.read_version(spark, path).first()["n"] == 2
+    storage.write_version(storage.read_version(spark, path).withColumn("n", F.col("n") + 5), path)
+    assert storage.read_version(spark, path).first()["n"] == 7
+
+
+def test_templates_in_three_layouts(spark, tmp_path):
+    from logweave.sources.tables import read_templates
+
+    clusters = [{"cluster_id": "1", "template": "a <*>", "size": 2}, {"cluster_id": "2", "template": "b", "size": 1}]
+    (tmp_path / "list.json").write_text(json.dumps({"clusters": clusters}, indent=1))
+    (tmp_path / "map.json").write_text(json.dumps({"clusters": {c["cluster_id"]: c for c in clusters}}))
+    storage.write_clusters(spark.createDataFrame([(1, 2, 66.7, "a <*>"), (2, 1, 33.3, "b")], "cluster_id int, size int, percentage double, template string"), str(tmp_path / "w"))
+    for name in ("list.json", "map.json", "w/full", "w/clusters"):
+        rows = read_templates(spark, f"{tmp_path}/{name}").collect()
+        assert {(r["cluster_id"], r["template"], r["size"]) for r in rows} == {("1", "a <*>", 2), ("2", "b", 1)}
