@@ -607,6 +607,11 @@ def _joi_8(spark, sf):
     return classify.records_of_run(_by_file(spark, sf), results, "file").select("file", "line_no", "message")
 
 
+_HEADER = I.APP_BLOCKS.headers[0][1]
+for _group in ("timestamp", "level", "user", "component"):
+    _HEADER = _HEADER.replace(f"?P<{_group}>", "")
+
+
 # --- streaming -----------------------------------------------------------------------------------------------------
 
 
@@ -644,3 +649,65 @@ def _str_4(spark, sf):
     start_incremental(stream, I.APP, f"{target}/store", f"{target}/state", f"{target}/checkpoint", 2024).awaitTermination()
     stored = spark.read.parquet(f"{target}/store")
     return stored.select(F.col("event_date").cast("string").alias("event_date"), "timestamp", "message")
+
+
+def _whole_files(spark, sf) -> str:
+    """Log lines, one text file per ``file``."""
+    path = scratch_path(spark, "check-growing")
+    lines = I.log_lines(spark, sf).repartition("file").sortWithinPartitions("file", "line_no")
+    lines.select("file", "value").write.partitionBy("file").text(path)
+    return path.removeprefix("file:")
+
+
+@check(
+    "str_2_hold_open_event",
+    f"with {I.LINES_CTE} select file, arg_max(value, line_no) filter (regexp_matches(value, '{_HEADER}')) as held from log_lines group by file",
+)
+def _str_2(spark, sf):
+    """After a stream in several batches, what is held of each file begins with its last header."""
+    from logweave.streaming.incremental import follow_tail
+    from logweave.streaming.tail import listed_sizes
+
+    logs, target = _whole_files(spark, sf), scratch_path(spark, "check-held")
+    budget = sum(listed_sizes(logs, ".txt").values()) // 3 + 1
+    batches = follow_tail(spark, logs, I.APP_BLOCKS, f"{target}/store", f"{target}/state", ".txt", max_bytes=budget, year=2024)
+    held = spark.read.parquet(f"{target}/state/held/open/batch={batches - 1}")
+    return held.groupBy(F.regexp_extract("file_path", _FOLDER, 1).alias("file")).agg(F.min_by("value", "line_no").alias("held"))
+
+
+@check(
+    "str_3_stream_parse_enrich",
+    f"with {I.RECORDS_CTE} select distinct strftime(event_date, '%Y-%m-%d') as event_date, \"timestamp\", level, message from records",
+)
+def _str_3(spark, sf):
+    """Parsed and enriched in batches of a third of the bytes, which may end inside a line."""
+    from logweave.streaming.incremental import follow_tail
+    from logweave.streaming.tail import listed_sizes
+
+    logs, target = _whole_files(spark, sf), scratch_path(spark, "check-batches")
+    budget = sum(listed_sizes(logs, ".txt").values()) // 3 + 1
+    follow_tail(spark, logs, I.APP, f"{target}/store", f"{target}/state", ".txt", max_bytes=budget, year=2024)
+    stored = spark.read.parquet(f"{target}/store")
+    return stored.select(F.col("event_date").cast("string").alias("event_date"), "timestamp", "level", "message").distinct()
+
+
+@check(
+    "str_5_growing_or_closed",
+    f"with {I.LINES_CTE} select distinct file, 'batch' as way from log_lines union all select distinct concat('listener', file), 'stream' from log_lines",
+)
+def _str_5(spark, sf):
+    """Two formats whose file names say nothing: each file is read in one way, by its content."""
+    from logweave.plans.parsing_run import follow_growing, parse_folder
+
+    logs, target = scratch_path(spark, "check-routes"), scratch_path(spark, "check-routed")
+    lines = I.log_lines(spark, sf).where("value not like 'no header%'")
+    stamp = F.date_format(F.timestamp_seconds(F.col("line_no") + F.lit(1_700_000_000)), "dd-MMM-yyyy HH:mm:ss")
+    other = lines.select(F.concat(F.lit("listener"), "file").alias("file"), "line_no", F.concat(stamp, F.lit(" * job "), "line_no").alias("value"))
+    both = lines.unionByName(other).repartition("file").sortWithinPartitions("file", "line_no")
+    both.select("file", "value").write.partitionBy("file").text(logs)
+    logs = logs.removeprefix("file:")
+    run = parse_folder(spark, logs, year=2024, suffix=".txt", growing=False)
+    follow_growing(spark, logs, f"{target}/store", f"{target}/state", 2024, ".txt")
+    file = F.regexp_extract("file_path", _FOLDER, 1).alias("file")
+    batch = run.records.select(file, F.lit("batch").alias("way")).distinct()
+    return batch.unionByName(spark.read.parquet(f"{target}/store").select(file, F.lit("stream").alias("way")).distinct())

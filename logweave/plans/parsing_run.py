@@ -27,8 +27,8 @@ from logweave.schema import REGISTRY
 from logweave.session import materialize
 from logweave.sources.archives import has_archives, read_archived_logs
 from logweave.sources.files import read_log_lines, relative_to, scan_log_files
-from logweave.streaming.incremental import start_incremental
-from logweave.streaming.tail import stream_log_tail
+from logweave.streaming.incremental import follow_tail
+from logweave.streaming.tail import listed_sizes
 
 
 @dataclass(frozen=True)
@@ -94,12 +94,13 @@ def parse_folder(
 ) -> Run:
     """Parse and enrich what changed, packed or not; each origin is one plan over its own files, united at the end.
 
-    ``growing=False`` leaves formats whose files grow to ``follow_growing``, which reads only what was appended.
+    ``growing=False`` leaves files of formats that grow to ``follow_growing``, which reads only what was appended; packed
+    ones do not grow and are read here.
     """
     registry = spark.createDataFrame([], REGISTRY) if registry is None else registry
     archived = _archived_lines(spark, root, suffix)
     listed = detect_files(spark, root, suffix, archived)
-    listed = listed if growing else listed.filter(~F.col("incremental"))
+    listed = listed if growing else listed.filter(~F.col("incremental") | F.col("packed"))
     files = materialize(files_to_process(listed, registry, force), "run-selection")
     records, unmatched = None, None
     for origin in ORIGINS:
@@ -181,16 +182,39 @@ def store_run(
         run.summary.withColumn("timestamp", F.current_timestamp()).write.mode("append").parquet(history)
 
 
-def follow_growing(spark: SparkSession, root: str, store: str, state: str, year: int | None = None, suffix: str = ".log") -> None:
+def follow_growing(
+    spark: SparkSession,
+    root: str,
+    store: str,
+    state: str,
+    year: int | None = None,
+    suffix: str = ".log",
+    max_bytes: int = 0,
+    flush_after: float | None = None,
+) -> None:
     """Read what was appended to files of growing formats since the last call, and merge it into the day store.
 
-    One stream per format, with its checkpoint and held events below ``state``; files of other formats are passed over.
+    Formats are found as in ``parse_folder``, by name and by content; what a file was found to be is kept below
+    ``state``, as are checkpoint and held events of the one stream per format, which opens that format's files only.
+    ``parse_folder(growing=False)`` takes all other files, and packed ones of any format.
     """
+    place = state.rstrip("/")
+    known = read_version(spark, f"{place}/routes", "rel_path string, log_type string")
+    found = detect_files(spark, root, suffix).filter("incremental").select("rel_path", "log_type")
+    if known is not None:
+        found = known.unionByName(found.join(known.select("rel_path"), "rel_path", "left_anti"))
+    routes = materialize(found, "routes")
+    write_version(routes, f"{place}/routes")
+    listed = list(listed_sizes(root, suffix))
     for origin in ORIGINS:
-        if not origin.incremental:
-            continue
-        name = type_by_name(F.regexp_extract("file_path", r"([^/]*)$", 1))
-        stream = stream_log_tail(spark, root, suffix).filter(name == origin.name)
-        place = f"{state.rstrip('/')}/{origin.name}"
-        query = start_incremental(stream, origin, store, f"{place}/held", f"{place}/checkpoint", year)
-        query.awaitTermination()
+        # A file listing, which the source holds as its offsets as well.
+        mine = {r["rel_path"] for r in routes.filter(F.col("log_type") == origin.name).select("rel_path").toLocalIterator()}
+        only = [p for p in listed if _below(root, p) in mine]
+        if only:
+            follow_tail(spark, root, origin, store, f"{place}/{origin.name}", suffix, only, max_bytes, year=year, flush_after=flush_after)
+
+
+def _below(root: str, path: str) -> str:
+    """``relative_to`` for a path of the listing."""
+    tail = root.rstrip("/").split("://", 1)[-1]
+    return path[path.index(tail) + len(tail) :].lstrip("/")

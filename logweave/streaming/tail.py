@@ -1,7 +1,8 @@
 """A streaming source over growing text files.
 
 Spark's own file source reads a file once, when it appears. This one follows files: each batch holds the lines completed
-since the last one. Offsets live in the query's checkpoint; executors do the reading, in byte ranges.
+since the last one. Offsets are sizes and live in the query's checkpoint; the driver lists files and opens none, executors
+do the reading, in byte ranges. A line belongs to the range its newline is in, so what is incomplete waits by itself.
 """
 
 from __future__ import annotations
@@ -9,11 +10,13 @@ from __future__ import annotations
 import glob
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from urllib.parse import urlparse
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 _SCHEMA = "file_path string, line_no bigint, value string"
@@ -53,33 +56,37 @@ class _Range(InputPartition):
 
 
 class TailReader(DataSourceStreamReader):
-    """Offset: ``{path: byte behind the last newline}``. The incomplete end of a file is not consumed."""
+    """Offset: ``{path: bytes seen}``.
+
+    ``only`` names the files to follow, others are not opened. ``maxbytes`` bounds what one batch adds to the offsets
+    in ``consumed``, those of the query's last batch: small backlogs first, so that no file waits behind a large one.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.files = _Files(options["path"], options.get("suffix", ".log"))
         self.range_bytes = int(options.get("rangebytes", options.get("rangeBytes", _RANGE_BYTES)))
-        self.known: dict[str, tuple[int, int]] = {}
+        only = options.get("only")
+        self.only = None if only is None else set(json.loads(only))
+        self.max_bytes = int(options.get("maxbytes", options.get("maxBytes", 0)))
+        self.consumed = json.loads(options.get("consumed", "{}"))
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        return {path: self._complete(path, size) for path, size in self.files.sizes().items()}
-
-    def _complete(self, path: str, size: int) -> int:
-        if self.known.get(path, (None, 0))[0] == size:
-            return self.known[path][1]
-        end = 0
-        with self.files.open(path) as handle:
-            position = size
-            while position > 0 and end == 0:
-                start = max(0, position - _TAIL_BYTES)
-                handle.seek(start)
-                at = handle.read(position - start).rfind(b"\n")
-                end = start + at + 1 if at >= 0 else 0
-                position = start
-        self.known[path] = (size, end)
-        return end
+        sizes = {p: n for p, n in self.files.sizes().items() if self.only is None or p in self.only}
+        if not self.max_bytes:
+            return sizes
+        left, offset = self.max_bytes, {}
+        # A file that shrank is read anew.
+        new = {p: n - (self.consumed.get(p, 0) if self.consumed.get(p, 0) <= n else 0) for p, n in sizes.items()}
+        for path in sorted(new, key=lambda p: (new[p], p)):
+            take = min(new[path], left)
+            left -= take
+            reached = sizes[path] - new[path] + take
+            if reached or path in self.consumed:
+                offset[path] = reached
+        return offset
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         ranges = []
@@ -94,17 +101,13 @@ class TailReader(DataSourceStreamReader):
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file_path", pa.string()), ("line_no", pa.int64()), ("value", pa.string())])
         with self.files.open(partition.path) as handle:
-            position = partition.start
-            if position > partition.first:
-                # A line belongs to the range it starts in.
-                handle.seek(position - 1)
-                position += len(handle.readline()) - 1
-            else:
-                handle.seek(position)
+            position = _line_start(handle, partition.start)
+            handle.seek(position)
             starts, values = [], []
-            while position < partition.end:
+            while True:
                 line = handle.readline()
-                if not line:
+                # The newline decides: it must be there, and inside the range.
+                if not line.endswith(b"\n") or position + len(line) > partition.end:
                     break
                 starts.append(position)
                 values.append(line.decode("utf-8", errors="replace").removesuffix("\n"))
@@ -119,6 +122,18 @@ class TailReader(DataSourceStreamReader):
         return None
 
 
+def _line_start(handle, position: int) -> int:
+    """Where the line that holds the byte at ``position`` begins."""
+    while position > 0:
+        start = max(0, position - _TAIL_BYTES)
+        handle.seek(start)
+        at = handle.read(position - start).rfind(b"\n")
+        if at >= 0:
+            return start + at + 1
+        position = start
+    return 0
+
+
 class TailSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -131,13 +146,47 @@ class TailSource(DataSource):
         return TailReader(dict(self.options))
 
 
-def stream_log_tail(spark: SparkSession, root: str, suffix: str = ".log", range_bytes: int = _RANGE_BYTES):
-    """``(file_path, line_no, value)`` of new complete lines; ``line_no`` is the byte a line starts at."""
+def stream_log_tail(
+    spark: SparkSession,
+    root: str,
+    suffix: str = ".log",
+    range_bytes: int = _RANGE_BYTES,
+    only: Sequence[str] | None = None,
+    max_bytes: int = 0,
+    checkpoint: str | None = None,
+):
+    """``(file_path, line_no, value)`` of new complete lines; ``line_no`` is the byte a line starts at.
+
+    ``only`` are paths as the listing gives them. With ``max_bytes`` a batch adds no more than so many bytes to what the
+    query of ``checkpoint`` has seen; start the query again for the next ones (``start_incremental`` does).
+    """
     spark.dataSource.register(TailSource)
-    return (
-        spark.readStream.format("log_tail")
-        .option("path", root)
-        .option("suffix", suffix)
-        .option("rangeBytes", str(range_bytes))
-        .load()
-    )
+    reader = spark.readStream.format("log_tail").option("path", root).option("suffix", suffix).option("rangeBytes", str(range_bytes))
+    if only is not None:
+        reader = reader.option("only", json.dumps(sorted(only)))
+    if max_bytes:
+        reader = reader.option("maxBytes", str(max_bytes)).option("consumed", json.dumps(consumed_offsets(spark, checkpoint)))
+    return reader.load()
+
+
+def consumed_offsets(spark: SparkSession, checkpoint: str) -> dict[str, int]:
+    """Offsets of the last batch a query has planned, from its checkpoint."""
+    try:
+        logged = spark.read.text(f"{checkpoint}/offsets").select(
+            F.regexp_extract(F.col("_metadata.file_path"), r"/(\d+)$", 1).cast("bigint").alias("batch"), "value"
+        )
+        last = logged.where(F.col("value").startswith("{") & ~F.col("value").contains("batchWatermarkMs")).agg(F.max_by("value", "batch")).first()[0]
+    except AnalysisException:
+        return {}
+    return json.loads(last) if last else {}
+
+
+def backlog(files: dict[str, int], consumed: dict[str, int]) -> int:
+    """Bytes that a query has not seen."""
+    return sum(n - (consumed.get(p, 0) if consumed.get(p, 0) <= n else 0) for p, n in files.items())
+
+
+def listed_sizes(root: str, suffix: str = ".log", only: Sequence[str] | None = None) -> dict[str, int]:
+    """Files the source would follow, with their sizes."""
+    wanted = None if only is None else set(only)
+    return {p: n for p, n in _Files(root, suffix).sizes().items() if wanted is None or p in wanted}

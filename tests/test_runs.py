@@ -64,7 +64,7 @@ def test_packed_logs_and_the_end_of_a_run(spark, tmp_path):
     assert spark.read.parquet(paths["history"]).count() == 2
     assert read_lineage(spark, paths["lineage"]).filter("source_file = 'odd.log'").first()["records"] == 1
     again = parse_folder(spark, str(logs), read_registry(spark, paths["registry"]), year=2026, force=True, growing=False)
-    assert not again.files.filter("incremental").count()
+    assert not again.files.filter("incremental and not packed").count()
     growing = [o for o in ORIGINS if o.incremental]
     assert growing
     kept = str(tmp_path / "followed")
@@ -130,3 +130,55 @@ def test_growing_file_in_pieces(spark, tmp_path):
     flush_open(spark, BY_NAME["alert_jde"], store, state, max(batches))
     rows = spark.read.parquet(store).orderBy("timestamp").collect()
     assert [r["message"] for r in rows] == [f"Errors in file /x/y{d}.trc:\nORA-0060{d}: internal" for d in range(4)]
+
+
+def test_no_file_is_in_neither_way(spark, tmp_path):
+    """A growing format known by content only, and one packed: the batch and the stream account for both."""
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "db_notes.log").write_text(ALERT.format(d=1) + ALERT.format(d=2))
+    (logs / "jas_1.log").write_text("03 Aug 2026 10:16:39,059 [WARN  ] - [42][RUNTIME] text\n")
+    packed = tmp_path / "alert_jde_7.log"
+    packed.write_text(ALERT.format(d=7))
+    with tarfile.open(logs / "old.tar.gz", "w:gz") as tar:
+        tar.add(packed, "alert_jde_7.log")
+    run = parse_folder(spark, str(logs), year=2026, growing=False)
+    assert {r["source_file"] for r in run.records.collect()} == {"jas_1.log", "alert_jde_7.log"}
+    store, state = str(tmp_path / "store"), str(tmp_path / "state")
+    for d in (3, 4, 5):
+        follow_growing(spark, str(logs), store, state, 2026, max_bytes=70)
+        with open(logs / "db_notes.log", "a") as handle:
+            handle.write(ALERT.format(d=d))
+    follow_growing(spark, str(logs), store, state, 2026)
+    messages = [r["message"] for r in spark.read.parquet(store).orderBy("timestamp").collect()]
+    assert messages == [f"Errors in file /x/y{d}.trc:\nORA-0060{d}: internal" for d in (1, 2, 3, 4)]
+    # What batches have held does not pile up.
+    assert len([p for p in (tmp_path / "state" / "alert_jde" / "held" / "open").iterdir() if p.is_dir()]) <= 2
+
+
+def test_idle_events_are_flushed(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    store, state = str(tmp_path / "store"), str(tmp_path / "state")
+    (logs / "alert_jde_1.log").write_text(ALERT.format(d=1))
+    follow_growing(spark, str(logs), store, state, 2026, flush_after=0)
+    (logs / "alert_jde_2.log").write_text(ALERT.format(d=2))
+    follow_growing(spark, str(logs), store, state, 2026, flush_after=0)
+    assert [r["message"] for r in spark.read.parquet(store).collect()] == ["Errors in file /x/y1.trc:\nORA-00601: internal"]
+
+
+def test_a_backlog_is_read_in_several_batches(spark, tmp_path):
+    from logweave.streaming.incremental import follow_tail
+
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    lines = [f"0{d} Aug 2026 10:16:39,059 [WARN  ] - [42][RUNTIME] text {d}" for d in range(1, 10)]
+    (logs / "jas_1.log").write_text("\n".join(lines) + "\n")
+    (logs / "other.log").write_text("x\n")
+    path = str(logs / "jas_1.log")
+    for _ in range(2):
+        ran = follow_tail(spark, str(logs), BY_NAME["jas"], str(tmp_path / "s"), str(tmp_path / "st"), only=[path], max_bytes=150)
+    assert ran == 0
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 9
+    offsets = [p for p in (tmp_path / "st" / "checkpoint" / "offsets").iterdir() if p.name.isdigit()]
+    assert len(offsets) >= 4
