@@ -21,7 +21,12 @@ from logweave.llm.registry import query, table
             select *, row_number() over (partition by line, following order by doc_id, n) as copy
             from runs where following is not null)
         where copy > 1),
-    gone as (select distinct doc_id, n from (select * from later union all select doc_id, n + 1 from later)),
+    long_later as (
+        select doc_id, n from (select *, row_number() over (partition by line order by doc_id, n) as copy from lines)
+        where copy > 1 and len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) >= 10),
+    gone as (
+        select distinct doc_id, n
+        from (select * from later union all select doc_id, n + 1 from later union all select * from long_later)),
     marked as (
         select l.doc_id, l.n, line, g.n is not null as out,
                coalesce(lag(g.n is not null) over (partition by l.doc_id order by l.n), false) as out_before

@@ -149,9 +149,9 @@ def test_components_of_a_chain_and_a_star(spark):
 # --- lines -----------------------------------------------------------------------------------------------------------
 
 
-def plain_lines(rows, size):
+def plain_lines(rows, size, words):
     """Rows in reading order are not known here, so ids must be unique."""
-    seen, gone = set(), defaultdict(set)
+    seen, long_seen, gone = set(), set(), defaultdict(set)
     split = {i: (t or "").split("\n") if t else [] for i, t in rows}
     for i in sorted(split):
         lines = split[i]
@@ -160,6 +160,11 @@ def plain_lines(rows, size):
             if run in seen:
                 gone[i].update(range(n, n + size))
             seen.add(run)
+        for n, line in enumerate(lines):
+            if len([w for w in re.split(r"[\x20\x09-\x0D]+", line) if w]) >= words:
+                if line in long_seen:
+                    gone[i].add(n)
+                long_seen.add(line)
     return {
         i: (
             "\n".join(line for n, line in enumerate(lines) if n not in gone[i]),
@@ -171,13 +176,50 @@ def plain_lines(rows, size):
     }
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 4])
-def test_repeated_lines(spark, rows, size):
+def line_rows(rows):
     unique = {i: t for i, t in rows if i is not None}
-    unique |= {1000 + k: t for k, t in enumerate(["a\nb\nc\nd", "x\nb\nc\nd\ny", "a\na\na\na", "\n\n\n", "b\nc", "a\nb\nc\nd\n"])}
+    more = ["a\nb\nc\nd", "x\nb\nc\nd\ny", "a\na\na\na", "\n\n\n", "b\nc", "a\nb\nc\nd\n", "q\n" + "w " * 12 + "\nr", "s\n" + "w " * 12 + "\nt"]
+    more += ["\n".join(f"l{k % 7}" for k in range(40)), "\n".join(f"l{k % 7}" for k in range(3, 30))]
+    return unique | {1000 + k: t for k, t in enumerate(more)}
+
+
+@pytest.mark.parametrize("size,words", [(1, 1), (2, 10), (3, 1000), (5, 10), (7, 3)])
+def test_repeated_lines(spark, rows, size, words):
+    unique = line_rows(rows)
     docs = spark.createDataFrame(list(unique.items()), "doc_id bigint, text string")
-    found = line_dedup.remove_repeated_lines(docs, min_lines=size).collect()
-    assert {r.doc_id: (r.kept, r.n_lines, r.n_removed, r.n_runs) for r in found} == plain_lines(unique.items(), size)
+    found = line_dedup.remove_repeated_lines(docs, min_lines=size, min_words=words).collect()
+    assert {r.doc_id: (r.kept, r.n_lines, r.n_removed, r.n_runs) for r in found} == plain_lines(unique.items(), size, words)
+
+
+def test_copied_runs_are_copies_and_cannot_go_on(spark, rows):
+    unique = line_rows(rows)
+    ids = sorted(unique)
+    docs = spark.createDataFrame(list(unique.items()), "doc_id bigint, text string").repartition(3)
+    lines = line_dedup.materialize(line_dedup._places(line_dedup.numbered_documents(docs, "text", "doc_id")), "lines")
+    levels = line_dedup.repeated_prefixes(lines.select("place", "id"))
+    sources = {r.place: (r.lines, r.source) for r in line_dedup.deepest_sources(levels).collect()}
+    text = [(unique[i] or "").split("\n") if unique[i] else [] for i in ids]
+    at = lambda p: (p >> 24, p & (1 << 24) - 1)
+    places = [(d, n) for d, split in enumerate(text) for n in range(len(split))]
+    for d, n in places:
+        # The greatest power of two that the next lines share with an earlier place, and the first such place.
+        best = None
+        k = 1
+        while n + k <= len(text[d]):
+            run = text[d][n : n + k]
+            earlier = next(((e, m) for e, m in places if (e, m) < (d, n) and text[e][m : m + k] == run and m + k <= len(text[e])), None)
+            if earlier is None:
+                break
+            best, k = (k, (earlier[0] << 24) + earlier[1]), 2 * k
+        assert sources.get((d << 24) + n) == best
+    runs = line_dedup.copied_runs(line_dedup.deepest_sources(levels)).collect()
+    assert runs and max(r.lines for r in runs) >= 30
+    covered = set()
+    for r in runs:
+        (d, n), (e, m) = at(r.place), at(r.source)
+        assert text[d][n : n + r.lines] == text[e][m : m + r.lines] and n + r.lines <= len(text[d])
+        covered |= {(d, k) for k in range(n, n + r.lines)}
+    assert covered >= {at(p) for p in sources}
 
 
 def test_lines_of_repeated_and_null_ids(docs, rows, nothing):
