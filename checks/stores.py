@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from checks import inputs as I
+from checks.parsing import _LEVELS
 from checks.parsing import _NAMES, _TYPE, _prs_1
 from logweave.operators import classify, metrics, search, serve, storage
 from logweave.session import materialize, scratch_path
@@ -677,7 +678,7 @@ def _str_2(spark, sf):
 
 @check(
     "str_3_stream_parse_enrich",
-    f"with {I.RECORDS_CTE} select distinct strftime(event_date, '%Y-%m-%d') as event_date, \"timestamp\", level, message from records",
+    f"with {I.RECORDS_CTE} select distinct strftime(event_date, '%Y-%m-%d') as event_date, \"timestamp\", {_LEVELS} as level, message from records",
 )
 def _str_3(spark, sf):
     """Parsed and enriched in batches of a third of the bytes, which may end inside a line."""
