@@ -45,7 +45,6 @@ class Origin:
 
 
 # --- Fixed values: ais ---------------------------------------------------------------------------------------------
-_AIS_TS = r"\d{1,2}\s+\w+\s+\d{4}\s+\d{2}:\d{2}:\d{2}[,.]\d{3}"
 AIS = Origin(
     name="ais",
     filenames=(r"^ais_\d+", r"^ais[\._-]", r"^ais", r".*[_-]ais[_-].*"),
@@ -56,9 +55,7 @@ AIS = Origin(
     headers=(
         (
             "ais_event",
-            r"(?P<timestamp>" + _AIS_TS + r")\s+\[(?P<level>\w+)\s*\]\s+(?:(?P<user>[^\s\-\[]+)\s+)?"
-            r"-\s+\[(?P<component>CUSTOM|AIS)\](?:\s+|$)"
-            r"(?:" + _AIS_TS + r"\s+\[\w+\s*\]\s+\w+\s+-\s+\[\w+\](?:\s+|$))?",
+            r"(?P<timestamp>\d{1,2}\s+\w+\s+\d{4}\s+\d{2}:\d{2}:\d{2}[,.]\d{3})\s+\[(?P<level>\w+)\s*\]\s+(?:(?P<user>[^\s\-\[]+)\s+)?-\s+\[(?P<component>CUSTOM|AIS)\](?:\s+|$)(?:\d{1,2}\s+\w+\s+\d{4}\s+\d{2}:\d{2}:\d{2}[,.]\d{3}\s+\[\w+\s*\]\s+\w+\s+-\s+\[\w+\](?:\s+|$))?",
         ),
     ),
     extractors=(
@@ -114,7 +111,6 @@ AIS = Origin(
 )
 
 # --- Fixed values: alert_jde ---------------------------------------------------------------------------------------
-_ALERT_TS = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+[+-]\d{2}:\d{2}"
 ALERT_JDE = Origin(
     name="alert_jde",
     incremental=True,
@@ -123,8 +119,8 @@ ALERT_JDE = Origin(
         r"^(?P<year>\d{4})-(?P<month>\d{2})-(?P<day>\d{2})T(?P<hour>\d{2}):(?P<minute>\d{2}):(?P<second>\d{2})"
         r"\.(?P<microseconds>\d+)(?P<tz>[+-]\d{2}:\d{2})",
     ),
-    headers=(("alert_jde_event", r"^(?P<timestamp>" + _ALERT_TS + r")\s*$"),),
-    body=_ALERT_TS,
+    headers=(("alert_jde_event", r"^(?P<timestamp>\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+[+-]\d{2}:\d{2})\s*$"),),
+    body=r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+[+-]\d{2}:\d{2}",
     extractors=(
         Extractor("ora_error_code", "ORA-", (r"(?P<ora_error_code>ORA-\d+)",)),
         Extractor("tns_error_code", "TNS-", (r"(?P<tns_error_code>TNS-\d+)",)),
@@ -243,7 +239,6 @@ BSSV = Origin(
 )
 
 # --- Fixed values: e1root ------------------------------------------------------------------------------------------
-_E1_TS = r"(?P<timestamp>\d{2}\s+\w+\s+\d{4}\s+\d{2}:\d{2}:\d{2},\d{3})\s+\[(?P<level>\w+)\s*\]"
 E1ROOT = Origin(
     name="e1root",
     filenames=(r"^e1root_.*", r"^.*_html_log.*", r"^.*_e1root_.*", r"^jderoot_\d+", r"^.*_jderoot_.*"),
@@ -254,13 +249,13 @@ E1ROOT = Origin(
     headers=(
         (
             "e1root_with_user",
-            _E1_TS + r"\s+(?P<user>[A-Z0-9_-]+)\s+-\s+\[(?P<component>[^\]]+)\]\s*(?P<message>.*)",
+            r"(?P<timestamp>\d{2}\s+\w+\s+\d{4}\s+\d{2}:\d{2}:\d{2},\d{3})\s+\[(?P<level>\w+)\s*\]\s+(?P<user>[A-Z0-9_-]+)\s+-\s+\[(?P<component>[^\]]+)\]\s*(?P<message>.*)",
         ),
         (
             "e1root_with_pid",
-            _E1_TS + r"\s+-\s+\[(?P<process_id>\d+)\]\[(?P<component>[^\]]+)\]\s*(?P<message>.*)",
+            r"(?P<timestamp>\d{2}\s+\w+\s+\d{4}\s+\d{2}:\d{2}:\d{2},\d{3})\s+\[(?P<level>\w+)\s*\]\s+-\s+\[(?P<process_id>\d+)\]\[(?P<component>[^\]]+)\]\s*(?P<message>.*)",
         ),
-        ("e1root_simple", _E1_TS + r"\s*-\s+\[(?P<component>[^\]]+)\]\s*(?P<message>.*)"),
+        ("e1root_simple", r"(?P<timestamp>\d{2}\s+\w+\s+\d{4}\s+\d{2}:\d{2}:\d{2},\d{3})\s+\[(?P<level>\w+)\s*\]\s*-\s+\[(?P<component>[^\]]+)\]\s*(?P<message>.*)"),
     ),
     body="none",
     extractors=(
@@ -411,7 +406,6 @@ JAS = Origin(
 )
 
 # --- Fixed values: jde ---------------------------------------------------------------------------------------------
-_JDE_TS = r"\w{3}\s+\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\.\d{6}"
 JDE = Origin(
     name="jde",
     filenames=(r"^jde_\d+", r"^.*enterprise.*", r"^.*_jde_\d+"),
@@ -422,10 +416,10 @@ JDE = Origin(
     headers=(
         (
             "jde",
-            r"^(?P<pid>\d+)(?:/\d+)?[ \t]+(?:[^\t\n]*)\t(?P<timestamp>" + _JDE_TS + r")\t(?P<component>\S+)\s*$",
+            r"^(?P<pid>\d+)(?:/\d+)?[ \t]+(?:[^\t\n]*)\t(?P<timestamp>\w{3}\s+\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\.\d{6})\t(?P<component>\S+)\s*$",
         ),
     ),
-    body=r"\d+(?:/\d+)?[ \t]+[^\t\n]*\t" + _JDE_TS,
+    body=r"\d+(?:/\d+)?[ \t]+[^\t\n]*\t\w{3}\s+\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\.\d{6}",
     extractors=(
         Extractor("oracle_error_code", "ORA-", (r"ORA-(?P<oracle_error_code>\d{5})",)),
         Extractor("jde_error_code", "JDB", (r"(?P<jde_error_code>JDB\d{7})",)),
@@ -471,9 +465,6 @@ JDE = Origin(
 )
 
 # --- Fixed values: jdedebug ----------------------------------------------------------------------------------------
-_DEBUG_TS = (
-    r"^(?P<timestamp>(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s{1,2}\d{1,2}\s+\d{2}:\d{2}:\d{2}\.\d{6})"
-)
 JDEDEBUG = Origin(
     name="jdedebug",
     filenames=(r"^jdedebug_\d+", r"jdedebug[\._-]", r"jdedebug\.log$", r".*_jdedebug_.*"),
@@ -481,17 +472,17 @@ JDEDEBUG = Origin(
         r"^(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s*\d{1,2}\s*\d{2}:\d{2}:\d{2}\.\d{6}\s*",
     ),
     headers=(
-        ("jdedebug_timestamp_only", _DEBUG_TS + r"$"),
+        ("jdedebug_timestamp_only", r"^(?P<timestamp>(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s{1,2}\d{1,2}\s+\d{2}:\d{2}:\d{2}\.\d{6})$"),
         (
             "jdedebug_tab_separated_extra",
-            _DEBUG_TS + r"\s*\t\s*(?P<component>\S+(?:\s+\S+)?)\s*\t\s*-\s*[\t\s]*(?P<message>.+)$",
+            r"^(?P<timestamp>(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s{1,2}\d{1,2}\s+\d{2}:\d{2}:\d{2}\.\d{6})\s*\t\s*(?P<component>\S+(?:\s+\S+)?)\s*\t\s*-\s*[\t\s]*(?P<message>.+)$",
         ),
-        ("jdedebug_pid_tid", _DEBUG_TS + r"\s+-\s+(?P<pid>\d+)/(\d+)\s+(?P<component>\S+)\s+(?P<message>.+)$"),
+        ("jdedebug_pid_tid", r"^(?P<timestamp>(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s{1,2}\d{1,2}\s+\d{2}:\d{2}:\d{2}\.\d{6})\s+-\s+(?P<pid>\d+)/(\d+)\s+(?P<component>\S+)\s+(?P<message>.+)$"),
         (
             "jdedebug_tab_separated",
-            _DEBUG_TS + r"\s*\t\s*(?P<component>\S+(?:\s+\S+)?)\s*\t\s*-\s+(?P<message>.+)$",
+            r"^(?P<timestamp>(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s{1,2}\d{1,2}\s+\d{2}:\d{2}:\d{2}\.\d{6})\s*\t\s*(?P<component>\S+(?:\s+\S+)?)\s*\t\s*-\s+(?P<message>.+)$",
         ),
-        ("jdedebug_file_line", _DEBUG_TS + r"\s*\t(?P<source_file>\S+)\s*\t\s*-\s+(?P<message>.+)$"),
+        ("jdedebug_file_line", r"^(?P<timestamp>(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s{1,2}\d{1,2}\s+\d{2}:\d{2}:\d{2}\.\d{6})\s*\t(?P<source_file>\S+)\s*\t\s*-\s+(?P<message>.+)$"),
         (
             "jdedebug_metadata",
             r"^(?P<key>PID/PSThread_ID|System Thread ID|Thread Name|CALLSTACK):\s*(?P<value>.*)$",
