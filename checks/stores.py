@@ -167,6 +167,24 @@ def _src_6(spark, sf):
     return file_source.sample_lines(I.log_lines(spark, sf), 500, seed=7)
 
 
+@check(
+    "src_6_sample_of_lines",
+    f"with {I.LINES_CTE}, n as (select least(500, count(*)) as n from log_lines where trim(value) <> '') "
+    "select n as sampled, n as different, n as known, 0 as blank from n",
+)
+def _src_6_of(spark, sf):
+    """What must hold of any sample: its size, no line twice, lines of the input only, none of them blank."""
+    lines = I.log_lines(spark, sf)
+    sample = materialize(file_source.sample_lines(lines, 500, seed=7), "check-sample")
+    known = sample.join(lines, ["file", "line_no", "value"], "left_semi").agg(F.count(F.lit(1)).alias("known"))
+    own = sample.agg(
+        F.count(F.lit(1)).alias("sampled"),
+        F.count_distinct("file", "line_no").alias("different"),
+        F.count_if(F.trim("value") == "").alias("blank"),
+    )
+    return storage.one_row(own, known)
+
+
 # --- stores --------------------------------------------------------------------------------------------------------
 
 # Coarse times make equal (timestamp, message) pairs; half of the files were stored by an earlier run.

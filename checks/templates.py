@@ -73,6 +73,71 @@ def _min_1_assigned(spark, sf):
     return _exact(spark, sf).assignments.select("origin", "seq", "cluster_id", "template_at_assignment")
 
 
+def _mined_sql(at: str) -> str:
+    """The miner with one leaf per number of tokens, message after message: ``cl`` are the clusters so far, ``at`` finds
+    the one a message belongs to (0 for none). Groups of equally many tokens run side by side."""
+    return (
+        f"with recursive {_MESSAGES_CTE}, m as (select *, row_number() over (partition by origin, n order by seq) as k "
+        "from (select origin, seq, string_split(text, ' ') as w, len(string_split(text, ' ')) as n from messages where text <> '')), "
+        "run as (select distinct origin, n, 0::bigint as k, []::struct(id bigint, t varchar[])[] as cl, 0::bigint as seq, 0::bigint as hit, '' as change "
+        "from m union all "
+        "select r.origin, r.n, m.k, "
+        "case when f.at = 0 then list_append(r.cl, {'id': m.seq, 't': m.w}) "
+        "else list_transform(r.cl, lambda c, i: case when i = f.at then {'id': c.id, 't': g.t} else c end) end, "
+        "m.seq, case when f.at = 0 then m.seq else r.cl[f.at].id end, "
+        "case when f.at = 0 then 'cluster_created' when g.t <> r.cl[f.at].t then 'cluster_template_changed' else 'none' end "
+        f"from run r join m on m.origin = r.origin and m.n = r.n and m.k = r.k + 1, lateral (select coalesce({at}, 0) as at) f, "
+        "lateral (select list_transform(range(1, r.n + 1), lambda i: case when r.cl[f.at].t[i] in (m.w[i], '<*>') then r.cl[f.at].t[i] else '<*>' end) as t) g), "
+        "sizes as (select origin, hit, count(*) as size from run where k > 0 group by origin, hit), "
+        "final as (select origin, unnest(arg_max(cl, k)) as c from run group by origin, n), "
+        "clusters as (select f.origin, row_number() over (partition by f.origin order by f.c.id) as place, array_to_string(f.c.t, ' ') as template, size "
+        "from final f join sizes s on s.origin = f.origin and s.hit = f.c.id) "
+    )
+
+
+_SAME = "len(list_filter(range(1, r.n + 1), lambda i: c.t[i] = m.w[i] or c.t[i] = '<*>'))::double / r.n"
+_FIRST_MATCH = _mined_sql(f"list_position(list_transform(r.cl, lambda c: {_SAME} >= 0.6), true)")
+# Equal tokens count, then wildcards; the first of the best clusters wins.
+_SCORES = (
+    "list_transform(r.cl, lambda c: 1000 * len(list_filter(range(1, r.n + 1), lambda i: c.t[i] = m.w[i] and c.t[i] <> '<*>')) "
+    "+ len(list_filter(c.t, lambda x: x = '<*>')))"
+)
+_BEST_MATCH = _mined_sql(
+    f"case when (list_max({_SCORES}) // 1000)::double / r.n >= 0.6 then list_position({_SCORES}, list_max({_SCORES})) end"
+)
+
+
+def _one_leaf(spark, sf, best: bool):
+    tokens = mining.prepare_first_match(_messages(spark, sf), config=F.lit("leaf"))
+    return mining.mine(tokens, {"leaf": (3 if best else 2, 0.6, 100)}, best=best, chunk_rows=300)
+
+
+@check("min_1_first_match_below_1", _FIRST_MATCH + "select origin, place - 1 as cluster_id, template, size from clusters")
+def _min_1_below(spark, sf):
+    return _one_leaf(spark, sf, False).clusters.select("origin", "cluster_id", "template", "size")
+
+
+@check("min_2_best_match_below_1", _BEST_MATCH + "select origin, place as cluster_id, template, size from clusters")
+def _min_2_below(spark, sf):
+    return _one_leaf(spark, sf, True).clusters.select("origin", "cluster_id", "template", "size")
+
+
+@check("min_2_change_types_below_1", _BEST_MATCH + "select origin, seq, change as change_type from run where k > 0")
+def _min_2_changes_below(spark, sf):
+    return _one_leaf(spark, sf, True).assignments.select("origin", "seq", "change_type")
+
+
+@check("min_6_resume_below_1", _FIRST_MATCH + "select origin, place - 1 as cluster_id, template, size from clusters")
+def _min_6_below(spark, sf):
+    """Two runs, the second on top of what the first has stored."""
+    tokens = mining.prepare_first_match(_messages(spark, sf), config=F.lit("leaf")).withColumn("late", F.col("seq") >= 500)
+    configs = {"leaf": (2, 0.6, 100)}
+    first = mining.mine(tokens.filter("not late").drop("late"), configs)
+    return mining.mine(tokens.filter("late").drop("late"), configs, model=first.clusters).clusters.select(
+        "origin", "cluster_id", "template", "size"
+    )
+
+
 @check("min_1_mine_first_match")
 def _min_1(spark, sf):
     return mining.mine_templates_first_match(_messages(spark, sf)).clusters.select("origin", "cluster_id", "template", "size")
