@@ -687,6 +687,27 @@ def _tpl_3(spark, sf):
     return grouping.group_templates(I.vectors(spark, sf), 0.6)
 
 
+@check("tpl_3_groups_are_apart", f"with {I.VECTORS_CTE} select count(*) as grouped, 0 as too_close, 0 as too_wide from vectors")
+def _tpl_3_apart(spark, sf):
+    """Where average linkage has stopped no two groups are nearer than the threshold on average, and every group was
+    joined below it, so its members are nearer than that on average. Means of unit vectors give both."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    unit = _unit(spark, sf)
+    labelled = unit.join(grouping.group_templates(I.vectors(spark, sf), 0.6), ["origin", "id"])
+    means = labelled.groupBy("origin", F.col("group_id").alias("node")).agg(
+        Summarizer.mean(array_to_vector("embedding")).alias("m"), F.count(F.lit(1)).alias("n")
+    )
+    means = storage.materialize(means.select("origin", "node", "n", vector_to_array("m").alias("vec")), "group-means")
+    close = grouping.cosine_pairs(means, 1 - 0.6 + 1e-9).agg(F.count(F.lit(1)).alias("too_close"))
+    # Mean distance of different members: the mean's square has each with itself as well.
+    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    inside = 1 - (square * F.col("n") - 1) / (F.col("n") - 1)
+    sizes = means.agg(F.sum("n").alias("grouped"), F.count_if((F.col("n") > 1) & (inside >= 0.6 + 1e-9)).alias("too_wide"))
+    return storage.one_row(sizes, close)
+
+
 _CENTRES = (
     _UNIT
     + ", flat as (select label, i, avg(u[i]) as c from unit, lateral (select unnest(range(1, len(u) + 1)) as i) x group by label, i), "

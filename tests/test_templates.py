@@ -193,6 +193,21 @@ def test_pairs(spark, block):
     assert found == {(i, j) for i in range(50) for j in range(i + 1, 50) if similarity[i, j] >= 0.5}
 
 
+def test_far_blocks_do_not_meet(spark):
+    """Vectors around few directions: the same pairs, from fewer pairs of blocks."""
+    rng = np.random.RandomState(6)
+    centres = rng.normal(size=(8, 24))
+    vectors = np.concatenate([c + rng.normal(size=(40, 24)) * 0.15 for c in centres])
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    df = spark.createDataFrame([("o", i, v.tolist()) for i, v in enumerate(vectors)], "origin string, node bigint, vec array<double>")
+    _, pairs = grouping.near_blocks(df, 0.8, 40)
+    counts = pairs.agg(F.count(F.lit(1)).alias("all"), F.count_if("near").alias("near")).first()
+    assert counts["near"] < counts["all"] / 2
+    found = {(r["a"], r["b"]) for r in grouping.cosine_pairs(df, 0.8, 40).collect()}
+    similarity = vectors @ vectors.T
+    assert found == {(i, j) for i in range(320) for j in range(i + 1, 320) if similarity[i, j] >= 0.8}
+
+
 def test_silhouette_and_embedding(spark):
     vectors = [(0, [1.0, 0.0], 0), (1, [0.9, 0.1], 0), (2, [0.0, 1.0], 1), (3, [0.1, 0.9], 1)]
     df = spark.createDataFrame(vectors, "id int, embedding array<double>, label int")
