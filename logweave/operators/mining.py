@@ -408,15 +408,24 @@ def _unique_arrivals(messages: DataFrame) -> None:
         raise ValueError(f"seq must be unique per origin ({twice[0]['origin']}: {twice[0]['seq']}); see number_arrivals")
 
 
-def mine_templates_first_match(messages: DataFrame, params: Params | None = None, **rules) -> Mined:
-    """First cluster of the leaf that is similar enough; profiles per origin unless ``params`` are given."""
-    _unique_arrivals(messages)
+def mine_templates_first_match(
+    messages: DataFrame, params: Params | None = None, *, numbered: bool = False, **rules
+) -> Mined:
+    """First cluster of the leaf that is similar enough; profiles per origin unless ``params`` are given.
+
+    ``numbered``: ``seq`` is from ``number_arrivals`` and needs no check.
+    """
+    if not numbered:
+        _unique_arrivals(messages)
     return _mine_with(prepare_first_match(messages, **rules), params, False)
 
 
-def mine_templates_best_match(messages: DataFrame, params: Params | None = None, **rules) -> Mined:
+def mine_templates_best_match(
+    messages: DataFrame, params: Params | None = None, *, numbered: bool = False, **rules
+) -> Mined:
     """Most similar cluster of the leaf."""
-    _unique_arrivals(messages)
+    if not numbered:
+        _unique_arrivals(messages)
     return _mine_with(prepare_best_match(messages, **rules), params, True)
 
 

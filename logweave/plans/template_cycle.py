@@ -50,9 +50,10 @@ def generate_templates(messages: DataFrame, best: bool = True, distance_threshol
     ``rules`` are the miner's own settings. Every message that was mined matches the rule of its group; where settings
     cut lines out of messages first, it does after ``prepared_text``.
     """
-    if "seq" not in messages.columns:
+    numbered = "seq" not in messages.columns
+    if numbered:
         messages = materialize(number_arrivals(messages), "arrivals")
-    mined = (mine_templates_best_match if best else mine_templates_first_match)(messages, **rules)
+    mined = (mine_templates_best_match if best else mine_templates_first_match)(messages, numbered=numbered, **rules)
     groups, members = group_clusters(mined.clusters, distance_threshold)
     stamps = rules.get("timestamps", ())
     dialect = best_match_dialect(rules.get("raw", False), stamps) if best else first_match_dialect(stamps)
