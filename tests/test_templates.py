@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +183,45 @@ def test_groups_equal_average_linkage(spark, seed, block):
     assert groups_of(grouping.group_templates(df, 0.4, block).collect(), "group_id") == average_linkage(vectors, 0.4)
 
 
+def test_rounds_keep_neighbours(spark, monkeypatch):
+    """Only nodes that merged, or whose neighbour did, look for their nearest node again: about 4 times each, not in all rounds."""
+    rng = np.random.RandomState(9)
+    vectors = rng.normal(size=(600, 6))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    df = spark.createDataFrame([("o", i, v.tolist()) for i, v in enumerate(vectors)], "origin string, id bigint, embedding array<double>")
+    looked, best = [], grouping._best_others
+    monkeypatch.setattr(grouping, "_best_others", lambda rows, own, centres: looked.append(len(rows)) or best(rows, own, centres))
+    nodes = [(i, v, 1.0, i, float("nan")) for i, v in enumerate(vectors)]
+    made = grouping._link_locally([0.1, 0.3])(pd.DataFrame(nodes, columns=["node", "vec", "weight", "other", "similarity"]).assign(origin="o"))
+    assert looked[0] == 600 and len(looked) > 5 and sum(looked) < 5 * 600
+    monkeypatch.undo()
+    # Rounds over blocks give the same groups.
+    rows = {r["id"]: list(r["labels"]) for r in grouping.link(df, [0.1, 0.3], 400).collect()}
+    assert rows == {n: list(x) for n, x in zip(made["node"], made["labels"])}
+
+
+def test_silhouettes_of_a_sweep(spark):
+    """Against all distances; single members count as zero."""
+    rng = np.random.RandomState(3)
+    vectors = rng.normal(size=(60, 4))
+    df = spark.createDataFrame([("o", i, v.tolist()) for i, v in enumerate(vectors)], "origin string, id bigint, embedding array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    distance = 1 - unit @ unit.T
+    thresholds = [0.001, 0.1, 0.3, 0.6]
+    found = {r["threshold"]: r for r in grouping.threshold_sweep(df, thresholds).collect()}
+    for threshold in thresholds:
+        groups = [sorted(g) for g in average_linkage(unit, threshold)]
+        assert found[threshold]["n_groups"] == len(groups)
+        scores = []
+        for group in groups:
+            for x in group:
+                a = distance[x, group].sum() / max(1, len(group) - 1)
+                b = min((distance[x, g].mean() for g in groups if g is not group), default=0)
+                scores.append(0 if len(group) == 1 else (b - a) / max(a, b))
+        wanted = None if len(groups) in (1, 60) else pytest.approx(np.mean(scores))
+        assert found[threshold]["silhouette"] == wanted
+
+
 @pytest.mark.parametrize("block", [4096, 9])
 def test_pairs(spark, block):
     rng = np.random.RandomState(4)
