@@ -90,6 +90,14 @@ def test_all_of_a_shared_band_meet(spark, monkeypatch):
     assert len(rows) - len(linked) == sum(plain_kept(rows).values()) <= len(unique)
 
 
+def test_all_near_fingerprints_meet(spark):
+    """Each pair of fingerprints within two bits is a pair of nodes, not only the least and greatest neighbours."""
+    prints = {10: 0, 11: 1, 12: 2, 13: 3, 14: 1 << 40 | 3, 15: 0xFF << 20}
+    distinct = spark.createDataFrame(list(prints.items()), "node bigint, fp bigint")
+    found = {frozenset((r.a, r.b)) for r in jaccard._simhash_pairs(distinct).collect()}
+    assert found == {frozenset((x, y)) for x in prints for y in prints if x < y and (prints[x] ^ prints[y]).bit_count() <= 2}
+
+
 @pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
 def test_bands_bring_similar_texts_together(similarity):
     rng = np.random.default_rng(4)
