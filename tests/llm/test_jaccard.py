@@ -90,6 +90,35 @@ def test_all_of_a_shared_band_meet(spark, monkeypatch):
     assert len(rows) - len(linked) == sum(plain_kept(rows).values()) <= len(unique)
 
 
+def test_pairs_below_the_similarity_become_no_rows(spark):
+    """Texts of one family that all differ too much: before, the sketch let most of their pairs be rows."""
+    rnd = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    base, rows = rnd.choices(vocabulary, k=150), []
+    for i in range(40):
+        words = list(base)
+        for at in rnd.sample(range(150), 3 if i % 8 else 1):
+            words[at] = rnd.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    sets = [plain_shingles(t) for _, t in rows]
+    similar = {(i, j) for j in range(40) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    x = jaccard.with_bands(docs).select(F.struct("doc_id", "size", "sketch").alias("x"))
+    pairs = x.join(x.withColumnRenamed("x", "y"), F.expr("x.doc_id < y.doc_id")).where(jaccard._may_reach("x", "y", Fraction("0.8")))
+    met = {(r.a, r.b) for r in pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).collect()}
+    assert similar <= met
+    assert len(met) <= len(similar) + 100
+
+
+def test_parities_differ_in_no_more_places_than_sets():
+    rng = np.random.default_rng(9)
+    for size, changed in [(1, 1), (3, 0), (150, 20), (2000, 150), (5000, 5000)]:
+        pool = rng.integers(0, 1 << 63, size + changed, dtype=np.uint64)
+        both = np.concatenate([pool[:size], pool[changed:]])
+        made = jaccard.parities(both, np.array([0, size, 2 * size])).view(np.uint64)
+        assert np.bitwise_count(made[0] ^ made[1]).sum() <= 2 * min(changed, size)
+
+
 def test_all_near_fingerprints_meet(spark):
     """Each pair of fingerprints within two bits is a pair of nodes, not only the least and greatest neighbours."""
     prints = {10: 0, 11: 1, 12: 2, 13: 3, 14: 1 << 40 | 3, 15: 0xFF << 20}
