@@ -11,11 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.session import materialize
+from logweave.session import materialize, sized_broadcast
 from logweave.sources.files import relative_to
 
 SUFFIXES = (".tbz2", ".tar.bz2", ".tar.gz", ".tgz")
 _BATCH = 50_000
+TASKS_PER_CORE = 16
 _SCHEMA = "archive string, rel_path string, line_no bigint, value string"
 
 
@@ -75,9 +76,14 @@ def read_archived_logs(spark: SparkSession, root: str, existing: DataFrame | Non
     ``rel_path`` is in ``existing`` are left out; of equal names within the archives the first archive's member counts.
     """
     # Unpacked once into the shared folder: a compressed stream is not read again for every use.
-    lines = materialize(_archives(spark, root).repartition("path").mapInPandas(_unpack, _SCHEMA), "archive-lines")
-    owners = lines.groupBy("rel_path").agg(F.min("archive").alias("archive"))
-    lines = lines.join(owners, ["archive", "rel_path"], "left_semi")
+    archives = _archives(spark, root)
+    # A given number of tasks: paths are so few bytes that adaptive execution would unpack all archives in one.
+    tasks = max(1, min(archives.count(), TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
+    lines = materialize(archives.repartition(tasks, "path").mapInPandas(_unpack, _SCHEMA), "archive-lines")
+    # Names are made distinct first, by hash: the least of texts sorts what it reads, and these are all lines.
+    members = materialize(lines.select("archive", "rel_path").distinct(), "archive-members")
+    owners = members.groupBy("rel_path").agg(F.min("archive").alias("archive"))
+    lines = lines.join(sized_broadcast(owners, "archive-owners"), ["archive", "rel_path"], "left_semi")
     if existing is not None:
         lines = lines.join(existing.select("rel_path").distinct(), "rel_path", "left_anti")
     return lines
