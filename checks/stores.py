@@ -722,7 +722,7 @@ def _str_5(spark, sf):
     lines = I.log_lines(spark, sf).where("value not like 'no header%'")
     stamp = F.date_format(F.timestamp_seconds(F.col("line_no") + F.lit(1_700_000_000)), "dd-MMM-yyyy HH:mm:ss")
     other = lines.select(F.concat(F.lit("listener"), "file").alias("file"), "line_no", F.concat(stamp, F.lit(" * job "), "line_no").alias("value"))
-    both = lines.unionByName(other).repartition("file").sortWithinPartitions("file", "line_no")
+    both = lines.unionByName(other).repartitionByRange("file", "line_no").sortWithinPartitions("file", "line_no")
     both.select("file", "value").write.partitionBy("file").text(logs)
     logs = logs.removeprefix("file:")
     run = parse_folder(spark, logs, year=2024, suffix=".txt", growing=False)

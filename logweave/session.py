@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,12 +66,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly expressions over an input of few splits; larger inputs stay where they are read."""
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Use all cores for costly expressions over an input of few splits; larger inputs stay where they are read.
+
+    With ``rows`` there are as many tasks as keep each to about so many; the input is counted, so let it be a table."""
     wanted = df.sparkSession.sparkContext.defaultParallelism
+    if rows is not None:
+        wanted = max(wanted, -(-df.count() // rows))
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
+@contextmanager
+def small_splits(spark: SparkSession, max_bytes: int = 16 << 20):
+    """Tables read by actions inside are cut into splits of so many bytes: a task that sorts wide rows holds no more."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def sized_broadcast(df: DataFrame, label: str, max_bytes: int = 32 << 20) -> DataFrame:
     """Materialise a side table and broadcast it only when its rows, as Spark holds them, are small; else leave it to a
     shuffle join. Texts and arrays count with their lengths."""
