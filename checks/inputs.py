@@ -12,6 +12,9 @@ from logweave.operators.events import parse_lines
 from logweave.rules.origins import AIS, Extractor, Origin
 from logweave.session import spread
 
+# Rows of a task that puts them through costly expressions.
+SPREAD_ROWS = 250_000
+
 _MESSAGE = """case event_type
   when 'error'  then concat('ORA-', lpad(cast(event_id % 100000 as {string}), 5, '0'), ' request failed for user ', cast(user_id as {string}))
   when 'click'  then concat('Parameter Not Found: p', cast(event_id % 7 as {string}))
@@ -37,7 +40,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A table whose rows are about to go through costly expressions."""
-    return spread(table(spark, sf, name))
+    return spread(table(spark, sf, name), SPREAD_ROWS)
 
 
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:

@@ -296,12 +296,12 @@ _TEMPLATE_SQL = (
 
 
 def _templates(spark, sf):
-    """Distinct masked messages, each named after its first line."""
+    """Distinct masked messages, each named after its first line; stored, as most queries read them several times."""
     from logweave.functions.masking import apply_masks
 
     masked = _messages(spark, sf).select(apply_masks(F.col("message"), _SAFE).alias("template"), "seq")
     sizes = masked.groupBy("template").agg(F.count(F.lit(1)).alias("size"), F.min("seq").alias("cluster_id"))
-    return sizes.withColumn("origin", F.lit("app"))
+    return storage.materialize(sizes.withColumn("origin", F.lit("app")), "check-templates")
 
 
 @check(
@@ -441,6 +441,7 @@ def _joi_2_own(spark, sf):
     from logweave.plans.template_cycle import generate_templates
 
     messages = _messages(spark, sf).where(r"message rlike '[^\\s:|/=,\\[\\]()]'")
+    messages = storage.materialize(messages, "check-messages")
     made = generate_templates(messages, ignore=I.APP.ignore)
     reviews = made.rules.select("representative_template", F.lit("any").alias("event_type"), F.lit("low").alias("severity"))
     rules = patterns.review_rules(made.rules, reviews)
@@ -496,7 +497,7 @@ def _joi_4(spark, sf):
 )
 def _joi_5(spark, sf):
     records = I.records(spark, sf).filter("message is not null").select("file", "line_no", "message")
-    ids = records.withColumn("id", F.concat_ws("#", "file", "line_no"))
+    ids = storage.materialize(records.withColumn("id", F.concat_ws("#", "file", "line_no")), "check-messages")
     found = classify.classify_by_cluster(ids, _templates(spark, sf), "id")
     return ids.join(found, "id").select("file", "line_no", "cluster_id")
 
@@ -525,12 +526,12 @@ def _set_2(spark, sf):
     return classify.merge_rules(new, stored, key="cluster_id").select("cluster_id", "template")
 
 
-def _member_groups(spark, sf):
+def _member_groups(templates):
     """Groups of templates that begin alike; every second member has no template of its own."""
     own = F.when(F.col("cluster_id") % 2 == 0, F.col("template"))
     member = F.struct(F.col("cluster_id").cast("string").alias("cluster_id"), own.alias("template"), "size")
     return (
-        _templates(spark, sf)
+        templates
         .groupBy("origin", F.ascii(F.substring("template", 1, 1)).cast("bigint").alias("group_id"))
         .agg(F.array_sort(F.collect_list(member)).alias("member_cluster_ids"), F.min("template").alias("representative_template"))
     )
@@ -539,8 +540,9 @@ def _member_groups(spark, sf):
 @check("joi_7_attach_member_templates", f"with {_TEMPLATE_SQL} select ascii(template) as group_id, cast(cluster_id as varchar) as cluster_id, case when cluster_id % 5 = 1 then min(template) over (partition by ascii(template)) else template end as template from templates")
 def _joi_7(spark, sf):
     # Some clusters are not stored any more, so their members fall back to the representative.
-    stored = _templates(spark, sf).filter("cluster_id % 5 <> 1")
-    groups = _member_groups(spark, sf)
+    templates = _templates(spark, sf)
+    stored = templates.filter("cluster_id % 5 <> 1")
+    groups = _member_groups(templates)
     forgotten = F.transform(
         "member_cluster_ids",
         lambda m: F.struct(
@@ -576,7 +578,8 @@ _GROUP_PATTERNS = (
 
 @check("tpl_8_synthesize_group_pattern", f"with {_GROUP_PATTERNS} select group_id, pattern from rules")
 def _tpl_8(spark, sf):
-    members = patterns.attach_member_templates(_member_groups(spark, sf), _templates(spark, sf))
+    templates = _templates(spark, sf)
+    members = patterns.attach_member_templates(_member_groups(templates), templates)
     return patterns.synthesize_group_patterns(members).select("group_id", "pattern")
 
 
@@ -586,7 +589,8 @@ def _tpl_8(spark, sf):
 )
 def _tpl_8_members(spark, sf):
     """Placeholders replaced by samples, every member must match its group's pattern."""
-    members = patterns.attach_member_templates(_member_groups(spark, sf), _templates(spark, sf))
+    templates = _templates(spark, sf)
+    members = patterns.attach_member_templates(_member_groups(templates), templates)
     rules = patterns.synthesize_group_patterns(members)
     sample = F.col("template")
     for name, value in (("<NUM>", "42"), ("<ALPHANUM>", "p7"), ("<IP>", "10.0.0.1"), ("<PATH>", "/a/b"), ("<*>", "x")):
@@ -601,7 +605,8 @@ def _tpl_8_members(spark, sf):
 
 @check("tpl_9_merged_template", f"with {_GROUP_PATTERNS} select group_id, merged_template from rules")
 def _tpl_9(spark, sf):
-    members = patterns.attach_member_templates(_member_groups(spark, sf), _templates(spark, sf))
+    templates = _templates(spark, sf)
+    members = patterns.attach_member_templates(_member_groups(templates), templates)
     return patterns.synthesize_group_patterns(members).select("group_id", "merged_template")
 
 
