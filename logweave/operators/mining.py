@@ -401,11 +401,15 @@ def number_arrivals(records: DataFrame, file: str = "file_path", line: str = "li
     return joined.withColumn("seq", F.col("__before") + F.col("event_no")).drop("__file", "__before", "event_no")
 
 
-def _unique_arrivals(messages: DataFrame) -> None:
-    """A cluster is named by the message that made it, so equal numbers would merge clusters."""
+def _unique_arrivals(messages: DataFrame) -> DataFrame:
+    """The messages, stored, so that what led to them runs once for this check and for mining.
+
+    A cluster is named by the message that made it, so equal numbers would merge clusters."""
+    messages = materialize(messages, "mining-messages")
     twice = messages.groupBy("origin", "seq").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
     if twice:
         raise ValueError(f"seq must be unique per origin ({twice[0]['origin']}: {twice[0]['seq']}); see number_arrivals")
+    return messages
 
 
 def mine_templates_first_match(
@@ -416,7 +420,7 @@ def mine_templates_first_match(
     ``numbered``: ``seq`` is from ``number_arrivals`` and needs no check.
     """
     if not numbered:
-        _unique_arrivals(messages)
+        messages = _unique_arrivals(messages)
     return _mine_with(prepare_first_match(messages, **rules), params, False)
 
 
@@ -425,7 +429,7 @@ def mine_templates_best_match(
 ) -> Mined:
     """Most similar cluster of the leaf."""
     if not numbered:
-        _unique_arrivals(messages)
+        messages = _unique_arrivals(messages)
     return _mine_with(prepare_best_match(messages, **rules), params, True)
 
 
