@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logweave.functions.regex import java_regex
-from logweave.rules.masks import CUSTOM_DELIMITERS, CUSTOM_MASKS, DOMAIN_MASKS, MESSAGE_DELIMITERS
+from logweave.rules.masks import CUSTOM_DELIMITERS, CUSTOM_MASKS, DOMAIN_MASKS, MASK_NEEDS, MESSAGE_DELIMITERS
 from logweave.rules.timestamps import TIMESTAMP_CATALOGUE
 
 
 def apply_masks(text: Column, masks: Iterable[tuple[str, str]], *, unicode: bool = True) -> Column:
-    """Ordered replacements, one after the other."""
+    """Ordered replacements, one after the other; a mask is only tried on texts that hold what its matches need.
+
+    The lambda names what the masks before have made, which a condition would evaluate twice.
+    """
     for pattern, replacement in masks:
-        text = F.regexp_replace(text, java_regex(pattern, unicode=unicode), replacement)
+        found = java_regex(pattern, unicode=unicode)
+        needs = MASK_NEEDS.get(pattern)
+        if needs is None:
+            text = F.regexp_replace(text, found, replacement)
+        else:
+            text = F.element_at(F.transform(F.array(text), _guarded(needs, found, replacement)), 1)
     return text
 
 
+def _guarded(needs: Sequence[str], found: str, replacement: str) -> Callable[[Column], Column]:
+    def replaced(text: Column) -> Column:
+        held = reduce(Column.__or__, [F.contains(text, F.lit(need)) for need in needs])
+        return F.when(held, F.regexp_replace(text, found, replacement)).otherwise(text)
+
+    return replaced
+
+
 def custom_masks(timestamps: Sequence[str] = TIMESTAMP_CATALOGUE) -> list[tuple[str, str]]:
     """Timestamps first, then the first-match miner's list."""
     return [(p, "<TIMESTAMP>") for p in (timestamps or TIMESTAMP_CATALOGUE)] + CUSTOM_MASKS
