@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logweave.llm.hat_trie import ID_BITS, HatTrie, pack, unpack
-from logweave.llm.text import LOWER, PIECE_BYTES, byte_class, flat, mix, pieces, prefix_hashes, safe_hashes, small_batches, word_bounds
+from logweave.llm.text import LOWER, PIECE_BYTES, byte_class, flat, give_back, mix, pieces, prefix_hashes, safe_hashes, small_batches, word_bounds
 from logweave.session import materialize, sized_broadcast
 
 LONGEST, MIN_COUNT, COVER, TOP = 4, 30, 80, 2000
@@ -294,9 +294,13 @@ def _counts(docs: DataFrame, low: int, high: int, words: Bits | None, pairs: Bit
                     yield from counter.add(data[begin:end], np.array([0, end - begin]), lang, own - begin)
             pa.default_memory_pool().release_unused()
         yield from counter.leave()
+        del counter
+        give_back()
 
     def merge(table: pa.Table) -> pa.Table:
-        return merge_runs(table, min_count)
+        made = merge_runs(table, min_count)
+        give_back()
+        return made
 
     return materialize(docs.mapInArrow(run, _RUN).groupBy("part").applyInArrow(merge, _COUNTED), f"counts-{low}")
 
