@@ -74,7 +74,8 @@ def batch_writer(
             # Files without a new line keep their event as it is, with the time it was last seen growing.
             grown = lines.select("file_path").distinct()
             waiting = held.join(grown, "file_path", "left_anti")
-            lines_now = materialize(held.join(grown, "file_path", "left_semi").select(lines.columns).unionByName(lines), "stream-lines")
+            # What was held is little; the new lines are stored already and not written again beside it.
+            lines_now = materialize(held.join(grown, "file_path", "left_semi").select(lines.columns), "stream-held").unionByName(lines)
         done, still_open = split_open_events(lines_now, origin)
         closed.append(done)
         still_open = still_open.withColumn("held_since", F.current_timestamp())

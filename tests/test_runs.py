@@ -132,6 +132,29 @@ def test_growing_file_in_pieces(spark, tmp_path):
     assert [r["message"] for r in rows] == [f"Errors in file /x/y{d}.trc:\nORA-0060{d}: internal" for d in range(4)]
 
 
+def test_new_lines_of_a_batch_are_stored_once(spark, tmp_path, monkeypatch):
+    """What an event held open from the batch before adds is stored beside the new lines, which are not written again."""
+    from logweave.streaming import incremental
+
+    written, store_rows = [], incremental.materialize
+
+    def noted(df, label):
+        made = store_rows(df, label)
+        written.append((label, made.count()))
+        return made
+
+    monkeypatch.setattr(incremental, "materialize", noted)
+    write = incremental.batch_writer(BY_NAME["alert_jde"], str(tmp_path / "store"), str(tmp_path / "state"))
+    lines = "".join(ALERT.format(d=d) for d in range(4)).splitlines()
+    half = len(lines) // 2
+    for number, (low, high) in enumerate([(0, half), (half, len(lines))]):
+        rows = [("alert_jde.log", at, lines[at]) for at in range(low, high)]
+        write(spark.createDataFrame(rows, "file_path string, line_no bigint, value string"), number)
+    assert [n for label, n in written if label == "stream-lines"] == [half, len(lines) - half]
+    assert [0 < n < half for label, n in written if label == "stream-held"] == [True]
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 3
+
+
 def test_no_file_is_in_neither_way(spark, tmp_path):
     """A growing format known by content only, and one packed: the batch and the stream account for both."""
     logs = tmp_path / "logs"
