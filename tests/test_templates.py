@@ -233,6 +233,22 @@ def test_pairs(spark, block):
     assert found == {(i, j) for i in range(50) for j in range(i + 1, 50) if similarity[i, j] >= 0.5}
 
 
+def test_vectors_go_to_no_more_tasks_when_there_are_more(spark):
+    """All directions, so no pair of blocks is left out: four times the vectors met in four times as many blocks."""
+    met = []
+    for n in (400, 1600):
+        vectors = np.random.RandomState(8).normal(size=(n, 6))
+        vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+        df = spark.createDataFrame([("o", i, v.tolist()) for i, v in enumerate(vectors)], "origin string, node bigint, vec array<double>")
+        block = grouping.pair_block(df, 20)
+        met.append(grouping.near_blocks(df, 0.0, block)[1].where("near").count())
+        found = {(r["a"], r["b"]) for r in grouping.cosine_pairs(df, 0.8, 20).collect()}
+        i, j = np.nonzero(np.triu(vectors @ vectors.T >= 0.8, 1))
+        assert found == set(zip(i.tolist(), j.tolist()))
+    assert met[1] <= met[0] * 1.5
+    assert grouping.pair_block(df.where("false"), 20) == 20 and grouping.pair_block(df, 2000) == 2000
+
+
 def test_far_blocks_do_not_meet(spark):
     """Vectors around few directions: the same pairs, from fewer pairs of blocks."""
     rng = np.random.RandomState(6)
