@@ -39,6 +39,8 @@ from logweave.session import materialize, sized_broadcast
 LONGEST, MIN_COUNT, COVER, TOP = 4, 30, 80, 2000
 # Entries of a trie, words of its vocabulary and bytes of these words, per task.
 ENTRIES, WORDS, WORD_BYTES = 300_000, 150_000, 16 << 20
+# Slots of a task's vocabulary: 2 ** SLOT_BITS, 12 bytes each.
+SLOT_BITS = 19
 # Occurrences sorted at once before they reach the trie.
 BUFFER = 600_000
 # A bitmap has at least BITS_PER_ROW bits for each sequence, at most MAX_BITS: 16 MB.
@@ -73,6 +75,95 @@ def _pair_key(first: np.ndarray, second: np.ndarray, lang: np.ndarray) -> np.nda
     return mix((first * _BASE + second) * _BASE + lang)
 
 
+class Words:
+    """The words of a task, numbered from 1 as they come.
+
+    A word's hash says in which slot its number may be; the bytes of every occurrence are compared with those of the word it
+    is taken for, so that numbers stand for words whatever their hashes. Slots are never dealt anew: a word whose slot is
+    taken is looked up by its bytes, once a call.
+    """
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self.count, self.held = 1, 0
+        self.text = np.empty(1 << 16, np.uint8)
+        # Where a word begins in the text, how long it is and its hash, by number.
+        self.begins, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.hashes = np.zeros(1 << 12, np.uint64)
+        self.slot_hash, self.slot_id = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
+
+    def ids(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, given by its place among the bytes and its hash; new words get one."""
+        slots = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        found = np.where(self.slot_hash[slots] == hashes, self.slot_id[slots], 0).astype(np.int64)
+        other = np.flatnonzero(found == 0)
+        if len(other):
+            distinct, index, inverse = np.unique(hashes[other], return_index=True, return_inverse=True)
+            index = other[index]
+            numbers = self._by_bytes(low, starts[index], ends[index], distinct)
+            found[other] = numbers[inverse]
+            free = self.slot_id[slots[index]] == 0
+            # Sorted by hash, so that those of one slot stand together: the first gets it.
+            at, first = np.unique(slots[index][free], return_index=True)
+            self.slot_hash[at], self.slot_id[at] = distinct[free][first], numbers[free][first]
+        wrong = self._unlike(low, starts, ends, found)
+        found[wrong] = self._by_bytes(low, starts[wrong], ends[wrong], hashes[wrong])
+        return found
+
+    def _by_bytes(self, low, starts, ends, hashes) -> np.ndarray:
+        raw, found, new = low.tobytes() if len(starts) else b"", np.empty(len(starts), np.int64), []
+        count = self.count
+        for k, (begin, end) in enumerate(zip(starts.tolist(), ends.tolist())):
+            word = raw[begin:end]
+            at = self.known.get(word)
+            if at is None:
+                at = self.known[word] = count
+                count += 1
+                new.append(k)
+            found[k] = at
+        if new:
+            self._append([raw[starts[k] : ends[k]] for k in new], hashes[new])
+        return found
+
+    def _append(self, words: list[bytes], hashes: np.ndarray) -> None:
+        low, high = self.count, self.count + len(words)
+        lengths = np.array([len(w) for w in words], np.int64)
+        stops = self.held + np.cumsum(lengths)
+        self.begins, self.lengths, self.hashes = (_grown(a, high) for a in (self.begins, self.lengths, self.hashes))
+        self.text = _grown(self.text, int(stops[-1]))
+        self.begins[low:high], self.lengths[low:high], self.hashes[low:high] = stops - lengths, lengths, hashes
+        self.text[self.held : stops[-1]] = np.frombuffer(b"".join(words), np.uint8)
+        self.count, self.held = high, int(stops[-1])
+
+    def _unlike(self, low, starts, ends, numbers) -> np.ndarray:
+        """Which words have other bytes than those their numbers stand for."""
+        lengths = ends - starts
+        wrong = self.lengths[numbers] != lengths
+        lengths = np.where(wrong, 0, lengths)
+        stops = np.cumsum(lengths)
+        at = np.arange(stops[-1] if len(stops) else 0)
+        own = low[np.repeat(starts - stops + lengths, lengths) + at]
+        unlike = own != self.text[np.repeat(self.begins[numbers] - stops + lengths, lengths) + at]
+        wrong[np.searchsorted(stops, np.flatnonzero(unlike), side="right")] = True
+        return np.flatnonzero(wrong)
+
+    def take(self, numbers: np.ndarray) -> pa.Array:
+        """The words of these numbers."""
+        ends = np.append(self.begins[: self.count], self.held)
+        ends[0] = 0
+        words = pa.Array.from_buffers(pa.large_binary(), self.count, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(self.text[: self.held].tobytes())])
+        return words.take(pa.array(numbers)).cast(pa.binary())
+
+
+def _grown(values: np.ndarray, size: int) -> np.ndarray:
+    """The same values with room for ``size`` at least."""
+    if size <= len(values):
+        return values
+    made = np.zeros(max(size, 2 * len(values)), values.dtype)
+    made[: len(values)] = values
+    return made
+
+
 class _Counter:
     """Sequences of ``low`` to ``high`` words of a task's texts; single words are counted at the trie's first level."""
 
@@ -85,10 +176,7 @@ class _Counter:
         self._begin()
 
     def _begin(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.words: list[bytes] = [b""]
-        self.hashes: list[np.ndarray] = [np.zeros(1, np.uint64)]
-        self.held = 0
+        self.words = Words()
         self.trie = HatTrie(ENTRIES)
         self.buffer: list[tuple[np.ndarray, np.ndarray]] = []
         self.buffered = 0
@@ -116,7 +204,7 @@ class _Counter:
         hashes = safe_hashes(low, *prefix_hashes(low), starts, ends)
         wanted = np.ones(len(starts), bool) if self.known_words is None else self.known_words.of(_word_key(hashes, lang_hash))
         ids = np.zeros(len(starts), np.int64)
-        ids[wanted] = self._ids(low, starts[wanted], ends[wanted], hashes[wanted])
+        ids[wanted] = self.words.ids(low, starts[wanted], ends[wanted], hashes[wanted])
         mine = starts < own
         if self.low == 1:
             self._count_words(ids[mine], lang[mine])
@@ -126,24 +214,9 @@ class _Counter:
             if self.known_pairs is not None:
                 joined[joined] = self.known_pairs.of(_pair_key(hashes[:-1][joined], hashes[1:][joined], lang_hash[1:][joined]))
             yield from self._count_sequences(ids, lang, joined, mine)
-        if len(self.words) > WORDS or self.held > WORD_BYTES:
+        if self.words.count > WORDS or self.words.held > WORD_BYTES:
             yield from self.leave()
 
-    def _ids(self, low, starts, ends, hashes) -> np.ndarray:
-        _, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        raw, found, new = low.tobytes(), np.empty(len(index), np.int64), []
-        for k, i in enumerate(index.tolist()):
-            word = raw[starts[i] : ends[i]]
-            at = self.ids.get(word)
-            if at is None:
-                at = self.ids[word] = len(self.words)
-                self.words.append(word)
-                self.held += len(word)
-                new.append(i)
-            found[k] = at
-        self.hashes.append(hashes[new])
-        return found[inverse]
-
     def _count_words(self, ids: np.ndarray, lang: np.ndarray) -> None:
         for code in np.unique(lang).tolist():
             while len(self.alone) <= code:
@@ -172,11 +245,17 @@ class _Counter:
             return
         first, rest = (np.concatenate(c) for c in zip(*self.buffer))
         self.buffer, self.buffered = [], 0
-        order = np.lexsort((rest, first))
-        first, rest = first[order], rest[order]
-        change = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])))
-        counts = np.diff(np.append(change, len(first)))
-        yield from map(self._packed, self.trie.add(first[change], rest[change], counts))
+        if self.high == 2 and int(first.max()) < 1 << 2 * ID_BITS:
+            # A language and two words fit one number.
+            pair, counts = np.unique((first << ID_BITS) | (rest >> 2 * ID_BITS), return_counts=True)
+            first, rest = pair >> ID_BITS, (pair & ((1 << ID_BITS) - 1)) << 2 * ID_BITS
+        else:
+            order = np.lexsort((rest, first))
+            first, rest = first[order], rest[order]
+            change = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])))
+            counts = np.diff(np.append(change, len(first)))
+            first, rest = first[change], rest[change]
+        yield from map(self._packed, self.trie.add(first, rest, counts))
 
     def _packed(self, run) -> pa.RecordBatch:
         """A run of the trie cut by partition."""
@@ -184,8 +263,7 @@ class _Counter:
         return self._record(first >> ID_BITS, [first & ((1 << ID_BITS) - 1), *unpack(keys)], counts)
 
     def _record(self, lang: np.ndarray, parts: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
-        self.hashes = [np.concatenate(self.hashes)]
-        hashes, lang_hash = self.hashes[0], np.array(self.lang_hashes, np.uint64)[lang]
+        hashes, lang_hash = self.words.hashes, np.array(self.lang_hashes, np.uint64)[lang]
         second = hashes[parts[1]] if len(parts) > 1 else np.uint64(0)
         part = (_pair_key(hashes[parts[0]], second, lang_hash) % np.uint64(self.parts)).astype(np.int64)
         # By partition and language; inside, as the trie had it.
@@ -193,7 +271,7 @@ class _Counter:
         order = np.argsort(place, kind="stable")
         place, counts, parts = place[order], counts[order], [p[order] for p in parts]
         used, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        words = pa.array([self.words[i] for i in used.tolist()], pa.binary())
+        words = self.words.take(used)
         columns = [words.take(pa.array(i, mask=p == 0)) for i, p in zip(np.split(inverse, len(parts)), parts)]
         phrases = pc.binary_join_element_wise(*columns, b" ", null_handling="skip")
         cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))

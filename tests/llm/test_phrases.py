@@ -116,3 +116,32 @@ def test_a_full_bitmap_only_counts_more(spark, monkeypatch):
     found, _ = collocations.phrase_counts(docs, min_count=4)
     expected = {k: n for k, n in plain_counts(rows).items() if n >= 4}
     assert {(r.lang, tuple(r.phrase.split(" "))): r.times for r in found.collect()} == expected
+
+
+@pytest.mark.parametrize("bits", [1, 19])
+def test_words_of_equal_hash_stay_apart(monkeypatch, bits):
+    """Numbers stand for bytes: all words of one hash, and few slots."""
+    monkeypatch.setattr(collocations, "SLOT_BITS", bits)
+    rows = [(lang or "und", text or "") for lang, text in odd_rows()]
+    for same in (True, False):
+        if same:
+            monkeypatch.setattr(collocations, "safe_hashes", lambda low, total, down, starts, ends: np.full(len(starts), 7, np.uint64))
+        counter = collocations._Counter(1, 1, None, None, 3)
+        codes, (data, offsets) = counter.langs(pa.array([r[0] for r in rows])), collocations.flat(pa.array([r[1] for r in rows]))
+        batches = [*counter.add(data, offsets, codes, len(data)), *counter.add(data, offsets, codes, len(data)), *counter.leave()]
+        whole = collocations.merge_runs(pa.Table.from_batches(batches), 1).to_pylist()
+        found = Counter({(r["lang"], (r["phrase"],)): r["times"] for r in whole if r["phrase"] is not None})
+        assert found == Counter({k: 2 * n for k, n in plain_counts(rows, 1).items()})
+        monkeypatch.undo()
+        monkeypatch.setattr(collocations, "SLOT_BITS", bits)
+
+
+def test_known_words_are_not_looked_up_one_by_one(monkeypatch):
+    words = [f"w{k}" for k in range(1000)]
+    data, offsets = collocations.flat(pa.array([" ".join(words * 3)]))
+    counter, asked = collocations._Counter(1, 1, None, None, 3), []
+    by_bytes = collocations.Words._by_bytes
+    monkeypatch.setattr(collocations.Words, "_by_bytes", lambda self, low, starts, *a: asked.append(len(starts)) or by_bytes(self, low, starts, *a))
+    for _ in range(5):
+        list(counter.add(data, offsets, counter.langs(pa.array(["en"])), len(data)))
+    assert sum(asked[:2]) == 1000 and sum(asked[2:]) < 40
