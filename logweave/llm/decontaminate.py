@@ -54,7 +54,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         )
 
     schema = f"shard string, ids array<{kind}>, first binary, terms binary, lists binary, positions binary"
-    return materialize(map_arrow(docs.selectExpr(f"`{key}` as key", f"`{text}` as text"), run, schema), "postings")
+    return materialize(map_arrow(docs.selectExpr(f"`{key}` as key", f"`{text}` as text"), run, schema), "postings", large_rows=True)
 
 
 def item_windows(items: DataFrame, text: str = "text", item_id: str = "item_id", window: int = WINDOW) -> DataFrame:
