@@ -1,5 +1,6 @@
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -222,6 +223,59 @@ def test_silhouettes_of_a_sweep(spark):
         assert found[threshold]["silhouette"] == wanted
 
 
+def scratch_tables(spark, label="*"):
+    from logweave import session
+
+    return {f: sum(x.stat().st_size for x in f.glob("*.parquet")) for f in Path(session._own_scratch(spark)).glob(f"{label}-*")}
+
+
+def stored_plans(monkeypatch):
+    """Plans of what grouping stores, by label."""
+    plans, store = {}, grouping.materialize
+
+    def stored(df, label, *args, **kwargs):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return store(df, label, *args, **kwargs)
+
+    monkeypatch.setattr(grouping, "materialize", stored)
+    return plans
+
+
+def random_vectors(spark, n, places, seed):
+    vectors = np.random.RandomState(seed).normal(size=(n, places))
+    return spark.createDataFrame([("o", i, v.tolist()) for i, v in enumerate(vectors)], "origin string, id bigint, embedding array<double>")
+
+
+def test_a_sweep_holds_no_vector_for_each_threshold(spark, monkeypatch):
+    """Vectors meet the means of their groups without a shuffle, and no table of means is left."""
+    plans, before, thresholds = stored_plans(monkeypatch), scratch_tables(spark), [round(0.01 * i, 2) for i in range(1, 15)]
+    df = random_vectors(spark, 400, 4, 14)
+    found = {r["threshold"]: r for r in grouping.threshold_sweep(df, thresholds).collect()}
+    assert "CartesianProduct" in plans["silhouette-parts"] and "Exchange" not in plans["silhouette-parts"]
+    assert not [f for f in scratch_tables(spark).keys() - before.keys() if f.name.startswith(("silhouette-left", "silhouette-right", "silhouette-means"))]
+    labels = {r["id"]: list(r["labels"]) for r in grouping.link(df, thresholds).collect()}
+    rows = df.join(spark.createDataFrame([(k, v[-1]) for k, v in labels.items()], "id bigint, label bigint"), "id")
+    assert found[thresholds[-1]]["silhouette"] == pytest.approx(grouping.silhouette(rows))
+
+
+def test_silhouette_of_odd_labels(spark):
+    """A group without a label is a neighbour whose members are not scored; labels may be of any type."""
+    rows = [([1.0, 0.0], "a"), ([0.9, 0.1], "a"), ([0.0, 1.0], None), ([0.1, 0.9], None), ([0.7, 0.7], "b")]
+    vectors = np.array([v for v, _ in rows])
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    distance = 1 - unit @ unit.T
+    scores = [1 - distance[0, 1] / min(distance[x, [2, 3]].mean(), distance[x, 4]) for x in (0, 1)]
+    assert grouping.silhouette(spark.createDataFrame(rows, "embedding array<double>, label string")) == pytest.approx(sum(scores) / 5)
+    # More rows than a batch, a block or the number of rows that add up together.
+    many = np.random.RandomState(5).normal(size=(20000, 3)) + np.repeat([[4, 0, 0], [0, 4, 0]], 10000, axis=0)
+    frame = spark.createDataFrame(pd.DataFrame({"embedding": list(many), "label": np.repeat([0, 1], 10000)}))
+    unit = many / np.linalg.norm(many, axis=1)[:, None]
+    means = unit[:10000].mean(axis=0), unit[10000:].mean(axis=0)
+    inside = np.concatenate([1 - unit[:10000] @ means[0], 1 - unit[10000:] @ means[1]]) * 10000 / 9999
+    outside = np.concatenate([1 - unit[:10000] @ means[1], 1 - unit[10000:] @ means[0]])
+    assert grouping.silhouette(frame) == pytest.approx(np.mean((outside - inside) / np.maximum(inside, outside)))
+
+
 @pytest.mark.parametrize("block", [4096, 9])
 def test_pairs(spark, block):
     rng = np.random.RandomState(4)
