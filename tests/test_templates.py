@@ -246,6 +246,14 @@ def random_vectors(spark, n, places, seed):
     return spark.createDataFrame([("o", i, v.tolist()) for i, v in enumerate(vectors)], "origin string, id bigint, embedding array<double>")
 
 
+def test_rounds_of_linkage_neither_copy_vectors_nor_keep_old_tables(spark, monkeypatch):
+    """Blocks meet without a shuffle, and tables of earlier rounds are gone."""
+    plans, before = stored_plans(monkeypatch), scratch_tables(spark, "link-nodes")
+    assert grouping.link(random_vectors(spark, 400, 8, 12), [0.1, 0.5], 150).count() == 400
+    assert "CartesianProduct" in plans["nearest-parts"] and "Exchange" not in plans["nearest-parts"]
+    assert len(scratch_tables(spark, "link-nodes").keys() - before.keys()) == 1
+
+
 def test_a_sweep_holds_no_vector_for_each_threshold(spark, monkeypatch):
     """Vectors meet the means of their groups without a shuffle, and no table of means is left."""
     plans, before, thresholds = stored_plans(monkeypatch), scratch_tables(spark), [round(0.01 * i, 2) for i in range(1, 15)]
