@@ -266,6 +266,13 @@ def test_a_sweep_holds_no_vector_for_each_threshold(spark, monkeypatch):
     assert found[thresholds[-1]]["silhouette"] == pytest.approx(grouping.silhouette(rows))
 
 
+def test_pairs_keep_one_table_of_vectors(spark):
+    before = scratch_tables(spark)
+    pairs = grouping.cosine_pairs(random_vectors(spark, 200, 4, 15).select("origin", F.col("id").alias("node"), F.col("embedding").alias("vec")), 2.5, 50)
+    assert pairs.count() == pairs.where("a < b and similarity >= 2.5").count() > 0
+    assert not [f for f in scratch_tables(spark).keys() - before.keys() if f.name.startswith(("pair-vectors", "sided-vectors"))]
+
+
 def test_silhouette_of_odd_labels(spark):
     """A group without a label is a neighbour whose members are not scored; labels may be of any type."""
     rows = [([1.0, 0.0], "a"), ([0.9, 0.1], "a"), ([0.0, 1.0], None), ([0.1, 0.9], None), ([0.7, 0.7], "b")]
